@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from aerolake.llm import exact_dedup
+from aerolake.llm import exact_dedup, packing, simhash, tokens
 
 
 def queries() -> dict:
     """opN_<name> for each operator."""
     return {
+        "op2_simhash": simhash.op2_simhash,
+        "op8_token_counts": tokens.op8_token_counts,
+        "op9_packing": packing.op9_packing,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
