@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from aerolake.llm import exact_dedup, packing, simhash, tokens
+from aerolake.llm import exact_dedup, packing, simhash, tokens, warc
 
 
 def queries() -> dict:
     """opN_<name> for each operator."""
     return {
         "op2_simhash": simhash.op2_simhash,
+        "op5_warc": warc.op5_warc,
         "op8_token_counts": tokens.op8_token_counts,
+        "op5_warc": warc.op5_warc,
         "op9_packing": packing.op9_packing,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator."""
-    return {"op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op5_warc": warc.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
