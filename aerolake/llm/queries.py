@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from aerolake.llm import exact_dedup, packing, simhash, tokens, warc
+from aerolake.llm import exact_dedup, packing, simhash, tokens, toxicity, warc
 
 
 def queries() -> dict:
     """opN_<name> for each operator."""
     return {
         "op2_simhash": simhash.op2_simhash,
-        "op5_warc": warc.op5_warc,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_token_counts": tokens.op8_token_counts,
         "op5_warc": warc.op5_warc,
         "op9_packing": packing.op9_packing,
