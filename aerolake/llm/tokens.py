@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -15,18 +18,28 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 class WordIds:
-    """Ids of texts under a tokenizer whose tokens never span white space.
+    """Ids of texts under a word-end BPE whose tokens never span white space.
 
-    Blank-separated chunks are encoded once and remembered, up to ``most`` of them.
+    Blank-separated chunks are encoded once and remembered, up to ``most`` of
+    them.  Chunks of plain lower-case letters are whole words, which the
+    tokenizer's normalizer and patterns leave as they are: they go to its model
+    straight, and the word-end tokens part them again.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        import os
+    #: A stop or comma at a chunk's end, after a letter or digit: a run of its own for the tokenizer.
+    stop = re.compile(rb"[.,](?=[ \n\t\r\x0b\x0c]|\Z)(?<=[a-z0-9][.,])")
+    plain = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
 
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -36,19 +49,34 @@ class WordIds:
             cache["ids", path] = cls(path)
         return cache["ids", path]
 
+    def _learn(self, chunks: list[bytes]) -> None:
+        known, words, keys, rest = self.known, [], [], []
+        for chunk in chunks:
+            word = chunk.decode()
+            if self.plain.fullmatch(word):
+                words.append(word)
+                keys.append(chunk)
+            else:
+                rest.append(chunk)
+        if words:
+            ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.dtype("<u4"))
+            coded, at = ids.tobytes(), 0
+            for key, end in zip(keys, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
+                known[key], at = coded[at:end], end
+        for chunk, code in zip(rest, self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False), strict=True):
+            known[chunk] = np.array(code.ids, np.dtype("<u4")).tobytes()
+
     def packed(self, raw: bytes) -> bytes:
         """The ids of a UTF-8 text as little-endian unsigned 32-bit numbers."""
-        chunks = raw.split()  # at ASCII white space only
+        # ASCII white space only; the spelling of special tokens is left alone
+        chunks = self.stop.sub(rb" \g<0>", raw.lower()).split() if b"<|" not in raw else raw.split()
         known = self.known
         if missing := list({c for c in chunks if c not in known}):
             if len(known) + len(missing) > self.most:
                 known.clear()
                 missing = list(set(chunks))
             for first in range(0, len(missing), 10_000):
-                part = missing[first : first + 10_000]
-                coded = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-                for chunk, code in zip(part, coded, strict=True):
-                    known[chunk] = np.array(code.ids, np.dtype("<u4")).tobytes()
+                self._learn(missing[first : first + 10_000])
         return b"".join([known[c] for c in chunks])
 
 
