@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from aerolake.llm import exact_dedup, packing, simhash, tokens, toxicity, warc
+from aerolake.llm import exact_dedup, mixing, packing, quality, simhash, tokens, toxicity, warc
 
 
 def queries() -> dict:
     """opN_<name> for each operator."""
     return {
         "op2_simhash": simhash.op2_simhash,
+        "op6_quality": quality.op6_quality,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_token_counts": tokens.op8_token_counts,
+        "op4_mixing": mixing.op4_mixing,
         "op5_warc": warc.op5_warc,
         "op9_packing": packing.op9_packing,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
