@@ -9,8 +9,9 @@ documents sample k of them without replacement, in proportion to the weights.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolake.llm.common import small_batches, table, unit_hash, utf8
@@ -101,37 +102,66 @@ def top_k_cut(keys: DataFrame, k: int, key: str = "key", tie: str = "tie") -> tu
     return low, lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, seed: int = SEED, keep: int | None = None) -> DataFrame:
-    """One row per row of docs (doc_id, text, any others): doc_id, log_weight, n_grams, key, kept.
+class Sampler:
+    """What one resampling has learned: log ratios by bucket, and the cut in (key, tie); cut None keeps all."""
 
-    labels (doc_id, quality 1 or 0; others are no labels).  The target model is of the good
-    rows, the raw one of all rows.  keep: how many to sample; by default as many as
-    reach the log weight that parts the labelled good from the labelled bad with
-    fewest errors, relative to the kinds' sizes.  Null and empty texts have log weight
-    0.  A repeated row gets equal weight and noise; ties at the cut are settled
-    by a hash, equal rows stay or go together only if the cut allows.  Without good
-    or without bad labels everything is kept.  An empty table gives an empty result.
-    """
+    def __init__(self, ratio: np.ndarray, seed: int, cut: float | None, tie: int, scored: DataFrame):
+        self.ratio, self.seed, self.cut, self.tie, self.scored = ratio, seed, cut, tie, scored
+
+    def kept(self, key: Column, tie: Column) -> Column:
+        """Whether a row with this key and tie is in the sample."""
+        return F.lit(True) if self.cut is None else (key > self.cut) | ((key == self.cut) & (tie >= self.tie))
+
+    def rows(self, docs: DataFrame) -> DataFrame:
+        """The sampled rows of the docs it was fitted on, columns as they are; nothing is shuffled."""
+        ratio, columns = self.ratio, docs.columns
+
+        @F.pandas_udf("double")
+        def weight(texts: pd.Series) -> pd.Series:
+            own = grams(len(ratio))
+            return pd.Series([float(ratio[own.of(t.encode())].sum()) for t in texts])
+
+        small_batches(docs.sparkSession)
+        key, tie = keyed(weight(F.coalesce("text", F.lit(""))), self.seed)
+        return docs.where(self.kept(key, tie)).select(*columns)
+
+
+def keyed(log_weight: Column, seed: int) -> tuple[Column, Column]:
+    """(log weight plus Gumbel noise, what settles equal keys); both follow from the row alone."""
+    return log_weight - F.log(-F.log(unit_hash(F.col("doc_id"), seed=seed))), F.xxhash64(F.lit(seed + 1), "doc_id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, seed: int = SEED, keep: int | None = None) -> Sampler:
+    """Learn the two models from all rows and find the cut; see ``resample``."""
     marks = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     small = broadcastable(marks, 24)
     marked = docs.select("doc_id", "text").join(F.broadcast(marks) if small else marks, "doc_id", "left")
     counts = gram_counts(marked.select("text", F.when(F.col("quality") == 1, 1).when(F.col("quality") == 0, 2).cast("int").alias("class")), 3, buckets)
     smooth = lambda n: np.log((n + 1) / (n.sum() + len(n)))
     ratio = smooth(counts[1]) - smooth(counts[0])
-    narrow = log_weights(docs, ratio)
-    u = unit_hash(F.col("doc_id"), seed=seed)
-    rows = materialize(narrow.withColumn("key", F.col("log_weight") - F.log(-F.log(u))).withColumn("tie", F.xxhash64(F.lit(seed + 1), "doc_id", F.monotonically_increasing_id())), "log-weights")
+    key, tie = keyed(F.col("log_weight"), seed)
+    rows = materialize(log_weights(docs, ratio).withColumn("key", key).withColumn("tie", tie), "log-weights")
     total = rows.count()
     if keep is None:
         keep = total if not counts[1].any() or not counts[2].any() else _calibrated(rows, marks, small)
-    if keep >= total or not total:
-        kept = F.lit(keep >= total)
-    elif keep <= 0:
-        kept = F.lit(False)
-    else:
-        cut, tie = top_k_cut(rows, keep)
-        kept = (F.col("key") > cut) | ((F.col("key") == cut) & (F.col("tie") >= tie))
-    return rows.withColumn("kept", kept).drop("tie")
+    if keep >= total:
+        return Sampler(ratio, seed, None, 0, rows)
+    return Sampler(ratio, seed, *(top_k_cut(rows, keep) if keep > 0 else (float("inf"), 0)), rows)
+
+
+def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, seed: int = SEED, keep: int | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text, any others): doc_id, log_weight, n_grams, key, kept.
+
+    labels (doc_id, quality 1 or 0; others are no labels).  The target model is of the good
+    rows, the raw one of all rows.  keep: how many to sample; by default as many as
+    reach the log weight that parts the labelled good from the labelled bad with
+    fewest errors, relative to the kinds' sizes.  Null and empty texts have log weight
+    0.  Ties at the cut are settled by a hash of doc_id; rows that repeat one
+    stay or go together.  Without good or without bad labels everything is kept.
+    Extra columns are ignored; an empty table gives an empty result.
+    """
+    sampler = fit(docs, labels, buckets, seed, keep)
+    return sampler.scored.withColumn("kept", sampler.kept(F.col("key"), F.col("tie"))).drop("tie")
 
 
 def _calibrated(rows: DataFrame, marks: DataFrame, small: bool, parts: int = 2048) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aerolake.llm import exact_dedup, mixing, packing, quality, simhash, tokens, toxicity, warc
+from aerolake.llm import exact_dedup, html_text, mixing, packing, quality, simhash, tokens, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_quality": quality.op6_quality,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_token_counts": tokens.op8_token_counts,
+        "op3_html_text": html_text.op3_html_text,
         "op4_mixing": mixing.op4_mixing,
         "op5_warc": warc.op5_warc,
         "op9_packing": packing.op9_packing,
