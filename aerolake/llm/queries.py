@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from aerolake.llm import exact_dedup, html_text, mixing, packing, quality, simhash, tokens, toxicity, warc
+from aerolake.llm import exact_dedup, html_text, images, mixing, packing, quality, simhash, tokens, toxicity, warc
 
 
 def queries() -> dict:
     """opN_<name> for each operator."""
     return {
+        "op1_image_copies": images.op1_image_copies,
         "op2_simhash": simhash.op2_simhash,
         "op6_quality": quality.op6_quality,
         "op7_toxicity": toxicity.op7_toxicity,
