@@ -151,7 +151,7 @@ def scaled(frame: DataFrame, columns: list[str]) -> DataFrame:
 def cleaned(frame: DataFrame, signal: str, frequency: str, numbers: list[str], words: list[str]) -> DataFrame:
     """Signals clipped to [-100, 0], frequencies 2.4 or 5.0, gaps filled with medians and modes."""
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
-    base = frame.withColumn(signal, F.greatest(F.lit(-100.0), F.least(F.lit(0.0), finite(signal)))).withColumn(frequency, F.when(F.col(frequency).isin(2.4, 5.0), F.col(frequency)).otherwise(2.4))
+    base = frame.withColumn(signal, F.when(finite(signal).isNotNull(), F.greatest(F.lit(-100.0), F.least(F.lit(0.0), finite(signal))))).withColumn(frequency, F.when(F.col(frequency).isin(2.4, 5.0), F.col(frequency)).otherwise(2.4))
     base = base.withColumns({c: finite(c) for c in numbers})
     fills = base.agg(*[F.median(c).alias(f"_m_{c}") for c in [signal, *numbers]], *[F.mode(c, deterministic=True).alias(f"_m_{c}") for c in words])
     out = base.join(F.broadcast(fills))  # one row

@@ -1,7 +1,13 @@
-"""Named queries: name -> (spark, sf_dir) -> DataFrame, with SQL twins where they exist."""
+"""Named queries: name -> (spark, sf_dir) -> DataFrame, with SQL twins where they exist.
+
+Extensions register with ``query``; ``run`` hands a plugin-like callable whatever
+of the known inputs its signature names.
+"""
 
 from __future__ import annotations
 
+import importlib
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +18,43 @@ _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
 
 
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under a name, with its DuckDB text if SQL can express it."""
+
+    def registered(f: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        _QUERIES[name] = f
+        if oracle:
+            _ORACLE[name] = oracle
+        return f
+
+    return registered
+
+
+def _load() -> None:
+    importlib.import_module("aerolake.plans.wifi")
+    importlib.import_module("aerolake.plans.models")
+
+
 def queries() -> dict[str, Query]:
     """All registered queries."""
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB text of those that SQL can express."""
+    _load()
     return dict(_ORACLE)
+
+
+def run(plugin: Callable, **inputs):
+    """M1, M2: call a plugin with those inputs that its signature names; all of them if it takes any keyword."""
+    wanted = inspect.signature(plugin).parameters
+    if any(p.kind is inspect.Parameter.VAR_KEYWORD for p in wanted.values()):
+        return plugin(**inputs)
+    missing = [n for n, p in wanted.items() if n not in inputs and p.default is inspect.Parameter.empty and p.kind is not inspect.Parameter.VAR_POSITIONAL]
+    if missing:
+        raise TypeError(f"{plugin.__name__} needs {', '.join(missing)}")
+    return plugin(**{n: inputs[n] for n in wanted if n in inputs})
