@@ -7,7 +7,7 @@ round reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolake.runtime import discard, materialize
@@ -17,8 +17,13 @@ def _mark(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
+def _dealt_anew(key: str) -> Column:
+    """The key as a new expression: the join then deals both of its sides itself, and can split a hub's rows."""
+    return F.col(key).bitwiseXOR(F.lit(0)).alias(key)
+
+
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node that an edge touches; component is the smallest node.
+    """(node, component) for every node (a long) that an edge touches; component is the smallest node.
 
     Self-loops, repeated, reversed and null-ended edges are ignored; an empty edge
     table gives an empty result.
@@ -28,9 +33,9 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     mark = _mark(now)
     for _ in range(max_rounds if mark[0] else 0):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(_dealt_anew("u"), F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        near = large.groupBy("b").agg(F.min("a").alias("m"))
+        near = large.groupBy("b").agg(F.min("a").alias("m")).select(_dealt_anew("b"), "m")
         small = large.join(near, "b")
         ends = F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")
         after = materialize(small.select(ends).select("e.a", "e.b").where("a != b").distinct(), "cc")
