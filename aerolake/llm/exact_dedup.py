@@ -27,6 +27,10 @@ ROCKS = {
 }
 
 
+#: Rows of a group that one task compares with the group's best content, about.
+PART_ROWS = 256
+
+
 def normalised(text: Column) -> Column:
     """The text without blanks; null is empty."""
     return reduce(lambda t, blank: F.replace(t, F.lit(blank), F.lit("")), BLANKS, F.coalesce(text, F.lit("")))
@@ -87,13 +91,17 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     rows.write.parquet(path)
     arrivals = spark.read.schema(rows.schema).parquet(path)
     groups = materialize(fold_stream(spark, path, arrivals.select("digest", "best").schema, fresh_path(spark, "dedup-state"), fresh_path(spark, "dedup-groups")), "groups") if not arrivals.isEmpty() else arrivals.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max("best").alias("best"))
-    hits = groups.where("group_size > 1").select("digest", "best")
+    # A large group is dealt out in parts; each part gets the best content to compare with.
+    parts = F.ceil(F.col("group_size") / PART_ROWS).cast("int")
+    hits = groups.where("group_size > 1").select("digest", "best", parts.alias("parts"))
     if broadcastable(hits, 64):
         hits = F.broadcast(hits)
     # Full bytes on hits: every content under a digest against the best one's content.
     seen = docs.select(digest(content).alias("digest"), content.alias("content"), F.struct(F.char_length(text).alias("n"), F.col("doc_id").cast("bigint").alias("doc_id")).alias("who")).join(hits, "digest")
-    first = seen.where((F.col("who.n") == F.col("best.n")) & F.col("who.doc_id").eqNullSafe(F.when(F.col("best.named"), F.bitwise_not(F.col("best.later"))))).select("digest", F.col("content").alias("held")).dropDuplicates(["digest"])
-    clashes = materialize(seen.select("digest", "content").join(first, "digest").where("content != held").select("digest").distinct(), "clashes")
+    seen = seen.withColumn("part", F.pmod(F.xxhash64("who", F.spark_partition_id()), F.col("parts")).cast("int"))
+    first = seen.where((F.col("who.n") == F.col("best.n")) & F.col("who.doc_id").eqNullSafe(F.when(F.col("best.named"), F.bitwise_not(F.col("best.later"))))).select("digest", "parts", F.col("content").alias("held")).dropDuplicates(["digest"])
+    first = first.select("digest", "held", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    clashes = materialize(seen.select("digest", "part", "content").join(first, ["digest", "part"]).where("content != held").select("digest").distinct(), "clashes")
     found = arrivals.join(groups.withColumnRenamed("best", "best_of"), "digest")
     if not clashes.isEmpty():
         rows = docs.select(*rows_of, content.alias("content")).join(clashes, "digest", "left_semi")
