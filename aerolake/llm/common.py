@@ -27,9 +27,17 @@ def unit_hash(*cols, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def process_cache() -> dict:
-    """A dictionary that lives as long as the Python worker does, over tasks."""
-    return sys.__dict__.setdefault("_aerolake_cache", {})
+def worker_cache(key, make):
+    """What ``make`` makes, kept as long as the Python worker lives, over tasks.
+
+    Only the thing asked for last is held, so workers that serve several operators
+    in turn do not pile up their word lists.
+    """
+    held = sys.__dict__.setdefault("_aerolake_cache", {})
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from aerolake.llm.common import process_cache
+from aerolake.llm.common import worker_cache
 
 #: Runs of letters and digits, or of other signs; whatever the script, since bytes from 0x80 count as letters.
 TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\x20\x09-\x0D]+")
@@ -21,7 +21,7 @@ class Grams:
     only a word said twice makes one.
     """
 
-    def __init__(self, buckets: int = BUCKETS, stem: int | None = None, pairs: bool = True, most: int = 400_000):
+    def __init__(self, buckets: int = BUCKETS, stem: int | None = None, pairs: bool = True, most: int = 300_000):
         self.buckets, self.stem, self.pairs, self.most, self.known = buckets, stem, pairs, most, {}
 
     def hashes(self, raw: bytes) -> np.ndarray:
@@ -50,7 +50,4 @@ class Grams:
 
 def grams(*kind) -> Grams:
     """The worker's own, kept over tasks."""
-    cache = process_cache()
-    if ("grams", *kind) not in cache:
-        cache["grams", *kind] = Grams(*kind)
-    return cache["grams", *kind]
+    return worker_cache(("grams", *kind), lambda: Grams(*kind))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import process_cache, small_batches, table, utf8
+from aerolake.llm.common import small_batches, table, utf8, worker_cache
 from aerolake.runtime import materialize
 
 VOCABULARY = "word_bpe_49k.json"
@@ -30,7 +30,7 @@ class WordIds:
     stop = re.compile(rb"[.,](?=[ \n\t\r\x0b\x0c]|\Z)(?<=[a-z0-9][.,])")
     plain = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -44,10 +44,7 @@ class WordIds:
     @classmethod
     def of(cls, path: str) -> WordIds:
         """The worker's own, kept over tasks."""
-        cache = process_cache()
-        if ("ids", path) not in cache:
-            cache["ids", path] = cls(path)
-        return cache["ids", path]
+        return worker_cache(("ids", path), lambda: cls(path))
 
     def _learn(self, chunks: list[bytes]) -> None:
         known, words, keys, rest = self.known, [], [], []

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import process_cache, small_batches, table, utf8
+from aerolake.llm.common import small_batches, table, utf8, worker_cache
 
 #: Bounds of the training sample: labelled documents of each kind, by hash order.
 TOXIC_DOCS, ORDINARY_DOCS = 2000, 6000
@@ -73,7 +73,7 @@ class Model:
             state["known"], (state["ordinary"], state["toxic"]) = {}, self._compressors()
         known, words = state["known"], [w for w in raw.lower().split()]
         if missing := {w for w in words if w not in known}:
-            if len(known) + len(missing) > 400_000:
+            if len(known) + len(missing) > 300_000:
                 known.clear()
                 missing = set(words)
             a, b = state["ordinary"].compress, state["toxic"].compress
@@ -188,10 +188,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     coded = pickle.dumps((model.toxic, model.ordinary, model.weights))
 
     def of_batches(batches):
-        held = process_cache()
-        if held.get("toxicity") != coded:
-            held["toxicity"], held["toxicity-state"] = coded, {}
-        own, state = Model(*pickle.loads(coded)), held["toxicity-state"]
+        own, state = Model(*pickle.loads(coded)), worker_cache(("toxicity", coded), dict)
         for batch in batches:
             if batch.num_rows:
                 p = own.score(np.array([own.features(raw, state) for raw in utf8(batch.column(1))]))
