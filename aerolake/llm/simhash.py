@@ -13,7 +13,7 @@ one anchor and streams the other members past them.
 from __future__ import annotations
 
 import re
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +68,8 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
                 if count > block:
                     ones, spans = np.zeros(64, np.int64), iter(spans)
                     for first in range(0, count, block):
-                        part = [h64(joined[s:e], seed) for (s, e), _ in zip(spans, range(min(block, count - first)), strict=False)]
-                        ones += np.unpackbits(np.array(part, np.dtype(">u8")).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+                        part = [h64(joined[s:e], seed) for s, e in islice(spans, min(block, count - first))]
+                        ones += np.unpackbits(np.array(part, np.dtype(">u8")).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
                     out[row] = np.packbits(2 * ones > count).view(np.dtype(">u8"))[0]
                     continue
                 held += [h64(joined[s:e], seed) for s, e in spans]
