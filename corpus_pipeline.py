@@ -43,8 +43,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     some = docs.where("doc_id is null").unionByName(docs.join(named, "doc_id", "left_semi"))
     sha = F.lower(F.hex(exact_dedup.sha256(exact_dedup.normalised(F.col("text")))))
     kept = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    one = some.withColumn("_sha", sha).join(kept, (F.col("_sha") == F.col("kept_sha")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))).dropDuplicates(["_sha"])
-    return plain.unionByName(one.select(*docs.columns))
+    ours = some.withColumn("_sha", sha).join(kept, (F.col("_sha") == F.col("kept_sha")) & F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    one = ours.groupBy("_sha").agg(F.max_by(F.struct(*docs.columns), F.char_length(F.coalesce("text", F.lit("")))).alias("_row"))
+    return plain.unionByName(one.select("_row.*").select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
