@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter, defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -96,7 +97,9 @@ class _Page:
                     tags.clear()
                 tag = tags[raw] = _Tag(raw)
             name = tag.name
-            if name not in INLINE:
+            if name == "br":  # white space within a block
+                self.texts.append([len(self.roles), path, "\n", not (hard or soft), article, main])
+            elif name not in INLINE:
                 self.texts.append([len(self.roles), path, None, False, article, main])
             if m["raw"] and not tag.closing and not tag.empty and name != "textarea":
                 close = re.compile(rf"</{name}\s*>|\Z", re.I).search(source, at)
@@ -169,8 +172,9 @@ def template(pages: list[_Page]) -> set[tuple[str, str]]:
     """The (path, word) tokens of the template that these pages share.
 
     Pages with one title count once, so that copies of an article are no evidence
-    of a template.  A class needs CLASS_SIZE tokens with one vector, in one order on
-    every page; a class that repeats must lie in one gap of a valid class.
+    of a template.  The root class needs CLASS_SIZE tags that occur once, in one order
+    on every page; a class that repeats must lie in one gap of it.  Words belong to
+    the template that have a valid class's vector and one gap on all pages.
     """
     distinct = list({p.title or id(p): p for p in pages}.values())
     if len(distinct) < EVIDENCE:
@@ -179,23 +183,27 @@ def template(pages: list[_Page]) -> set[tuple[str, str]]:
     once = tuple(1 for _ in distinct)
     places = [{r: k for k, r in enumerate(p.roles)} for p in distinct]  # last place; the only one for the root class
     root = sorted(tags.get(once, []), key=lambda r: places[0][r])
-    ordered = [r for k, r in enumerate(root) if all(k == 0 or pl[root[k - 1]] < pl[r] for pl in places)]
+    ordered = {r for k, r in enumerate(root) if all(k == 0 or pl[root[k - 1]] < pl[r] for pl in places)}
     if len(ordered) < CLASS_SIZE:
         return set()
-    held = {r.rstrip("<>") for r in ordered}
+    # before[i][k]: root tags among the first k tags of page i, so a place's gap in the root class
+    before = [list(accumulate((r in ordered for r in p.roles), initial=0)) for p in distinct]
+    valid = {once}
     for vector, roles in tags.items():  # classes that repeat, nested in one gap of the root
         if vector != once and len(roles) >= 2:
-            gaps = set()
-            for page in distinct:
-                marks = [k for k, r in enumerate(page.roles) if r in set(ordered)]
-                own = [k for k, r in enumerate(page.roles) if r in set(roles)]
-                gaps |= {sum(m < k for m in marks) for k in (own[:1] + own[-1:])}
-            if len(gaps) == 1:
-                held |= {r.rstrip("<>") for r in roles}
-    fixed: set[tuple[str, str]] = set()
-    for _, tokens in words.items():
-        fixed |= {t for t in tokens if t[0] in held}
-    return fixed
+            own = set(roles)
+            spans = [[k for k, r in enumerate(p.roles) if r in own] for p in distinct]
+            if len({held[s[e]] for held, s in zip(before, spans, strict=True) if s for e in (0, -1)}) == 1:
+                valid.add(vector)
+    fixed = {token for vector, tokens in words.items() if vector in valid for token in tokens}
+    gaps: dict[tuple[str, str], set[int]] = defaultdict(set)
+    for page, held in zip(distinct, before, strict=True):
+        for at, path, text, *_ in page.texts:
+            if text:
+                for word in text.split():
+                    if (path, word) in fixed:
+                        gaps[path, word].add(held[at])
+    return {token for token, at in gaps.items() if len(at) == 1}
 
 
 def main_text(page: _Page, fixed: set[tuple[str, str]]) -> str:
@@ -203,16 +211,16 @@ def main_text(page: _Page, fixed: set[tuple[str, str]]) -> str:
     for region in (4, 5, None):
         if region is not None and not page.region[region - 4]:
             continue
-        parts = []
-        for entry in page.texts:
-            text = entry[2]
-            if text is None:
+        parts, block = [], []
+        for entry in [*page.texts, [0, "", None, False, False, False]]:
+            if entry[2] is None:  # a block ends
+                if fixed and all((path, w) in fixed for path, text in block for w in text.split()):
+                    block = []
+                parts += [html.unescape(text) for _, text in block]
                 parts.append("\n")
+                block = []
             elif entry[3] and (region is None or entry[region]):
-                words = text.split()
-                if fixed and words and all((entry[1], w) in fixed for w in words):
-                    continue
-                parts.append(html.unescape(text))
+                block.append((entry[1], entry[2]))
         if found := " ".join("".join(parts).split()):
             return found
     return ""
