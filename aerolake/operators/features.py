@@ -166,3 +166,12 @@ def device_fingerprints(events: DataFrame) -> DataFrame:
     said = F.concat_ws("|", F.lit("fp"), F.format_string("data=%d", "data_frames"), F.format_string("mgmt=%d", "mgmt_frames"), F.format_string("probes=%d", zero("probes")), F.format_string("rand=%s", S.is_local_admin(F.col("client")).cast("string")), F.array_join(F.transform("order_hashes", lambda x: x.cast("string")), ","))
     idle = (F.col("data_frames") == 0) & (F.col("mgmt_frames") == 0) & (zero("probes") == 0)
     return j.select("client", F.when(idle, F.md5(F.concat(F.lit("empty:"), "client"))).otherwise(F.md5(said)).alias("fingerprint"), S.device_class(S.is_local_admin(F.col("client")), zero("probes"), F.col("data_frames"), F.col("mgmt_frames")).alias("device_class"))
+
+
+def plugin_vectors(events: DataFrame) -> DataFrame:
+    """Plain numbers per client for plugins; vendors as a stable hash."""
+    c = fold.clients(events)
+    asked = fold.probes(events).groupBy("client").agg(F.count(F.lit(1)).alias("probes"))
+    span = fold.timed(events).where(F.coalesce("client", F.lit("")) != "").groupBy("client").agg(F.min("rssi").alias("rssi_min"), F.max("rssi").alias("rssi_max"))
+    duration = F.col("last_seen") - F.col("first_seen")
+    return c.join(asked, "client", "left").join(span, "client").select("client", duration.alias("duration"), (F.col("packets") / (duration + EPS)).alias("rate"), zero("probes").alias("probes"), "rssi_mean", "rssi_std", "rssi_min", "rssi_max", (F.crc32(S.oui_key(F.col("client")).cast("binary")) % 1000).alias("vendor_hash"))

@@ -55,6 +55,24 @@ def clients(events: DataFrame) -> DataFrame:
     )
 
 
+def client_snapshot(events: DataFrame) -> DataFrame:
+    """Mergeable state per client, to be stored and combined with later events."""
+    e = timed(events).where(F.coalesce("client", F.lit("")) != "")
+    return e.groupBy("client").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("packets"), F.count_if(F.col("fcs_error")).alias("fcs_errors"), F.count("rssi").alias("rssi_n"), F.avg("rssi").alias("rssi_mean"), (F.var_pop("rssi") * F.count("rssi")).alias("rssi_m2"))
+
+
+def merged_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One snapshot of two that share no events."""
+    both = old.unionByName(new)
+    counts = both.groupBy("client").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("packets").alias("packets"), F.sum("fcs_errors").alias("fcs_errors"))
+    return counts.join(merge_moments(both, ["client"], "rssi"), "client")
+
+
+def resumed(snapshot: DataFrame, events: DataFrame, watermark: float) -> DataFrame:
+    """A stored snapshot brought up to date with the events after its newest one (of any kind)."""
+    return merged_snapshots(snapshot, client_snapshot(events.where(F.col("ts") > watermark)))
+
+
 def access_points(events: DataFrame) -> DataFrame:
     """A row per valid access point; noise and frame errors come from management frames alone."""
     e = timed(events).where(valid_bssid(F.col("bssid")))

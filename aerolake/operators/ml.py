@@ -178,3 +178,35 @@ def regression_report(scored: DataFrame, label: str = "label", prediction: str =
     e = F.col(label) - F.col(prediction)
     mse = F.avg(e * e)
     return scored.agg(mse.alias("mse"), F.sqrt(mse).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - mse / F.var_pop(label)).alias("r2"), F.avg(F.when(F.col(label) != 0, F.abs(e / F.col(label)))).alias("mape"))
+
+
+def infer(model: Transformer, rows: DataFrame, columns: list[str], labels: list[str] | None = None, key: str = "id", raw: str = "raw") -> DataFrame:
+    """Predictions with confidence for rows; labels name the classes."""
+    out = model.transform(assembled(rows, columns, raw))
+    name = F.element_at(F.array(*[F.lit(x) for x in labels]), (F.col("prediction") + 1).cast("int")) if labels else F.col("prediction")
+    sure = F.array_max(vector_to_array("probability")) if "probability" in out.columns else F.lit(None).cast("double")
+    return out.select(key, name.alias("prediction"), sure.alias("confidence"))
+
+
+def usage(predictions: DataFrame) -> DataFrame:
+    """How often each class was predicted, and how surely."""
+    return predictions.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence"))
+
+
+def compare(reports: dict[str, DataFrame]) -> DataFrame:
+    """Reports of several models side by side."""
+    out = None
+    for name, report in reports.items():
+        one = report.select(F.lit(name).alias("model"), "*")
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def save(model, path: str) -> None:
+    """A fitted pipeline, in the shared folder."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    """A18."""
+    return PipelineModel.load(path)

@@ -140,3 +140,23 @@ def j10r(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("value as label", "value * 0.9D + user_id % 7 as prediction")
     out = ml.regression_report(rows)
     return out.select(*[r6(c) for c in ("mse", "rmse", "mae", "r2")], F.round("mape", 4).alias("mape"))
+
+
+@over("J9_inference")
+def j9(e):
+    rows = features.client_behaviour(e)
+    labels = rows.select(F.col("client").alias("mac"), F.when(F.col("data_to_mgmt_ratio") > 0.66, "laptop").otherwise("phone").alias("device_type"))
+    model, names = ml.train_behaviour(rows, labels, _BEHAVIOUR, trees=20)
+    return ml.usage(ml.infer(model, rows, _BEHAVIOUR, names, "client"))
+
+
+@query("J11_vote", "select vec_id as id, case when (vec_id % 3 = 0)::int + (vec_id % 2 = 0)::int + (vec_id % 5 = 0)::int >= 2 then 1.0 else 0.0 end::double as prediction from embeddings")
+def j11(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select("id")
+    return ml.vote([v.withColumn("prediction", (F.col("id") % k == 0).cast("double")) for k in (3, 2, 5)])
+
+
+@over("J2_retrain_gate")
+def j2(e):
+    few = _pairs(e).limit(10)
+    return e.sparkSession.createDataFrame([(ml.retrain(few, _PAIR) is not None,)], "trained boolean")

@@ -95,6 +95,11 @@ def a9(e):
     return sinks.upserted(rows.where("ts < 300"), rows.where("ts >= 300")).drop("source")
 
 
+@over("A7_labelled", sql("select trim('  ' || ssid || ' ') as ssid, bssid, 1 as label, 'ui' as source from e where ssid is not null", "e"))
+def a7(e):
+    return e.where("ssid is not null").select(*sinks.labelled(F.concat(F.lit("  "), "ssid", F.lit(" ")), F.col("bssid"), F.lit(1), "ui", 0.0)).drop("ts")
+
+
 @over("A11_packet_projection", sql("""
 select event_id, case when f between 2412 and 2484 then (f - 2407) // 5 when f between 5180 and 5825 then (f - 5000) // 5 end as channel, case when sc <> 0 then sc // 16 end as seq
 from (select event_id, (2400 + (k * 37) % 3500)::int as f, ((event_id * 37) % 4096 * 16 + k % 16)::int as sc from e)""", "e"))
@@ -315,6 +320,12 @@ def c15(e):
     return fold.merge_moments(part(e.where("ts < 250")).unionByName(part(e.where("ts >= 250"))), ["client"], "rssi").select("client", "rssi_n", r6("rssi_mean"), F.round("rssi_m2", 4).alias("rssi_m2"))
 
 
+@over("A20_C16_resumed_snapshot", sql("select client, packets, fcs_errors, round(first_seen, 6) as first_seen, round(last_seen, 6) as last_seen, rssi_n, round(rssi_mean, 6) as rssi_mean from c1", "c1"))
+def a20(e):
+    out = fold.resumed(fold.client_snapshot(e.where("ts <= 300")), e, 300.0)
+    return out.select("client", "packets", "fcs_errors", r6("first_seen"), r6("last_seen"), "rssi_n", r6("rssi_mean"))
+
+
 @over("C17_channel_ranking", sql("select channel, count(*) as aps, round(sum(frames + (100 + coalesce(rssi_mean, -100)) / 10), 4) as score, (row_number() over (order by sum(frames + (100 + coalesce(rssi_mean, -100)) / 10) desc, channel))::int as place, (case when row_number() over (order by sum(frames + (100 + coalesce(rssi_mean, -100)) / 10) desc, channel) <= 6 then 3 else 1 end)::int as visits from c3 where channel is not null group by channel", "c3"))
 def c17(e):
     return fold.channel_ranking(e).select("channel", "aps", F.round("score", 4).alias("score"), "place", "visits")
@@ -395,6 +406,13 @@ def d10(spark, sf_dir):
     return features.scaled(tabular(spark, sf_dir).select("event_id", "k"), ["k"]).select("event_id", r6("k"))
 
 
+@over("D11_plugin_vectors", sql("""
+select c1.client, round(last_seen - first_seen, 6) as duration, coalesce(p.n, 0) as probes, round(rssi_mean, 6) as rssi_mean, round(rssi_std, 6) as rssi_std, lo as rssi_min, hi as rssi_max
+from c1 left join (select client, count(*) as n from pr group by 1) p on p.client = c1.client join (select client, min(rssi) as lo, max(rssi) as hi from e where client is not null group by 1) s on s.client = c1.client""", "c1", "pr", "e"))
+def d11(e):
+    return features.plugin_vectors(e).select("client", r6("duration"), "probes", r6("rssi_mean"), r6("rssi_std"), "rssi_min", "rssi_max")
+
+
 @over("D12_B16_fingerprints", sql("""
 select c1.client, md5('fp|data=' || data_frames || '|mgmt=' || mgmt_frames || '|probes=' || coalesce(p.n, 0) || '|rand=' || (c1.client like 'b2%')::varchar || '|' || coalesce(array_to_string(hashes, ','), '')) as fingerprint,
   case when c1.client like 'b2%' and coalesce(p.n, 0) > 5 then 'mobile_device' when c1.client like 'b2%' then 'iot_device' when data_frames > 100 then 'laptop' when mgmt_frames > 50 then 'smartphone' else 'unknown' end as device_class
@@ -507,6 +525,11 @@ def g4e(e):
     return topology.graph_edges(e, topology.graph_nodes(e)).select("source", "target", r6("weight"))
 
 
+@over("G5_attributes", "select * from (values ('kind', 'string'), ('label', 'string'), ('channel', 'integer'), ('rssi_mean', 'float'), ('packets', 'long'), ('first_seen', 'float'), ('last_seen', 'float')) t(name, type)")
+def g5(e):
+    return e.sparkSession.createDataFrame(topology.attribute_types(topology.graph_nodes(e)), "name string, type string")
+
+
 @over("G8_layout", sql("select bssid, ((coalesce(channel, 1) - 1) * 3)::double as x, round((coalesce(rssi_mean, -100) + 100) * 0.3, 6) as y, ((row_number() over (order by bssid) - 1) % 3 * 2)::double as z from c3", "c3"))
 def g8(e):
     return topology.layout(fold.access_points(e)).select("bssid", "x", r6("y"), "z")

@@ -35,6 +35,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     importlib.import_module("aerolake.plans.wifi")
     importlib.import_module("aerolake.plans.models")
+    importlib.import_module("aerolake.plans.streams")
 
 
 def queries() -> dict[str, Query]:

@@ -35,7 +35,11 @@ def wifi_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     Deterministic and a pure projection, so filters on it reach the Parquet scan
     where they are on columns that it keeps (event_id).
     """
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return wifi_view(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def wifi_view(raw: DataFrame) -> DataFrame:
+    """The projection itself, of a batch or a stream of generic events."""
     base = raw.selectExpr(
         "event_id", "(unix_micros(cast(ts as timestamp)) / 1e6D - 1704067200D) / 3600D as ts", "user_id as u", "value as v", "cast(regexp_extract(props, '[0-9]+', 0) as int) as k",
         "case event_type when 'view' then 'beacon' when 'error' then 'probe_resp' when 'signup' then 'probe_req' else 'data' end as type",

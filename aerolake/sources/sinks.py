@@ -143,3 +143,25 @@ def prometheus_lines(points: DataFrame, last: int = 100) -> DataFrame:
 def labelled(ssid: Column, bssid: Column, label: Column, source: str, ts: float) -> list[Column]:
     """A label row, trimmed and stamped."""
     return [F.trim(ssid).alias("ssid"), F.trim(bssid).alias("bssid"), label.cast("int").alias("label"), F.lit(source).alias("source"), F.lit(float(ts)).alias("ts")]
+
+
+def write_inference(rows: DataFrame, path: str) -> None:
+    """Inference results as JSON lines."""
+    rows.select("ssid", "bssid", "score", "label").write.mode("overwrite").json(path)
+
+
+def write_enhanced(signals: DataFrame, traffic: DataFrame, reports: DataFrame, folder: str) -> None:
+    """Per-device reports as JSON, signal and traffic rows as CSV."""
+    reports.write.mode("overwrite").json(f"{folder}/report")
+    signals.select(F.col("device").alias("mac"), F.col("ts").alias("timestamp"), "rssi", "noise", "channel").write.mode("overwrite").csv(f"{folder}/signals", header=True)
+    traffic.select(F.col("device").alias("mac"), F.col("ts").alias("timestamp"), "size", "direction", "channel").write.mode("overwrite").csv(f"{folder}/traffic", header=True)
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    """The latest labels as CSV."""
+    latest_labels(labels).select("ssid", "bssid", "label").write.mode("overwrite").csv(path, header=True)
+
+
+def training_labels(devices: DataFrame) -> DataFrame:
+    """(mac, device_type) of labelled devices."""
+    return devices.where("device_type is not null").select("mac", "device_type")

@@ -53,32 +53,43 @@ def live_sessions(events: DataFrame, gap: str = "10 seconds", late: str = "2 hou
     return at.groupBy(F.session_window("at", gap), "client").agg(F.count(F.lit(1)).alias("frames"))
 
 
-def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Power-save changes (C11) and forward sequence steps (C12) of one client."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    was, transitions, steps, coded = state.get if state.exists else (False, 0, 0, "")
-    last = dict(x.rsplit("=", 1) for x in coded.split(";") if x)
-    # a trigger's rows of one client, in order
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for on, bssid, seq in zip(rows["on"], rows["bssid"], rows["seq"], strict=True):
-        transitions += bool(on) != was
-        was = bool(on)
-        if pd.notna(seq) and bssid:
-            step = (int(seq) - int(last[bssid])) % 4096 if bssid in last else 0
-            steps += 1 <= step <= 1000
-            last[bssid] = str(int(seq))
-    state.update((was, transitions, steps, ";".join(f"{k}={v}" for k, v in last.items())))
-    state.setTimeoutDuration(int(TTL * 1000))
-    yield pd.DataFrame({"client": [key[0]], "transitions": [transitions], "monotonic": [steps]})
-
-
-def followed(events: DataFrame) -> DataFrame:
-    """Order-dependent client state, updated with each batch and dropped after TTL without frames."""
+def _follower(ttl: float | None):
+    """Power-save changes (C11) and forward sequence steps (C12) of one client, as a state function."""
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        was, transitions, steps, coded = state.get if state.exists else (False, 0, 0, "")
+        last = dict(x.rsplit("=", 1) for x in coded.split(";") if x)
+        # a trigger's rows of one client, in order
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        for on, bssid, seq in zip(rows["on"], rows["bssid"], rows["seq"], strict=True):
+            transitions += bool(on) != was
+            was = bool(on)
+            if pd.notna(seq) and bssid:
+                step = (int(seq) - int(last[bssid])) % 4096 if bssid in last else 0
+                steps += 1 <= step <= 1000
+                last[bssid] = str(int(seq))
+        state.update((was, transitions, steps, ";".join(f"{k}={v}" for k, v in last.items())))
+        if ttl is not None:
+            state.setTimeoutDuration(int(ttl * 1000))
+        yield pd.DataFrame({"client": [key[0]], "transitions": [transitions], "monotonic": [steps]})
+
+    return follow
+
+
+def followed(events: DataFrame, ttl: float | None = None) -> DataFrame:
+    """Order-dependent client state, updated with each batch.
+
+    ttl (a live stream's TTL): seconds of the clock without frames after which a
+    client's state goes.  A stream that is to end by itself needs None, since timers
+    keep it going.
+    """
     from aerolake.operators.fold import _usable
     from aerolake.sources.events import valid_bssid
 
     rows = events.where((F.col("type") == "data") & F.col("ts").isNotNull() & (F.coalesce("client", F.lit("")) != "") & _usable())
     rows = rows.select("client", "ts", "event_id", F.coalesce("is_powersave", F.lit(False)).alias("on"), F.when(valid_bssid(F.col("bssid")), F.col("bssid")).alias("bssid"), "seq")
-    return rows.groupBy("client").applyInPandasWithState(_follow, "client string, transitions long, monotonic long", "was boolean, transitions long, steps long, last string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("client").applyInPandasWithState(_follower(ttl), "client string, transitions long, monotonic long", "was boolean, transitions long, steps long, last string", "update", timeout)
