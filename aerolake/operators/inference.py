@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from aerolake.functions import scalars as S
 from aerolake.operators import features, fold
 from aerolake.operators.components import connected_components
-from aerolake.runtime import materialize
+from aerolake.runtime import discard, materialize
 from aerolake.sources.events import HIDDEN
 
 #: Weights of the score's parts, and other fixed values of the scoring.
@@ -82,37 +82,55 @@ def assignment(weights: np.ndarray) -> list[tuple[int, int]]:
     return [(owner[j] - 1, j - 1) for j in range(1, columns + 1) if owner[j] and weights[owner[j] - 1, j - 1] > 0]
 
 
+def dominant(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """A greedy matching, at least half the best weight: again and again the edges that are the best at both ends.
+
+    Rounds of two aggregates and joins; no node's edges are gathered.
+    """
+    order = F.struct("score", F.xxhash64("ssid", "bssid").alias("h"), "ssid", "bssid")
+    left, found = materialize(edges.select("ssid", "bssid", "score"), "greedy"), None
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            break
+        by_name = left.groupBy("ssid").agg(F.max(order).alias("best"))
+        by_point = left.groupBy("bssid").agg(F.max(order).alias("best"))
+        taken = materialize(by_name.select("best").join(by_point.select("best"), "best").select("best.ssid", "best.bssid", "best.score"), "greedy-taken")
+        found = taken if found is None else found.unionByName(taken)
+        after = materialize(left.join(taken.select("ssid"), "ssid", "left_anti").join(taken.select("bssid"), "bssid", "left_anti").select("ssid", "bssid", "score"), "greedy")
+        discard(left)
+        left = after
+    return left.limit(0) if found is None else found
+
+
 def matched(edges: DataFrame, exact_nodes: int = EXACT_NODES) -> DataFrame:
     """E5: edges (ssid, bssid, score) of a maximum-weight matching, by connected component.
 
-    A component larger than ``exact_nodes`` on its shorter side is matched greedily by
-    falling weight, at least half the best weight, and marked exact = False.
+    Only a component of at most ``exact_nodes`` names or points, and 50 edges for each,
+    is gathered and matched exactly; larger ones are matched by ``dominant`` and marked
+    exact = False.
     """
     nodes = edges.select(F.xxhash64(F.lit(0), "ssid").alias("a"), F.xxhash64(F.lit(1), "bssid").alias("b"), "ssid", "bssid", "score")
     nodes = materialize(nodes, "match-edges")
     comp = connected_components(nodes)
-    tagged = nodes.join(comp, nodes["a"] == comp["node"]).select("component", "ssid", "bssid", "score")
+    tagged = materialize(nodes.join(comp, nodes["a"] == comp["node"]).select("component", "ssid", "bssid", "score"), "match-components")
+    shape = tagged.groupBy("component").agg(F.count_distinct("ssid").alias("names"), F.count_distinct("bssid").alias("points"), F.count(F.lit(1)).alias("edges"))
+    large = materialize(shape.where((F.least("names", "points") > exact_nodes) | (F.col("edges") > 50 * exact_nodes)).select("component"), "large-components")
 
     def of_component(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ssid", "bssid"]).reset_index(drop=True)
         i, names = pd.factorize(pdf["ssid"], sort=True)
         j, points = pd.factorize(pdf["bssid"], sort=True)
-        exact = min(len(names), len(points)) <= exact_nodes
-        if exact:
-            w = np.zeros((len(names), len(points)))
-            w[i, j] = pdf["score"]
-            found = assignment(w) if len(names) <= len(points) else [(a, b) for b, a in assignment(w.T)]
-            keep = pd.MultiIndex.from_arrays([i, j]).isin(found) if found else np.zeros(len(pdf), bool)
-        else:
-            keep, left, right = np.zeros(len(pdf), bool), set(), set()
-            for k in pdf.sort_values(["score", "ssid", "bssid"], ascending=[False, True, True]).index:
-                if i[k] not in left and j[k] not in right:
-                    keep[k] = True
-                    left.add(i[k])
-                    right.add(j[k])
-        return pdf.loc[keep, ["ssid", "bssid", "score"]].assign(exact=exact)
-
-    return tagged.groupBy("component").applyInPandas(of_component, "ssid string, bssid string, score double, exact boolean")
+        w = np.zeros((len(names), len(points)))
+        w[i, j] = pdf["score"]
+        found = assignment(w) if len(names) <= len(points) else [(a, b) for b, a in assignment(w.T)]
+        keep = pd.MultiIndex.from_arrays([i, j]).isin(found) if found else np.zeros(len(pdf), bool)
+        return pdf.loc[keep, ["ssid", "bssid", "score"]]
+
+    kinds = "ssid string, bssid string, score double"
+    if large.isEmpty():
+        return tagged.groupBy("component").applyInPandas(of_component, kinds).withColumn("exact", F.lit(True))
+    exact = tagged.join(large, "component", "left_anti").groupBy("component").applyInPandas(of_component, kinds).withColumn("exact", F.lit(True))
+    return exact.unionByName(dominant(tagged.join(large, "component", "left_semi")).withColumn("exact", F.lit(False)))
 
 
 def inferred(events: DataFrame, model=None) -> DataFrame:

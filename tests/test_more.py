@@ -37,6 +37,20 @@ def test_matching_total(spark):
     assert len({r.ssid for r in got}) == len(got) == len({r.bssid for r in got})
 
 
+def test_greedy_matching(spark):
+    rng = random.Random(4)
+    edges = [(f"s{i}", f"b{j}", round(rng.random(), 2) + 0.01) for i in range(8) for j in range(9) if rng.random() < 0.7]
+    got = inference.matched(spark.createDataFrame(edges, "ssid string, bssid string, score double"), exact_nodes=2).collect()
+    assert not any(r.exact for r in got) and len({r.ssid for r in got}) == len(got) == len({r.bssid for r in got})
+    w = np.zeros((8, 9))
+    for s, b, x in edges:
+        w[int(s[1]), int(b[1])] = x
+    best = sum(w[i, j] for i, j in inference.assignment(w))
+    assert best / 2 <= sum(r.score for r in got) <= best + 1e-9
+    names, points = {r.ssid for r in got}, {r.bssid for r in got}
+    assert all(s in names or b in points for s, b, _ in edges)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(500, 500 + k) for k in range(50)] + [(900 + k, 901 + k) for k in range(40)] + [(7, 7)]
