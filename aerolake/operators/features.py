@@ -77,8 +77,7 @@ def client_behaviour(events: DataFrame, least: int = 5) -> DataFrame:
     session_frequency divides by the whole duration, session_frequency_ref by that
     of the last session (by the whole where there is none).
     """
-    w = Window.partitionBy("client").orderBy("ts", "event_id")
-    gaps = fold.timed(events).where(F.coalesce("client", F.lit("")) != "").select("client", (F.col("ts") - F.lag("ts").over(w)).alias("d"))
+    gaps = fold.previous(fold.timed(events).where(F.coalesce("client", F.lit("")) != "").select("client", "ts", "event_id"), ["client"], ["ts"]).select("client", (F.col("ts") - F.col("was.ts")).alias("d"))
     gaps = gaps.groupBy("client").agg(F.avg("d").alias("packet_interval_mean"), F.stddev_pop("d").alias("packet_interval_std"), F.max(F.abs("d")).alias("widest"))
     s = sessions(events).groupBy("client").agg(F.count(F.lit(1)).alias("n"), F.avg("duration").alias("avg_session_duration"), F.avg("packets").alias("avg_packets_per_session"), F.max_by("duration", "session").alias("last_duration"))
     asked = fold.probes(events).groupBy("client").agg(F.count(F.lit(1)).alias("unique_probes_count"), F.count_if(F.col("ssid") != BROADCAST).alias("probed_ssid_diversity"), F.count_if(F.col("ssid").isin(*PUBLIC)).alias("probed_public_ssids"))

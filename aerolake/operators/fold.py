@@ -13,6 +13,25 @@ from pyspark.sql import functions as F
 from aerolake.sources.events import BROADCAST, HIDDEN, MGMT, ordering, valid_bssid
 
 
+#: Seconds of a stretch of one key's rows that a task orders; a busy key is spread over its stretches.
+STRETCH = 86_400.0
+
+
+def previous(rows: DataFrame, keys: list[str], values: list[str], stretch: float = STRETCH) -> DataFrame:
+    """rows with ``was``, a struct of the values of the key's row before in (ts, event_id) order; null for its first.
+
+    Rows are ordered within stretches of time, so that no key is ordered by one task;
+    a stretch's first row gets the last row of the stretch before, of which there is
+    one row a key and stretch.
+    """
+    held = rows.withColumn("_s", F.floor(F.col("ts") / stretch))
+    inside = Window.partitionBy(*keys, "_s").orderBy("ts", "event_id")
+    held = held.withColumn("_v", F.struct(*values)).withColumn("_in", F.lag("_v").over(inside))
+    tails = held.groupBy(*keys, "_s").agg(F.max_by("_v", F.struct("ts", "event_id")).alias("_tail"))
+    tails = tails.withColumn("_before", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_s"))).drop("_tail")
+    return held.join(tails, [*keys, "_s"]).withColumn("was", F.coalesce("_in", "_before")).drop("_s", "_v", "_in", "_before")
+
+
 def timed(events: DataFrame) -> DataFrame:
     """Events that the fold sees."""
     return events.where("ts is not null")
@@ -154,17 +173,15 @@ def name_map(events: DataFrame) -> DataFrame:
 def power_saves(events: DataFrame) -> DataFrame:
     """C11: changes of the power-save bit over a client's data frames, from off; last time it was on."""
     e = timed(events).where((F.col("type") == "data") & (F.coalesce("client", F.lit("")) != "") & _usable())
-    on = F.coalesce("is_powersave", F.lit(False))
-    w = Window.partitionBy("client").orderBy("ts", "event_id")
-    e = e.select("client", "ts", "event_id", on.alias("on")).withColumn("was", F.lag("on", 1, False).over(w))
-    return e.groupBy("client").agg(F.count_if(F.col("on") != F.col("was")).alias("transitions"), F.coalesce(F.max(F.when(F.col("on"), F.col("ts"))), F.lit(0.0)).alias("last_powersave"))
+    e = previous(e.select("client", "ts", "event_id", F.coalesce("is_powersave", F.lit(False)).alias("on")), ["client"], ["on"])
+    return e.groupBy("client").agg(F.count_if(F.col("on") != F.coalesce("was.on", F.lit(False))).alias("transitions"), F.coalesce(F.max(F.when(F.col("on"), F.col("ts"))), F.lit(0.0)).alias("last_powersave"))
 
 
 def sequences(events: DataFrame) -> DataFrame:
     """Forward steps (1 to 1000, modulo 4096) of sequence numbers per client and access point."""
-    w = Window.partitionBy("client", "bssid").orderBy("ts", "event_id")
-    e = data_frames(events).where("seq is not null").select("client", "bssid", F.pmod(F.col("seq") - F.lag("seq").over(w), F.lit(4096)).alias("step"))
-    return e.groupBy("client", "bssid").agg(F.count_if(F.col("step").between(1, 1000)).alias("monotonic"))
+    e = previous(data_frames(events).where("seq is not null").select("client", "bssid", "ts", "event_id", "seq"), ["client", "bssid"], ["seq"])
+    step = F.pmod(F.col("seq") - F.col("was.seq"), F.lit(4096))
+    return e.groupBy("client", "bssid").agg(F.count_if(step.between(1, 1000)).alias("monotonic"))
 
 
 def identities(events: DataFrame) -> DataFrame:

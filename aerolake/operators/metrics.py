@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolake.functions import scalars as S
-from aerolake.operators.fold import timed
+from aerolake.operators.fold import previous, timed
 
 NOISE = -95.0
 zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -46,10 +46,11 @@ def signal_quality(rows: DataFrame) -> DataFrame:
 
 def traffic_pattern(rows: DataFrame, burst_gap: float = 0.1) -> DataFrame:
     """H3-H5: volume, rates, bursts (runs of gaps below ``burst_gap``) and peak over adjacent frames, per device."""
-    w = Window.partitionBy("device").orderBy("ts", "event_id")
-    r = rows.withColumns({"gap": F.col("ts") - F.lag("ts").over(w), "before": F.lag("size").over(w)})
+    r = previous(rows, ["device"], ["ts", "size"])
+    r = r.withColumns({"gap": F.col("ts") - F.col("was.ts"), "before": F.col("was.size")}).drop("was")
     r = r.withColumn("close", F.coalesce(F.col("gap") < burst_gap, F.lit(False)))
-    r = r.withColumn("starts", F.col("close") & ~F.lag("close", 1, False).over(w))
+    r = previous(r, ["device"], ["close"])
+    r = r.withColumn("starts", F.col("close") & ~F.coalesce("was.close", F.lit(False)))
     span = F.max("ts") - F.min("ts")
     rate = lambda d: F.when(span > 0, F.sum(F.when(F.col("direction") == d, F.col("size")).otherwise(0)) * 8 / (span * 1e6)).otherwise(0.0)
     peak = F.max(F.when(F.col("gap") > 0, (F.col("size") + F.col("before")) * 8 / (F.col("gap") * 1e6)))

@@ -11,8 +11,8 @@ from aerolake.sources.events import BROADCAST
 
 def roaming(events: DataFrame) -> DataFrame:
     """G1: how often clients moved from one access point to another, over consecutive frames that name one."""
-    w = Window.partitionBy("client").orderBy("ts", "event_id")
-    e = fold.timed(events).where((F.coalesce("client", F.lit("")) != "") & (F.coalesce("bssid", F.lit("")) != "")).select("client", "bssid", F.lag("bssid").over(w).alias("source"))
+    e = fold.timed(events).where((F.coalesce("client", F.lit("")) != "") & (F.coalesce("bssid", F.lit("")) != "")).select("client", "ts", "event_id", "bssid")
+    e = fold.previous(e, ["client"], ["bssid"]).select(F.col("was.bssid").alias("source"), "bssid")
     return e.where("source != bssid").groupBy("source", F.col("bssid").alias("target")).agg(F.count(F.lit(1)).alias("moves"))
 
 

@@ -85,6 +85,18 @@ def test_fold_equals_walk(spark, seed):
     assert {r.bssid: r.ssid for r in aps if r.ssid} == want["ssid"]
 
 
+def test_stretches(spark):
+    """The row before, however time is cut."""
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), float(rng.randrange(50)), i, i) for i in range(80)]
+    df = spark.createDataFrame(rows, "k string, ts double, event_id long, v int")
+    want, last = {}, {}
+    for k, _, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[i], last[k] = last.get(k), v
+    for stretch in (1.0, 7.0, 1000.0):
+        assert {r.event_id: r.was.v if r.was else None for r in fold.previous(df, ["k"], ["v"], stretch).collect()} == want
+
+
 def test_empty_log(spark):
     e = spark.createDataFrame([], SCHEMA)
     assert fold.clients(e).count() == 0
