@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolake.functions import scalars as S
 from aerolake.operators import fold
+from aerolake.runtime import materialize
 from aerolake.sources.events import BROADCAST, HIDDEN
 
 EPS = 1e-6
@@ -21,14 +22,16 @@ def zero(c: str) -> Column:
 
 def pairs(events: DataFrame) -> DataFrame:
     """19 features of every (ssid, bssid) that some source supports, hidden names left out."""
-    support = fold.probes(events).select("client", "ssid").join(fold.seen_with(events), "client")
+    # Two small tables that several parts need are made once, instead of from a scan each.
+    asked, met = materialize(fold.probes(events), "probes"), materialize(fold.contacts(events), "contacts")
+    support = asked.select("client", "ssid").join(met.select("client", "bssid"), "client")
     seq = fold.sequences(events)
     backed = support.join(seq, ["client", "bssid"], "left").groupBy("ssid", "bssid").agg(F.count(F.lit(1)).alias("supporting_clients"), F.sum(zero("monotonic")).alias("seq_support"))
     aps, parsed = fold.access_points(events), F.col("parsed")
     aps = aps.join(fold.interval_modes(events), "bssid", "left").join(fold.element_sets(events), "bssid", "left").withColumn("parsed", S.parse_ies(F.col("ies")))
     known = S.is_local_admin(F.col("bssid"))
     return (
-        fold.name_map(events).where(F.col("ssid") != HIDDEN).join(backed, ["ssid", "bssid"], "left").join(aps.drop("ssid"), "bssid", "left")
+        fold.name_map(events, asked, met).where(F.col("ssid") != HIDDEN).join(backed, ["ssid", "bssid"], "left").join(aps.drop("ssid"), "bssid", "left")
         .select(
             "ssid", "bssid", zero("beacons").alias("beacon_count"), zero("probe_resps").alias("probe_resp_count"), zero("supporting_clients").alias("supporting_clients"),
             F.coalesce("rssi_mean", F.lit(0.0)).alias("rssi_mean"), F.coalesce("rssi_std", F.lit(0.0)).alias("rssi_std"), zero("channel").alias("channel"),

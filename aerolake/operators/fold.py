@@ -141,33 +141,38 @@ def data_frames(events: DataFrame) -> DataFrame:
     return timed(events).where((F.col("type") == "data") & (F.coalesce("client", F.lit("")) != "") & valid_bssid(F.col("bssid")))
 
 
+def contacts(events: DataFrame) -> DataFrame:
+    """(client, bssid, last) of data frames, with the order of the last one."""
+    return data_frames(events).groupBy("client", "bssid").agg(F.max(ordering()).alias("last"))
+
+
 def seen_with(events: DataFrame) -> DataFrame:
     """Distinct (client, bssid) of data frames."""
     return data_frames(events).select("client", "bssid").distinct()
 
 
-def associations(events: DataFrame) -> DataFrame:
+def associations(events: DataFrame, asked: DataFrame | None = None, met: DataFrame | None = None) -> DataFrame:
     """(ssid, bssid) where some client sent data to bssid after probing for ssid.
 
     Both sides shrink to one row per pair before they meet: the first probe against
-    the last data frame.
+    the last data frame.  asked, met: ``probes`` and ``contacts``, where they are at hand.
     """
-    last = data_frames(events).groupBy("client", "bssid").agg(F.max(ordering()).alias("last"))
-    return probes(events).join(last, "client").where("first < last").select("ssid", "bssid").distinct()
+    asked, met = asked or probes(events), met or contacts(events)
+    return asked.join(met, "client").where("first < last").select("ssid", "bssid").distinct()
 
 
-def name_sources(events: DataFrame) -> DataFrame:
+def name_sources(events: DataFrame, asked: DataFrame | None = None, met: DataFrame | None = None) -> DataFrame:
     """Distinct (ssid, source, mac)."""
     e = timed(events)
+    asked = asked or probes(e)
     named = e.where(valid_bssid(F.col("bssid")) & F.col("type").isin(*MGMT) & (F.coalesce("ssid", F.lit("")) != "")).select("ssid", F.col("type").alias("source"), F.col("bssid").alias("mac"))
-    asked = probes(e).select("ssid", F.lit("probe_req").alias("source"), F.col("client").alias("mac"))
-    linked = associations(e).select("ssid", F.lit("client_probe_assoc").alias("source"), F.col("bssid").alias("mac"))
-    return named.unionByName(asked).unionByName(linked).distinct()
+    linked = associations(e, asked, met).select("ssid", F.lit("client_probe_assoc").alias("source"), F.col("bssid").alias("mac"))
+    return named.unionByName(asked.select("ssid", F.lit("probe_req").alias("source"), F.col("client").alias("mac"))).unionByName(linked).distinct()
 
 
-def name_map(events: DataFrame) -> DataFrame:
+def name_map(events: DataFrame, asked: DataFrame | None = None, met: DataFrame | None = None) -> DataFrame:
     """Distinct (ssid, bssid) that any source supports."""
-    return name_sources(events).where("source != 'probe_req'").select("ssid", F.col("mac").alias("bssid")).distinct()
+    return name_sources(events, asked, met).where("source != 'probe_req'").select("ssid", F.col("mac").alias("bssid")).distinct()
 
 
 def power_saves(events: DataFrame) -> DataFrame:
