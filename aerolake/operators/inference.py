@@ -82,6 +82,20 @@ def assignment(weights: np.ndarray) -> list[tuple[int, int]]:
     return [(owner[j] - 1, j - 1) for j in range(1, columns + 1) if owner[j] and weights[owner[j] - 1, j - 1] > 0]
 
 
+_KINDS = "ssid string, bssid string, score double"
+
+
+def _exactly(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The best matching of a gathered graph."""
+    pdf = pdf[["ssid", "bssid", "score"]].sort_values(["ssid", "bssid"]).reset_index(drop=True)
+    i, names = pd.factorize(pdf["ssid"], sort=True)
+    j, points = pd.factorize(pdf["bssid"], sort=True)
+    w = np.zeros((len(names), len(points)))
+    w[i, j] = pdf["score"]
+    found = assignment(w) if len(names) <= len(points) else [(a, b) for b, a in assignment(w.T)]
+    return pdf.loc[pd.MultiIndex.from_arrays([i, j]).isin(found) if found else np.zeros(len(pdf), bool)]
+
+
 def dominant(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """A greedy matching, at least half the best weight: again and again the edges that are the best at both ends.
 
@@ -107,8 +121,12 @@ def matched(edges: DataFrame, exact_nodes: int = EXACT_NODES) -> DataFrame:
 
     Only a component of at most ``exact_nodes`` names or points, and 50 edges for each,
     is gathered and matched exactly; larger ones are matched by ``dominant`` and marked
-    exact = False.
+    exact = False.  A whole graph of that size needs no parting.
     """
+    edges = materialize(edges.select("ssid", "bssid", "score"), "match-input")
+    names_, points_, edges_ = edges.agg(F.count_distinct("ssid"), F.count_distinct("bssid"), F.count(F.lit(1))).first()
+    if min(names_, points_) <= exact_nodes and edges_ <= 50 * exact_nodes:
+        return edges.groupBy(F.lit(0).alias("component")).applyInPandas(_exactly, _KINDS).withColumn("exact", F.lit(True))
     nodes = edges.select(F.xxhash64(F.lit(0), "ssid").alias("a"), F.xxhash64(F.lit(1), "bssid").alias("b"), "ssid", "bssid", "score")
     nodes = materialize(nodes, "match-edges")
     comp = connected_components(nodes)
@@ -116,20 +134,9 @@ def matched(edges: DataFrame, exact_nodes: int = EXACT_NODES) -> DataFrame:
     shape = tagged.groupBy("component").agg(F.count_distinct("ssid").alias("names"), F.count_distinct("bssid").alias("points"), F.count(F.lit(1)).alias("edges"))
     large = materialize(shape.where((F.least("names", "points") > exact_nodes) | (F.col("edges") > 50 * exact_nodes)).select("component"), "large-components")
 
-    def of_component(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ssid", "bssid"]).reset_index(drop=True)
-        i, names = pd.factorize(pdf["ssid"], sort=True)
-        j, points = pd.factorize(pdf["bssid"], sort=True)
-        w = np.zeros((len(names), len(points)))
-        w[i, j] = pdf["score"]
-        found = assignment(w) if len(names) <= len(points) else [(a, b) for b, a in assignment(w.T)]
-        keep = pd.MultiIndex.from_arrays([i, j]).isin(found) if found else np.zeros(len(pdf), bool)
-        return pdf.loc[keep, ["ssid", "bssid", "score"]]
-
-    kinds = "ssid string, bssid string, score double"
     if large.isEmpty():
-        return tagged.groupBy("component").applyInPandas(of_component, kinds).withColumn("exact", F.lit(True))
-    exact = tagged.join(large, "component", "left_anti").groupBy("component").applyInPandas(of_component, kinds).withColumn("exact", F.lit(True))
+        return tagged.groupBy("component").applyInPandas(_exactly, _KINDS).withColumn("exact", F.lit(True))
+    exact = tagged.join(large, "component", "left_anti").groupBy("component").applyInPandas(_exactly, _KINDS).withColumn("exact", F.lit(True))
     return exact.unionByName(dominant(tagged.join(large, "component", "left_semi")).withColumn("exact", F.lit(False)))
 
 
