@@ -66,28 +66,35 @@ class Classifier:
         return p / p.sum(axis=1, keepdims=True)
 
 
+def log_ratios(counts: np.ndarray) -> np.ndarray:
+    """Of each bucket, how much more a domain (row) holds it than all do, with PRIOR pseudo-counts."""
+    all_ = counts.sum(axis=0)
+    expected = all_ * (counts.sum(axis=1, keepdims=True) / max(1.0, all_.sum()))
+    return np.log((counts + PRIOR) / (expected + PRIOR))
+
+
 def learn(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> Classifier | None:
-    """Likelihoods from one half of the labelled documents, calibration on at most ``calibrate`` of the other half.
+    """Ratios from all labelled documents; calibrated on at most ``calibrate`` of them, each half under the other half's ratios.
 
     None where nothing is labelled.
     """
     marks = labels.select("doc_id", domain_of().alias("domain")).where("domain is not null").groupBy("doc_id").agg(F.max("domain").alias("domain"))
-    marks = marks.withColumn("half", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(2)))
+    marks = marks.withColumn("half", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(2)).cast("int"))
     known = docs.select("doc_id", "text").join(F.broadcast(marks) if broadcastable(marks, 28) else marks, "doc_id")
-    counts = gram_counts(known.where("half = 0").select("text", (F.col("domain") + 1).alias("class")), len(DOMAINS) + 1, *KIND)
-    expected = counts[0] * (counts[1:].sum(axis=1, keepdims=True) / max(1.0, counts[0].sum()))
-    chosen = marks.where("half = 1").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id").limit(calibrate).select("doc_id", "domain")
+    counts = gram_counts(known.select("text", (F.col("domain") * 2 + F.col("half") + 1).alias("class")), 2 * len(DOMAINS) + 1, *KIND)[1:]
+    halves = [log_ratios(counts[h::2]) for h in (0, 1)]
+    chosen = marks.orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id").limit(calibrate)
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``calibrate`` rows
-    model = Classifier(np.log((counts[1:] + PRIOR) / (expected + PRIOR)), [])
-    ratios = model.ratios
+    model = Classifier(log_ratios(counts[0::2] + counts[1::2]), [])
 
     def of_batches(batches):
-        own = Classifier(ratios, [])
+        own = [Classifier(r, []) for r in halves]
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(list(own.features(utf8(batch.column(1)))), pa.list_(pa.float64())), batch.column(2).cast(pa.int32())], ["doc_id", "x", "domain"])
+            x = [own[1 - h].features([raw])[0] for raw, h in zip(utf8(batch.column(1)), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(x, pa.list_(pa.float64())), batch.column(2).cast(pa.int32())], ["doc_id", "x", "domain"])
 
     small_batches(docs.sparkSession)
-    rows = some.select("doc_id", "text", "domain").mapInArrow(of_batches, "doc_id long, x array<double>, domain int").toPandas().sort_values("doc_id")
+    rows = some.select("doc_id", "text", "domain", "half").mapInArrow(of_batches, "doc_id long, x array<double>, domain int").toPandas().sort_values("doc_id")
     if not len(rows):
         return None
     x, y = np.array(rows["x"].tolist()), rows["domain"].to_numpy()
