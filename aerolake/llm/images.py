@@ -29,8 +29,6 @@ TABLES, KEY_BITS, DIFFER = 8, 32, 40
 AGREE, RICH = 3, 16
 #: Pixels that shifts of a bin of votes differ by; pixels that a match may be off its fitted place.
 SHIFT, NEAR = 16, 2.5
-#: Members of a bucket that are compared all with all.
-BUCKET = 32
 _RNG = np.random.default_rng(1)
 _PAIRS = np.clip(np.round(_RNG.normal(0, RADIUS / 2.2, (TESTS, 2, 2))), -RADIUS + 2, RADIUS - 2)
 _KEYS = [np.sort(_RNG.permutation(TESTS)[:KEY_BITS]) for _ in range(TABLES)]
@@ -185,43 +183,49 @@ def described(images: DataFrame) -> DataFrame:
 _MATCH = "a long, b long, pa int, pb int, turn float, grow float, ya float, xa float, yb float, xb float"
 
 
+def _mask(key: np.ndarray) -> np.ndarray:
+    """The bits of a key within the four words of a descriptor."""
+    bits = np.zeros(TESTS, bool)
+    bits[key] = True
+    return np.packbits(bits).view(np.dtype(">u8")).astype(np.uint64)
+
+
+_MASKS = [_mask(k) for k in _KEYS]
+
+
 def _met(batches):
-    """Matches within the buckets of rows sorted by table and key; buckets may run over batches."""
+    """Matches within the buckets of rows sorted by table, key and cell; buckets may run over batches.
+
+    All pairs of a bucket are compared, each pair of corners in the first table whose key
+    it shares.  Of a cell of two groups the pairs across the groups are compared.
+    """
     names = [f.split()[0] for f in _MATCH.split(", ")]
     held: list[np.ndarray] = []
 
     def compared(columns):
-        table_, key, image, point, d, y, x, scale, angle = columns
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (table_[1:] != table_[:-1])))
+        table_, key, cell, own, cross, image, point, y, x, scale, angle, *d = columns
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (table_[1:] != table_[:-1]) | (cell[1:] != cell[:-1])))
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(key)))
-        found = []
-        few = np.flatnonzero((size > 1) & (size <= BUCKET))
-        first, many = np.repeat(start[few], size[few]), np.repeat(size[few], size[few])
-        rows = first + np.arange(len(first)) - np.repeat(np.cumsum(size[few]) - size[few], size[few])
-        later = first + many - rows - 1  # members of the bucket after this one
-        for at in range(0, len(rows), 100_000):
-            r, n = rows[at : at + 100_000], later[at : at + 100_000]
-            i = np.repeat(r, n)
-            found.append((i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)))
-        for k in np.flatnonzero(size > BUCKET):
-            todo = [(np.arange(start[k], start[k] + size[k]), 0)]
-            while todo:
-                part, level = todo.pop()
-                if len(part) <= BUCKET:
-                    i, j = np.triu_indices(len(part), 1)
-                    found.append((part[i], part[j]))
-                elif level == 4:  # nearly equal: all to the smallest image
-                    hub = part[np.lexsort((point[part], image[part]))[0]]
-                    found.append((np.full(len(part) - 1, hub), part[part != hub]))
-                else:
-                    bits = d[part, level] >> np.uint64(48)
-                    order = np.argsort(bits, kind="stable")
-                    cut = np.flatnonzero(np.diff(bits[order])) + 1
-                    todo += [(p, level + 1) for p in np.split(part[order], cut) if len(p) > 1]
-        for i, j in found:
-            near = (np.bitwise_count(d[i] ^ d[j]).sum(axis=1) <= DIFFER) & (image[i] != image[j])
-            i, j = i[near], j[near]
+        later = np.repeat(start + size, size) - np.arange(len(key)) - 1  # members of the bucket after this one
+        ends = np.cumsum(later)
+        at = 0
+        while at < len(key):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + PAIRS_AT_ONCE)))
+            n = later[at:to]
+            i = np.repeat(np.arange(at, to), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            at = to
+            differ = np.zeros(len(i), np.uint16)
+            apart = [w[i] ^ w[j] for w in d]
+            for w in apart:
+                differ += np.bitwise_count(w)
+            near = (differ <= DIFFER) & (image[i] != image[j]) & (~cross[i] | (own[i] != own[j]))
+            i, j, apart = i[near], j[near], [w[near] for w in apart]
+            first = np.ones(len(i), bool)
+            for t, mask in enumerate(_MASKS[:-1]):
+                first &= (table_[i] <= t) | (sum((w & m != 0).astype(np.uint8) for w, m in zip(apart, mask, strict=True)) > 0)
+            i, j = i[first], j[first]
             i, j = np.where(image[i] < image[j], i, j), np.where(image[i] < image[j], j, i)
             turn, grow = angle[j] - angle[i], scale[j] / scale[i]
             for k in range(0, len(i), 50_000):
@@ -229,14 +233,13 @@ def _met(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(v[c]) for v in (image[i], image[j], point[i], point[j], *(v.astype(np.float32) for v in (turn, grow, y[i], x[i], y[j], x[j])))], names)
 
     for batch in batches:
-        get = lambda k: batch.column(k).to_numpy(zero_copy_only=False)
-        d = np.stack([get(4 + k).view(np.uint64) for k in range(4)], axis=1) if batch.num_rows else np.zeros((0, 4), np.uint64)
-        now = [get(0), get(1), get(2), get(3), d, get(8), get(9), get(10), get(11)]
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        now[11:] = [c.view(np.uint64) for c in now[11:]]
         if held:
             now = [np.concatenate((h, n)) for h, n in zip(held, now, strict=True)]
         if not len(now[0]):
             continue
-        last = np.flatnonzero((now[1] != now[1][-1]) | (now[0] != now[0][-1]))
+        last = np.flatnonzero((now[2] != now[2][-1]) | (now[1] != now[1][-1]) | (now[0] != now[0][-1]))
         whole = int(last[-1]) + 1 if len(last) else 0
         if whole:
             yield from compared([n[:whole] for n in now])
@@ -245,37 +248,31 @@ def _met(batches):
         yield from compared(held)
 
 
-#: Rows of a bucket that one task may hold; fuller ones are dealt by further bits.
-FULL = 50_000
+#: Rows of a bucket that one task compares alone; fuller ones are dealt to cells. Pairs held at once.
+FULL, PAIRS_AT_ONCE = 10_000, 500_000
 
 
 def matches(points: DataFrame) -> DataFrame:
     """Corners of two images (a < b) whose descriptors differ in at most DIFFER bits, and the similarity transform that each match implies.
 
-    Equal descriptors are matched to the one of the smallest image, so their number
-    is linear; different ones meet within the buckets of each table.  A bucket of
-    more than BUCKET descriptors is parted by further bits until parts are small; what
-    64 further bits cannot part is nearly equal, and matched to the smallest image.
+    Every two corners that share a key of a table are compared, whatever the size of
+    their bucket, and matched once.  A bucket of more than FULL rows is dealt, by a hash, to
+    groups of about FULL / 2, and every two groups meet in a cell of their own.
     """
     place = ["y", "x", "scale", "angle"]
-    first = points.groupBy("d").agg(F.min(F.struct("image_id", "point", "keys", *place)).alias("f"))
-    first = materialize(first.select("d", "f.*"), "descriptors")
-    twin = first.select("d", *[F.col(c).alias(f"f_{c}") for c in ("image_id", "point", *place)])
-    turn, grow = F.col("angle") - F.col("f_angle"), F.col("scale") / F.col("f_scale")
-    same = points.join(twin, "d").where("image_id != f_image_id").select(
-        F.col("f_image_id").alias("a"), F.col("image_id").alias("b"), F.col("f_point").alias("pa"), F.col("point").alias("pb"), turn.cast("float").alias("turn"), grow.cast("float").alias("grow"),
-        F.col("f_y").alias("ya"), F.col("f_x").alias("xa"), F.col("y").alias("yb"), F.col("x").alias("xb"),
-    )
-    rows = first.select(F.posexplode("keys").alias("t", "key"), "image_id", "point", *[F.element_at("d", k + 1).alias(f"d{k}") for k in range(4)], *place)
-    for k in range(1, 4):
-        full = materialize(rows.groupBy("t", "key").count().where(F.col("count") > FULL).select("t", "key", F.lit(True).alias("full")), "full-buckets")
-        if full.isEmpty():
-            break
-        rows = rows.join(F.broadcast(full) if broadcastable(full, 16) else full, ["t", "key"], "left").withColumn("key", F.when(F.col("full"), F.xxhash64("key", F.shiftright(f"d{k}", 48))).otherwise(F.col("key"))).drop("full")
-    rows = rows.select("t", "key", "image_id", "point", "d0", "d1", "d2", "d3", *place)
+    rows = points.select(F.posexplode("keys").alias("t", "key"), "image_id", "point", *place, *[F.element_at("d", k + 1).alias(f"d{k}") for k in range(4)])
+    full = materialize(rows.groupBy("t", "key").count().where(F.col("count") > FULL).select("t", "key", F.ceil(F.col("count") * 2 / FULL).alias("groups")), "full-buckets")
+    alone = [F.lit(0).cast("bigint").alias("cell"), F.lit(0).cast("bigint").alias("own"), F.lit(False).alias("cross")]
+    order = ["t", "key", "cell", "own", "cross", "image_id", "point", *place, "d0", "d1", "d2", "d3"]
+    if full.isEmpty():
+        rows = rows.select("*", *alone)
+    else:
+        few = F.broadcast(full) if broadcastable(full, 24) else full
+        dealt = rows.join(few, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("image_id", "point"), "groups")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
+        dealt = dealt.withColumn("cell", F.least("own", "with") * F.col("groups") + F.greatest("own", "with")).withColumn("cross", F.col("own") != F.col("with"))
+        rows = rows.join(few, ["t", "key"], "left_anti").select("*", *alone).select(*order).unionByName(dealt.select(*order))
     points.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    met = rows.repartition("t", "key").sortWithinPartitions("t", "key", "image_id", "point").mapInArrow(_met, _MATCH)
-    return same.unionByName(met)
+    return rows.select(*order).repartition("t", "key", "cell").sortWithinPartitions("t", "key", "cell", "image_id", "point").mapInArrow(_met, _MATCH)
 
 
 def _voted(agree: int):
@@ -308,8 +305,10 @@ def _voted(agree: int):
         for o in (0.0, 0.5):
             bins = np.stack([pair, np.floor(np.mod(turn, 2 * np.pi) / (np.pi / 6) + o) % 12, np.floor(np.log2(grow) / 0.6 + 0.25 + o), np.floor(shift.real / SHIFT + o), np.floor(shift.imag / SHIFT + o)], axis=1)
             order = np.lexsort(bins.T[::-1])
-            cut = np.flatnonzero((np.diff(bins[order], axis=0) != 0).any(axis=1)) + 1 if len(order) else []
-            for group in np.split(order, cut):
+            cut = np.flatnonzero((np.diff(bins[order], axis=0) != 0).any(axis=1)) + 1 if len(order) else np.zeros(0, int)
+            first, end = np.append(0, cut), np.append(cut, len(order))
+            for k in np.flatnonzero(end - first >= agree):
+                group = order[first[k] : end[k]]
                 for _ in range(3):  # fit, keep what fits, fit again
                     if len(group) < agree or (spread := np.abs(za[group] - za[group].mean()).max()) < RADIUS:
                         group = group[:0]

@@ -59,3 +59,23 @@ def test_near_vectors_share_a_class(spark, tiny):
     got = {r.image_id: r.component_id for r in images.copies(images.rendered(df)).collect()}
     hit = sum(got[10_000 + i] == got[i] for i, _ in data[:60])
     assert hit / 60 >= 0.9
+
+
+def test_large_buckets_are_compared_in_full(spark, monkeypatch):
+    """All pairs of a large group of near descriptors that share a key are matched, in one task or dealt to cells."""
+    rng = np.random.default_rng(3)
+    bits = rng.random((1200, images.TESTS)) < 0.04
+    bits = bits ^ (rng.random(images.TESTS) < 0.5)
+    bits[:20] = bits[0]  # equal ones too
+    words = np.packbits(bits, axis=1).view(np.dtype(">u8")).astype(np.uint64).view(np.int64)
+    keys = np.stack([bits[:, k] @ (1 << np.arange(images.KEY_BITS)) for k in images._KEYS], axis=1)
+    i, j = np.triu_indices(len(bits), 1)
+    near = ((bits[i] ^ bits[j]).sum(axis=1) <= images.DIFFER) & (keys[i] == keys[j]).any(axis=1)
+    want = set(zip(i[near].tolist(), j[near].tolist(), strict=True))
+    rows = [(k, 0, 1.0, 1.0, 1.0, 0.0, words[k].tolist(), keys[k].tolist()) for k in range(len(bits))]
+    points = spark.createDataFrame(rows, images._SCHEMA)
+    for full in (images.FULL, 150):
+        monkeypatch.setattr(images, "FULL", full)
+        got = [(r.a, r.b) for r in images.matches(points).select("a", "b").collect()]
+        assert set(got) == want
+        assert len(got) == len(want)
