@@ -21,10 +21,12 @@ from aerolake.llm.common import table
 from aerolake.operators.components import connected_components
 from aerolake.runtime import broadcastable, materialize
 
-#: Scales, corners of a scale at most, radius of a patch, binary tests of a descriptor.
+#: Scales, corners of a grid cell of a scale at most, radius of a patch, binary tests of a descriptor.
 SCALES, CORNERS, RADIUS, TESTS = (1.0, 1.5, 2.25), 12, 7, 256
+#: Pixels of a scale that a side of a grid cell has at most, so that corners grow with the picture's area.
+CELL = 64
 #: Hamming tables and the bits of their keys; differing bits of a match at most.
-TABLES, KEY_BITS, DIFFER = 8, 32, 40
+TABLES, KEY_BITS, DIFFER = 8, 28, 48
 #: Matches that must agree on a transform, and one more for each so many corners of the poorer picture.
 AGREE, RICH = 3, 16
 #: Pixels that shifts of a bin of votes differ by; pixels that a match may be off its fitted place.
@@ -128,11 +130,16 @@ def keypoints(stack: np.ndarray):
                 peak = np.maximum(peak, np.roll(strength, (dy, dx), (1, 2)))
         strength = np.where((strength >= peak) & (strength > 1.0), strength, 0)
         strength[:, :edge], strength[:, -edge:], strength[:, :, :edge], strength[:, :, -edge:] = 0, 0, 0, 0
-        flat = strength.reshape(n, -1)
-        top = np.argsort(-flat, axis=1, kind="stable")[:, :CORNERS]
-        good = np.take_along_axis(flat, top, axis=1) > 0
-        which = np.repeat(np.arange(n), good.sum(axis=1))
-        y, xx = np.divmod(top[good], w)
+        which, y, xx = [], [], []
+        for rows in np.array_split(np.arange(h), -(-h // CELL)):
+            for columns in np.array_split(np.arange(w), -(-w // CELL)):
+                flat = strength[:, rows[0] : rows[-1] + 1, columns[0] : columns[-1] + 1].reshape(n, -1)
+                top = np.argsort(-flat, axis=1, kind="stable")[:, :CORNERS]
+                good = np.take_along_axis(flat, top, axis=1) > 0
+                which.append(np.repeat(np.arange(n), good.sum(axis=1)))
+                y.append(rows[0] + top[good] // len(columns))
+                xx.append(columns[0] + top[good] % len(columns))
+        which, y, xx = np.concatenate(which), np.concatenate(y), np.concatenate(xx)
         if not len(which):
             continue
         patch = x[which[:, None], y[:, None] + disc[:, 0], xx[:, None] + disc[:, 1]]

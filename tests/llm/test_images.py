@@ -79,3 +79,25 @@ def test_large_buckets_are_compared_in_full(spark, monkeypatch):
         got = [(r.a, r.b) for r in images.matches(points).select("a", "b").collect()]
         assert set(got) == want
         assert len(got) == len(want)
+
+
+def test_corners_grow_with_the_area():
+    rng = np.random.default_rng(8)
+    small, large = (len(images.keypoints(picture(rng, n, n)[None])[0]) for n in (64, 256))
+    assert large >= 8 * small
+    left = picture(rng, 128, 256)
+    left[:, 128:] = 100 + (left[:, 128:] - 100) * 0.1  # the faint half has corners too
+    _, _, x, _, _, _ = images.keypoints(left[None])
+    assert (x > 140).sum() >= 12
+
+
+def test_far_corners_meet():
+    """Share of pairs of descriptors at a distance that share a key, against that of 28 bits drawn from 256."""
+    rng = np.random.default_rng(9)
+    for differ, least in ((10, 0.94), (20, 0.53), (30, 0.16)):
+        flips = np.zeros((4000, images.TESTS), bool)
+        for row in flips:
+            row[rng.permutation(images.TESTS)[:differ]] = True
+        met = np.any([~flips[:, k].any(axis=1) for k in images._KEYS], axis=0)
+        assert met.mean() >= least
+    assert images.DIFFER >= 48
