@@ -24,7 +24,7 @@ from aerolake.runtime import broadcastable
 
 #: Pages and bytes of a batch of same-host pages, at most about.
 BATCH_PAGES, BATCH_BYTES = 256, 16 << 20
-#: Share of a batch's distinct pages that hold a template token; tokens of a class; pages that make text evidence.
+#: Share of a batch's distinct pages that hold a template token; tokens of a class; pages from which words alone, without whole blocks, are evidence.
 SUPPORT, CLASS_SIZE, EVIDENCE = 0.9, 3, 8
 
 # Fixed values of HTML and of common usage.
@@ -168,45 +168,92 @@ def _vectors(pages: list[_Page]) -> tuple[dict, dict]:
     return tags, words
 
 
-def template(pages: list[_Page]) -> set[tuple[str, str]]:
-    """The (path, word) tokens of the template that these pages share.
+def _blocks(page: _Page) -> list[str]:
+    """The blocks of kept text, white space made one blank."""
+    out, words = [], []
+    for entry in [*page.texts, [0, "", None, False, False, False]]:
+        if entry[2] is None:
+            if words:
+                out.append(" ".join(words))
+            words = []
+        elif entry[3]:
+            words += entry[2].split()
+    return out
 
-    Pages with one title count once, so that copies of an article are no evidence
-    of a template.  The root class needs CLASS_SIZE tags that occur once, in one order
-    on every page; a class that repeats must lie in one gap of it.  Words belong to
-    the template that have a valid class's vector and one gap on all pages.
+
+def _distinct(pages: list[_Page]) -> tuple[list[_Page], Counter]:
+    """One page of each content, and how many of them hold a block; pages without tags are left out.
+
+    A page that shares half of its text with an earlier one is a copy.  Blocks that
+    most of at least EVIDENCE pages hold are the site's and do not count as shared.
+    """
+    held = {tuple(_blocks(p)): p for p in reversed(pages) if p.roles}
+    df = Counter(b for blocks in held for b in set(blocks))
+    common = {b for b, n in df.items() if n >= SUPPORT * len(held)} if len(held) >= EVIDENCE else set()
+    out, sizes, holders = [], [], defaultdict(list)
+    for blocks, page in reversed(held.items()):
+        own = set(blocks) - common
+        size, shared = sum(map(len, own)), Counter()
+        for block in own:
+            for k in holders[block]:
+                shared[k] += len(block)
+        if any(2 * n >= min(size, sizes[k]) for k, n in shared.items()):
+            continue
+        for block in own:
+            holders[block].append(len(out))
+        out.append(page)
+        sizes.append(size)
+    return out, Counter(b for p in out for b in set(_blocks(p)))
+
+
+def template(pages: list[_Page]) -> tuple[set[tuple[str, str]], set[str] | None]:
+    """The (path, word) tokens of the template that these pages share, and its blocks if words alone are not evidence enough.
+
+    Copies count once, so that copies of an article are no evidence of a template,
+    and pages without tags not at all.  The root class needs CLASS_SIZE tags that occur
+    once, in one order, on the pages that hold them (SUPPORT of all at least); a class
+    that repeats must lie in one gap of it.  Words belong to the template that have a
+    valid class's vector and one gap.  Of fewer than EVIDENCE pages, a block must be the same.
     """
-    distinct = list({p.title or id(p): p for p in pages}.values())
-    if len(distinct) < EVIDENCE:
-        return set()
+    distinct, df = _distinct(pages)
+    if len(distinct) < 2:
+        return set(), None
+    least = max(2, SUPPORT * len(distinct))
     tags, words = _vectors(distinct)
-    once = tuple(1 for _ in distinct)
     places = [{r: k for k, r in enumerate(p.roles)} for p in distinct]  # last place; the only one for the root class
-    root = sorted(tags.get(once, []), key=lambda r: places[0][r])
-    ordered = {r for k, r in enumerate(root) if all(k == 0 or pl[root[k - 1]] < pl[r] for pl in places)}
+    single = {r for vector, roles in tags.items() if max(vector) == 1 for r in roles}
+    fullest = max(places, key=lambda pl: sum(r in pl for r in single))
+    root = sorted((r for r in single if r in fullest), key=fullest.get)
+    ordered = {r: k + 1 for k, r in enumerate(root) if k == 0 or all(pl[root[k - 1]] < pl[r] for pl in places if r in pl and root[k - 1] in pl)}
     if len(ordered) < CLASS_SIZE:
-        return set()
-    # before[i][k]: root tags among the first k tags of page i, so a place's gap in the root class
-    before = [list(accumulate((r in ordered for r in p.roles), initial=0)) for p in distinct]
-    valid = {once}
+        return set(), None
+    # before[i][k]: the last root tag among the first k tags of page i, so a place's gap in the root class
+    before = [list(accumulate((ordered.get(r, 0) for r in p.roles), lambda gap, r: r or gap, initial=0)) for p in distinct]
+    valid = set()
     for vector, roles in tags.items():  # classes that repeat, nested in one gap of the root
-        if vector != once and len(roles) >= 2:
+        if max(vector) > 1 and len(roles) >= 2:
             own = set(roles)
             spans = [[k for k, r in enumerate(p.roles) if r in own] for p in distinct]
-            if len({held[s[e]] for held, s in zip(before, spans, strict=True) if s for e in (0, -1)}) == 1:
+            lies = Counter(held[s[0]] for held, s in zip(before, spans, strict=True) if s and held[s[0]] == held[s[-1]])
+            if lies and max(lies.values()) >= least:
                 valid.add(vector)
-    fixed = {token for vector, tokens in words.items() if vector in valid for token in tokens}
-    gaps: dict[tuple[str, str], set[int]] = defaultdict(set)
+    fixed = {token for vector, tokens in words.items() if max(vector) == 1 or vector in valid for token in tokens}
+    gaps: dict[tuple[str, str], Counter] = defaultdict(Counter)
     for page, held in zip(distinct, before, strict=True):
+        here: dict[tuple[str, str], set[int]] = defaultdict(set)
         for at, path, text, *_ in page.texts:
             if text:
                 for word in text.split():
                     if (path, word) in fixed:
-                        gaps[path, word].add(held[at])
-    return {token for token, at in gaps.items() if len(at) == 1}
+                        here[path, word].add(held[at])
+        for token, at in here.items():
+            if len(at) == 1:
+                gaps[token].update(at)
+    blocks = {b for b, n in df.items() if n >= least} if len(distinct) < EVIDENCE else None
+    return {token for token, at in gaps.items() if max(at.values()) >= least}, blocks
 
 
-def main_text(page: _Page, fixed: set[tuple[str, str]]) -> str:
+def main_text(page: _Page, fixed: set[tuple[str, str]], blocks: set[str] | None = None) -> str:
     """The text of the article's slots: of article elements, else of main, else of all the body."""
     for region in (4, 5, None):
         if region is not None and not page.region[region - 4]:
@@ -214,7 +261,7 @@ def main_text(page: _Page, fixed: set[tuple[str, str]]) -> str:
         parts, block = [], []
         for entry in [*page.texts, [0, "", None, False, False, False]]:
             if entry[2] is None:  # a block ends
-                if fixed and all((path, w) in fixed for path, text in block for w in text.split()):
+                if fixed and all((path, w) in fixed for path, text in block for w in text.split()) and (blocks is None or " ".join(w for _, text in block for w in text.split()) in blocks):
                     block = []
                 parts += [html.unescape(text) for _, text in block]
                 parts.append("\n")
@@ -230,8 +277,8 @@ def extract(sources: list[str]) -> list[str]:
     """Main texts of pages of one host."""
     tags: dict = {}
     pages = [_Page(s, tags) for s in sources]
-    fixed = template(pages)
-    return [main_text(p, fixed) for p in pages]
+    fixed, blocks = template(pages)
+    return [main_text(p, fixed, blocks) for p in pages]
 
 
 def page_texts(pages: DataFrame, batch_pages: int = BATCH_PAGES, batch_bytes: int = BATCH_BYTES) -> DataFrame:

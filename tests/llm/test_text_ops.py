@@ -96,6 +96,19 @@ def test_copies_are_no_template():
     assert "one article" in html_text.extract([page] * 20)[3]
 
 
+def test_template_of_odd_few_and_untitled_pages():
+    """Pages without markup, a constant title and small hosts do not switch the template off; copies still are no evidence."""
+    varied = [PAGE.format(t="Site", n=f"nav{i}", b=" ".join(f"w{i}x{k}" for k in range(9))) for i in range(20)]
+    for some in (varied, varied[:2], varied[:5]):
+        got = html_text.extract([*some, "", "no markup"])
+        assert [("Share this" in g, f"w{i}x8" in g) for i, g in enumerate(got[: len(some)])] == [(False, True)] * len(some)
+        assert got[len(some) :] == ["", "no markup"]
+    odd = html_text.extract([*varied, "<p>gone</p>"])
+    assert not any("Share this" in g for g in odd) and odd[-1] == "gone"
+    near = html_text.extract([PAGE.format(t=f"Copy {i}", n="n", b="one article of many words") for i in range(3)])
+    assert all("one article of many words" in g for g in near)
+
+
 def test_real_pages(spark, tiny):
     for r in html_text.op3_html_text(spark, tiny).join(spark.read.parquet(f"{tiny}/pages.parquet").select("page_id", "html"), "page_id").collect():
         article = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
