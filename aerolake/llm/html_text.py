@@ -41,6 +41,13 @@ NAMED = {
     "sponsored", "subscribe", "teaser", "toolbar", "topbar", "warning", "widget",
 }
 READERS = {"comment", "comments", "disqus", "discussion", "replies", "reply", "respond", "responses"}
+# Names that say one thing alone; within article and main, and of headings, no others count.
+SURE = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies",
+    "disqus", "gdpr", "navbar", "newsletter", "pagination", "sidebar", "sponsored",
+}
+SURE_READERS = {"comment", "comments", "disqus"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|object|svg|math|canvas|video|audio|head|title|textarea)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
@@ -56,7 +63,7 @@ _ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset",
 class _Tag:
     """A parsed tag: name, whether it closes, its label in paths and what its names say."""
 
-    __slots__ = ("name", "closing", "label", "named", "readers", "hidden", "empty")
+    __slots__ = ("name", "closing", "label", "named", "readers", "sure", "sure_readers", "hidden", "empty")
 
     def __init__(self, raw: str):
         found = re.match(r"<(/?)\s*([a-zA-Z][^\s/>]*)", raw)
@@ -64,8 +71,14 @@ class _Tag:
         said = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(raw[found.end() :].rstrip(">"))} if not self.closing else {}
         names = re.sub(r"\d+", "", f"{said.get('class', '')} {said.get('id', '')}").strip()
         parts = {x.lower() for x in _PART.findall(names)}
-        self.named = bool(parts & NAMED) or said.get("role", "").lower() in ROLES
-        self.readers = bool(parts & READERS)
+        own = parts
+        if self.name == "section" or self.name in HEADINGS:  # their ids are made of what they say
+            own = {x.lower() for x in _PART.findall(said.get("class", ""))} | ({said.get("id", "").lower()} & {"comments", "disqus"} if self.name == "section" else set())
+        role = said.get("role", "").lower() in ROLES
+        self.sure, self.sure_readers = bool(own & SURE) or role, bool(own & SURE_READERS)
+        self.named, self.readers = bool(parts & NAMED) or role, bool(parts & READERS)
+        if self.name in HEADINGS:
+            self.named, self.readers = self.sure, self.sure_readers
         self.hidden = "hidden" in said or re.search(r"display\s*:\s*none", said.get("style", ""), re.I) is not None
         self.label = f"{self.name}.{names}" if names else self.name
         self.empty = self.name in VOID or raw.endswith("/>")
@@ -127,16 +140,18 @@ class _Page:
             stack.append((name, path, hard, soft, article, main))
             self.roles.append(f"{path}/{tag.label}<")
             path = f"{path}/{tag.label}"
+            inside = article or main
+            named, readers = (tag.sure, tag.sure_readers) if inside else (tag.named, tag.readers)
             if name in ("article", "main"):
-                if tag.readers:
+                if tag.readers if article else tag.sure_readers:  # an article within one is a reader's if it may be
                     hard = True
                 elif not hard:
                     soft = False  # wrappers may be named after what stands beside the article
                     article, main = article or name == "article", main or name == "main"
                     self.region[name == "main"] = True
-            elif name in CHROME or name in RAW or tag.hidden or tag.readers or (name == "header" and not (article or main)):
+            elif name in CHROME or name in RAW or tag.hidden or readers or (name == "header" and not inside):
                 hard = True
-            elif tag.named and name not in ("html", "body"):
+            elif named and name not in ("html", "body"):
                 soft = True
 
 

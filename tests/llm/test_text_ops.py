@@ -109,6 +109,15 @@ def test_template_of_odd_few_and_untitled_pages():
     assert all("one article of many words" in g for g in near)
 
 
+def test_everyday_names_within_an_article_stay():
+    kept = "<div class='entry-header'><h1>title</h1></div><p class='byline'>by me</p><h2 id='search'>find</h2><h2 id='cookies'>baking</h2><section id='discussion'>results <b>mean</b></section><section id='related-work'>others</section><p id='legal'>law</p><div class='notice'>seen</div>"
+    gone = "<div class='ad'>a1</div><div class='cookie-bar'>a2</div><div id='sidebar'>a3</div><section id='comments'>a4</section><div role='navigation'>a5</div><nav>a6</nav>"
+    for region in ("article", "main"):
+        page = f"<body><div class='menu'>b1</div><{region} class='discussion'>{kept}{gone}{'<article class=reply>a7</article>' * (region == 'article')}</{region}><div id='respond'>b2</div></body>"
+        assert html_text.extract([page]) == ["title by me find baking results mean others law seen"]
+    assert html_text.extract(["<body><div class='menu'>b1</div><h2 id='contact'>head</h2><p>text</p><div id='respond'>b2</div></body>"]) == ["head text"]
+
+
 def test_real_pages(spark, tiny):
     for r in html_text.op3_html_text(spark, tiny).join(spark.read.parquet(f"{tiny}/pages.parquet").select("page_id", "html"), "page_id").collect():
         article = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
