@@ -12,6 +12,14 @@ from aerolake.registry import query
 _BEHAVIOUR = ["packet_interval_mean", "packet_interval_std", "data_to_mgmt_ratio", "rssi_std", "power_save_rate", "avg_snr", "avg_mcs_rate", "avg_session_duration"]
 
 
+_WIDTH = 64
+_XS = [f"x{i}" for i in range(_WIDTH)]
+
+
+def _coordinates():
+    return [F.element_at("x", i + 1).alias(c) for i, c in enumerate(_XS)]
+
+
 def _vectors(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"), "label")
 
@@ -19,7 +27,7 @@ def _vectors(spark, sf_dir):
 @over("F1_best_k")
 def f1(e):
     frame = features.client_behaviour(e)
-    return e.sparkSession.createDataFrame([(cluster.best_k(frame, _BEHAVIOUR, most=6),)], "k int")
+    return e.sparkSession.createDataFrame([(cluster.best_k(frame, _BEHAVIOUR),)], "k int")
 
 
 @over("F2_client_clusters")
@@ -30,18 +38,17 @@ def f2(e):
 
 @query("F10_algorithms")
 def f10(spark, sf_dir):
-    rows = _vectors(spark, sf_dir).select("id", *[F.element_at("x", i + 1).alias(f"x{i}") for i in range(8)])
+    rows = _vectors(spark, sf_dir).select("id", *_coordinates())
     out = None
     for name in ("kmeans", "hierarchical", "gmm"):
-        one = cluster.clustered(rows, [f"x{i}" for i in range(8)], 5, name).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("algorithm"), "cluster", "n")
+        one = cluster.clustered(rows, _XS, 5, name).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("algorithm"), "cluster", "n")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 @query("F11_dbscan")
 def f11(spark, sf_dir):
-    rows = _vectors(spark, sf_dir).select("id", F.slice("x", 1, 2).alias("x"))
-    return cluster.dbscan(rows, 0.05, 5)
+    return cluster.dbscan(_vectors(spark, sf_dir), 0.05, 5)
 
 
 @query("F12_quality")
@@ -53,8 +60,8 @@ def f12(spark, sf_dir):
 
 @query("F14_projection")
 def f14(spark, sf_dir):
-    rows = _vectors(spark, sf_dir).select("id", "label", *[F.element_at("x", i + 1).alias(f"x{i}") for i in range(16)])
-    return cluster.projected(rows, [f"x{i}" for i in range(16)]).select("id", "label", "pc1", "pc2")
+    rows = _vectors(spark, sf_dir).select("id", "label", *_coordinates())
+    return cluster.projected(rows, _XS).select("id", "label", "pc1", "pc2")
 
 
 def _pairs(e):
@@ -93,15 +100,15 @@ def j3(e):
 
 @query("J4_J11_device_classifiers")
 def j4(spark, sf_dir):
-    rows = _vectors(spark, sf_dir).where("label < 3").select("id", F.col("label").cast("double").alias("label"), *[F.element_at("x", i + 1).alias(f"x{i}") for i in range(8)])
-    _, _, scores = ml.train_device(rows, [f"x{i}" for i in range(8)], ["random_forest", "svm"])
+    rows = _vectors(spark, sf_dir).select("id", F.col("label").cast("double").alias("label"), *_coordinates())
+    _, _, scores = ml.train_device(rows, _XS, ["random_forest", "svm"])
     return spark.createDataFrame([(k, float(v)) for k, v in scores.items()], "model string, accuracy double")
 
 
 @over("J5_anomalies")
 def j5(e):
     rows = features.client_behaviour(e)
-    return ml.anomaly_scores(rows, _BEHAVIOUR[:4], "client").select("client", r6("distance"), "anomaly")
+    return ml.anomaly_scores(rows, _BEHAVIOUR, "client").select("client", r6("distance"), "anomaly")
 
 
 @over("J6_regressors")
@@ -158,5 +165,4 @@ def j11(spark, sf_dir):
 
 @over("J2_retrain_gate")
 def j2(e):
-    few = _pairs(e).limit(10)
-    return e.sparkSession.createDataFrame([(ml.retrain(few, _PAIR) is not None,)], "trained boolean")
+    return e.sparkSession.createDataFrame([(ml.retrain(_pairs(e), _PAIR) is not None,)], "trained boolean")
