@@ -96,16 +96,15 @@ def _exactly(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.loc[pd.MultiIndex.from_arrays([i, j]).isin(found) if found else np.zeros(len(pdf), bool)]
 
 
-def dominant(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def dominant(edges: DataFrame) -> DataFrame:
     """A greedy matching, at least half the best weight: again and again the edges that are the best at both ends.
 
-    Rounds of two aggregates and joins; no node's edges are gathered.
+    Rounds of two aggregates and joins, until no edge is left; no node's edges are gathered.
+    Each round takes the best edge at least, so the rounds end.
     """
     order = F.struct("score", F.xxhash64("ssid", "bssid").alias("h"), "ssid", "bssid")
-    left, found = materialize(edges.select("ssid", "bssid", "score"), "greedy"), None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    left, found = materialize(edges.where("ssid is not null and bssid is not null and score is not null").select("ssid", "bssid", "score"), "greedy"), None
+    while not left.isEmpty():
         by_name = left.groupBy("ssid").agg(F.max(order).alias("best"))
         by_point = left.groupBy("bssid").agg(F.max(order).alias("best"))
         taken = materialize(by_name.select("best").join(by_point.select("best"), "best").select("best.ssid", "best.bssid", "best.score"), "greedy-taken")
@@ -119,20 +118,20 @@ def dominant(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
 def matched(edges: DataFrame, exact_nodes: int = EXACT_NODES) -> DataFrame:
     """E5: edges (ssid, bssid, score) of a maximum-weight matching, by connected component.
 
-    Only a component of at most ``exact_nodes`` names or points, and 50 edges for each,
-    is gathered and matched exactly; larger ones are matched by ``dominant`` and marked
-    exact = False.  A whole graph of that size needs no parting.
+    Only a component of at most ``exact_nodes`` names or points, and 50 edges for each or
+    a full table of ``exact_nodes`` names and points, is gathered and matched exactly;
+    larger ones are matched by ``dominant`` and marked exact = False.  A whole graph of that size needs no parting.
     """
     edges = materialize(edges.select("ssid", "bssid", "score"), "match-input")
     names_, points_, edges_ = edges.agg(F.count_distinct("ssid"), F.count_distinct("bssid"), F.count(F.lit(1))).first()
-    if min(names_, points_) <= exact_nodes and edges_ <= 50 * exact_nodes:
+    if min(names_, points_) <= exact_nodes and (edges_ <= 50 * exact_nodes or names_ * points_ <= exact_nodes**2):
         return edges.groupBy(F.lit(0).alias("component")).applyInPandas(_exactly, _KINDS).withColumn("exact", F.lit(True))
     nodes = edges.select(F.xxhash64(F.lit(0), "ssid").alias("a"), F.xxhash64(F.lit(1), "bssid").alias("b"), "ssid", "bssid", "score")
     nodes = materialize(nodes, "match-edges")
     comp = connected_components(nodes)
     tagged = materialize(nodes.join(comp, nodes["a"] == comp["node"]).select("component", "ssid", "bssid", "score"), "match-components")
     shape = tagged.groupBy("component").agg(F.count_distinct("ssid").alias("names"), F.count_distinct("bssid").alias("points"), F.count(F.lit(1)).alias("edges"))
-    large = materialize(shape.where((F.least("names", "points") > exact_nodes) | (F.col("edges") > 50 * exact_nodes)).select("component"), "large-components")
+    large = materialize(shape.where((F.least("names", "points") > exact_nodes) | ((F.col("edges") > 50 * exact_nodes) & (F.col("names") * F.col("points") > exact_nodes**2))).select("component"), "large-components")
 
     if large.isEmpty():
         return tagged.groupBy("component").applyInPandas(_exactly, _KINDS).withColumn("exact", F.lit(True))
