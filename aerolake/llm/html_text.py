@@ -3,9 +3,14 @@
 Pages of one host come from one template.  Tokens (tags, and words in their tag
 path) that occur equally often on every page of a batch of same-host pages form
 an equivalence class; classes whose tokens keep one order on every page, and that
-nest in one gap of a larger class, make up the template.  What the template does
-not fix are slots; the main text is what fills the slots that lie in the article.
-Text blocks made of template words alone are the site's own and go.
+nest in one gap of a larger class, make up the template.  Containers of one name
+in one parent are told apart by their rank.  What the template does not fix are
+slots; the article is the container of the template whose own slot is filled with
+most running text (links aside) on most pages, and the main text is what fills the slots
+within it.  Text blocks made of template words alone are the site's own and go.
+Element and class names only part off what is no article by its name, narrow the
+container to an article element within it, and stand in where no template is
+found (a host's only page).
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from aerolake.runtime import broadcastable
 BATCH_PAGES, BATCH_BYTES = 256, 16 << 20
 #: Share of a batch's distinct pages that hold a template token; tokens of a class; pages from which words alone, without whole blocks, are evidence.
 SUPPORT, CLASS_SIZE, EVIDENCE = 0.9, 3, 8
+#: A further container is of the article if its slot holds this share of the richest one's words.
+ALSO = 0.4
 
 # Fixed values of HTML and of common usage.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -48,6 +55,8 @@ SURE = {
 }
 SURE_READERS = {"comment", "comments", "disqus"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# Elements that lay out a page; the article is one of them.  Of article and main, all in one parent are one.
+CONTAINERS = {"body", "div", "section", "article", "main", "header", "td", "center"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|object|svg|math|canvas|video|audio|head|title|textarea)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
@@ -91,16 +100,17 @@ class _Page:
 
     def __init__(self, source: str, tags: dict):
         self.roles: list[str] = []
-        self.texts: list[list] = []  # [roles before it, path, text, kept, in article, in main]; text None parts blocks
+        self.texts: list[list] = []  # [roles before it, path, text, kept, in article, in main, container, in a link, in a first heading]; text None parts blocks
         self.title, self.region = "", [False, False]
-        stack: list[tuple] = []  # name, path, hard, soft, in article, in main
-        path, hard, soft, article, main = "", False, False, False, False
+        stack: list[tuple] = []  # name, path, hard, soft, in article, in main, container, in a link, in a first heading
+        path, hard, soft, article, main, place, link, head = "", False, False, False, False, "", False, False
+        ranks: Counter = Counter()
         at, end = 0, len(source)
         while at < end:
             m = _TOKEN.match(source, at)
             raw, at = m[0], m.end()
             if raw[0] != "<" or raw == "<":
-                self.texts.append([len(self.roles), path, raw, not (hard or soft), article, main])
+                self.texts.append([len(self.roles), path, raw, not (hard or soft), article, main, place, link, head])
                 continue
             if raw[1] in "!?" or raw[-1] != ">":  # comments, declarations, a tag that the end cuts off
                 continue
@@ -111,9 +121,9 @@ class _Page:
                 tag = tags[raw] = _Tag(raw)
             name = tag.name
             if name == "br":  # white space within a block
-                self.texts.append([len(self.roles), path, "\n", not (hard or soft), article, main])
+                self.texts.append([len(self.roles), path, "\n", not (hard or soft), article, main, place, link, head])
             elif name not in INLINE:
-                self.texts.append([len(self.roles), path, None, False, article, main])
+                self.texts.append([len(self.roles), path, None, False, article, main, place, link, head])
             if m["raw"] and not tag.closing and not tag.empty and name != "textarea":
                 close = re.compile(rf"</{name}\s*>|\Z", re.I).search(source, at)
                 inside, at = source[at : close.start()], close.end()
@@ -126,20 +136,32 @@ class _Page:
             if tag.closing:
                 if any(s[0] == name for s in stack):
                     while True:
-                        popped = stack.pop()
-                        path, hard, soft, article, main = popped[1:]
+                        popped, was = stack.pop(), place
+                        path, hard, soft, article, main, place, link, head = popped[1:]
                         if popped[0] == name:
                             break
+                    if was != place:
+                        self.roles.append(f"{was}>")
+                        continue
                 self.roles.append(f"{path}/{name}>")
                 continue
             if tag.empty:
                 self.roles.append(f"{path}/{tag.label}<>")
                 continue
             while stack and (stack[-1][0] in _CLOSE.get(name, ()) or (name in _ENDS_P and any(s[0] == "p" for s in stack) and stack[-1][0] in INLINE | {"p"})):
-                path, hard, soft, article, main = stack.pop()[1:]
-            stack.append((name, path, hard, soft, article, main))
-            self.roles.append(f"{path}/{tag.label}<")
+                path, hard, soft, article, main, place, link, head = stack.pop()[1:]
+            stack.append((name, path, hard, soft, article, main, place, link, head))
             path = f"{path}/{tag.label}"
+            if name in CONTAINERS:
+                inner = f"{place}|{tag.label}"
+                if name not in ("article", "main"):
+                    ranks[inner] += 1
+                    inner = f"{inner}#{ranks[inner]}"
+                place = inner
+                self.roles.append(f"{place}<")
+            else:
+                self.roles.append(f"{path}<")
+                link, head = link or name == "a", head or name == "h1"
             inside = article or main
             named, readers = (tag.sure, tag.sure_readers) if inside else (tag.named, tag.readers)
             if name in ("article", "main"):
@@ -155,6 +177,9 @@ class _Page:
                 soft = True
 
 
+_END = [0, "", None, False, False, False, "", False, False]
+
+
 def _vectors(pages: list[_Page]) -> tuple[dict, dict]:
     """Tokens that most pages hold, by occurrence vector: tag roles, and words as (path, word)."""
     least = max(2, SUPPORT * len(pages))
@@ -186,7 +211,7 @@ def _vectors(pages: list[_Page]) -> tuple[dict, dict]:
 def _blocks(page: _Page) -> list[str]:
     """The blocks of kept text, white space made one blank."""
     out, words = [], []
-    for entry in [*page.texts, [0, "", None, False, False, False]]:
+    for entry in [*page.texts, _END]:
         if entry[2] is None:
             if words:
                 out.append(" ".join(words))
@@ -221,8 +246,57 @@ def _distinct(pages: list[_Page]) -> tuple[list[_Page], Counter]:
     return out, Counter(b for p in out for b in set(_blocks(p)))
 
 
-def template(pages: list[_Page]) -> tuple[set[tuple[str, str]], set[str] | None]:
-    """The (path, word) tokens of the template that these pages share, and its blocks if words alone are not evidence enough.
+class Template:
+    """The (path, word) tokens that pages share; their blocks, if words alone are not evidence enough; the containers of the article."""
+
+    __slots__ = ("fixed", "blocks", "article")
+
+    def __init__(self, fixed: set[tuple[str, str]] = frozenset(), blocks: set[str] | None = None, article: tuple[str, ...] = ()):
+        self.fixed, self.blocks, self.article = fixed, blocks, article
+
+    def own(self, block: list[tuple[str, str]]) -> bool:
+        """Whether a block of (path, text) is the site's."""
+        words = [(path, w) for path, text in block for w in text.split()]
+        return bool(self.fixed) and all(w in self.fixed for w in words) and (self.blocks is None or " ".join(w for _, w in words) in self.blocks)
+
+
+def _within(place: str, container: str) -> bool:
+    return place.startswith(container) and place[len(container) : len(container) + 1] in ("", "|")
+
+
+def _article(pages: list[_Page], root: set[str], known: Template) -> tuple[str, ...]:
+    """The root class's containers whose own slots hold the running text: the one richest on most pages, and others nearly as rich."""
+    total: Counter = Counter()
+    best: Counter = Counter()
+    home: dict[str, str] = {}
+    for page in pages:
+        here: Counter = Counter()
+        block: list[tuple[str, str]] = []
+        for entry in [*page.texts, _END]:
+            if entry[2] is not None:
+                if entry[3] and not entry[7]:
+                    block.append((entry[1], entry[2]))
+                    at = entry[6]
+                continue
+            if block and (n := sum(len(text.split()) for _, text in block)) and not known.own(block):
+                if at not in home:
+                    up = at
+                    while up and up not in root:
+                        up = up.rpartition("|")[0]
+                    home[at] = up
+                here[home[at]] += n
+            block = []
+        if here:
+            total.update(here)
+            best[max(here, key=lambda k: (here[k], k))] += 1
+    if not best:
+        return ()
+    first = max(best, key=lambda k: (best[k], total[k], k))
+    return tuple(sorted(k for k in total if k and total[k] >= ALSO * total[first])) if first else ()
+
+
+def template(pages: list[_Page]) -> Template:
+    """The template that these pages share.
 
     Copies count once, so that copies of an article are no evidence of a template,
     and pages without tags not at all.  The root class needs CLASS_SIZE tags that occur
@@ -232,7 +306,7 @@ def template(pages: list[_Page]) -> tuple[set[tuple[str, str]], set[str] | None]
     """
     distinct, df = _distinct(pages)
     if len(distinct) < 2:
-        return set(), None
+        return Template()
     least = max(2, SUPPORT * len(distinct))
     tags, words = _vectors(distinct)
     places = [{r: k for k, r in enumerate(p.roles)} for p in distinct]  # last place; the only one for the root class
@@ -241,7 +315,7 @@ def template(pages: list[_Page]) -> tuple[set[tuple[str, str]], set[str] | None]
     root = sorted((r for r in single if r in fullest), key=fullest.get)
     ordered = {r: k + 1 for k, r in enumerate(root) if k == 0 or all(pl[root[k - 1]] < pl[r] for pl in places if r in pl and root[k - 1] in pl)}
     if len(ordered) < CLASS_SIZE:
-        return set(), None
+        return Template()
     # before[i][k]: the last root tag among the first k tags of page i, so a place's gap in the root class
     before = [list(accumulate((ordered.get(r, 0) for r in p.roles), lambda gap, r: r or gap, initial=0)) for p in distinct]
     valid = set()
@@ -265,26 +339,42 @@ def template(pages: list[_Page]) -> tuple[set[tuple[str, str]], set[str] | None]
             if len(at) == 1:
                 gaps[token].update(at)
     blocks = {b for b, n in df.items() if n >= least} if len(distinct) < EVIDENCE else None
-    return {token for token, at in gaps.items() if max(at.values()) >= least}, blocks
+    found = Template({token for token, at in gaps.items() if max(at.values()) >= least}, blocks)
+    found.article = _article(distinct, {r[:-1] for r in ordered if r[0] == "|" and r[-1] == "<"}, found)
+    return found
 
 
-def main_text(page: _Page, fixed: set[tuple[str, str]], blocks: set[str] | None = None) -> str:
-    """The text of the article's slots: of article elements, else of main, else of all the body."""
-    for region in (4, 5, None):
-        if region is not None and not page.region[region - 4]:
-            continue
+def main_text(page: _Page, known: Template) -> str:
+    """The text of the article's slots: of the template's article, or without one of article elements, else of main, else of all the body.
+
+    Where the template's article holds article (else main) elements, their text alone;
+    a first heading beside it, in a container around it, counts as its own.
+    """
+
+    def found(chosen) -> str:
         parts, block = [], []
-        for entry in [*page.texts, [0, "", None, False, False, False]]:
+        for entry in [*page.texts, _END]:
             if entry[2] is None:  # a block ends
-                if fixed and all((path, w) in fixed for path, text in block for w in text.split()) and (blocks is None or " ".join(w for _, text in block for w in text.split()) in blocks):
+                if known.own(block):
                     block = []
                 parts += [html.unescape(text) for _, text in block]
                 parts.append("\n")
                 block = []
-            elif entry[3] and (region is None or entry[region]):
+            elif entry[3] and chosen(entry):
                 block.append((entry[1], entry[2]))
-        if found := " ".join("".join(parts).split()):
-            return found
+        return " ".join("".join(parts).split())
+
+    if known.article:
+        inside = {place: any(_within(place, c) for c in known.article) for place in {entry[6] for entry in page.texts}}
+        around = {place: any(_within(c, place) for c in known.article) for place in inside}
+        held = [entry for entry in page.texts if inside[entry[6]] and entry[2] and entry[3] and entry[2].strip()]
+        part = next((k for k in (4, 5) if any(entry[k] for entry in held)), None)
+        titled = any(entry[8] for entry in held if part is None or entry[part])
+        if held and (text := found(lambda e: inside[e[6]] and (part is None or e[part]) or not titled and e[8] and around[e[6]])):
+            return text
+    for region in (4, 5, None):
+        if (region is None or page.region[region - 4]) and (text := found(lambda e: region is None or e[region])):  # noqa: B023
+            return text
     return ""
 
 
@@ -292,8 +382,8 @@ def extract(sources: list[str]) -> list[str]:
     """Main texts of pages of one host."""
     tags: dict = {}
     pages = [_Page(s, tags) for s in sources]
-    fixed, blocks = template(pages)
-    return [main_text(p, fixed, blocks) for p in pages]
+    known = template(pages)
+    return [main_text(p, known) for p in pages]
 
 
 def page_texts(pages: DataFrame, batch_pages: int = BATCH_PAGES, batch_bytes: int = BATCH_BYTES) -> DataFrame:

@@ -118,6 +118,34 @@ def test_everyday_names_within_an_article_stay():
     assert html_text.extract(["<body><div class='menu'>b1</div><h2 id='contact'>head</h2><p>text</p><div id='respond'>b2</div></body>"]) == ["head text"]
 
 
+PLAIN = "<html><body><div><a href='/'>{n}</a> <a href='/b'>{n}b</a></div><div>buy {n} now</div><div><h1>{t}</h1>{b}</div><div>about {n} us</div></body></html>"
+
+
+@pytest.mark.parametrize("n", [2, 3, 12])
+def test_article_of_pages_without_telling_names(monkeypatch, n):
+    """Plain divs alone: the template finds the article, and without it the text is wrong."""
+    bodies = [" ".join(f"<p>{' '.join(f'w{i}x{k}x{j}' for j in range(8 + i))}" for k in range(2 + i % 3)) for i in range(n)]
+    some = [PLAIN.format(n=f"nav{i}", t=f"Title {i}", b=b) for i, b in enumerate(bodies)]
+    want = [f"Title {i} " + " ".join(re.sub("<p>", " ", b).split()) for i, b in enumerate(bodies)]
+    assert html_text.extract(some) == want
+    monkeypatch.setattr(html_text, "template", lambda pages: html_text.Template())
+    assert all(g != w and w in g for g, w in zip(html_text.extract(some), want, strict=True))
+
+
+def test_article_of_two_containers_and_a_heading_beside_it():
+    words = lambda i, k: " ".join(f"w{i}x{k}x{j}" for j in range(30))
+    some = [f"<body><div><a href='/'>home{i} sweet home{i}</a></div><h1>Title {i}</h1><div><p>{words(i, 0)}</div><div>tiny ad {i}</div><div><p>{words(i, 1)}<p>{words(i, 2)[: 80 + i]}</div></body>" for i in range(4)]
+    assert html_text.extract(some) == [f"Title {i} {words(i, 0)} {words(i, 1)} {words(i, 2)[: 80 + i]}".strip() for i in range(4)]
+
+
+def test_long_and_repeated_pages(spark):
+    long = PAGE.format(t="Long", n="n", b="word " * 400_000)
+    short = [(i, "http://h/", PAGE.format(t=f"T{i}", n=f"n{i}", b=f"b{i} " * 9)) for i in range(3)]
+    got = [(r.page_id, r.n_chars, r.text[:9]) for r in html_text.page_texts(pages(spark, [*short, (9, "http://h/", long), short[0], short[0]])).collect()]
+    assert [g[0] for g in sorted(got)] == [0, 0, 0, 1, 2, 9] and len({g for g in got if g[0] == 0}) == 1
+    assert dict((g[0], g[1]) for g in got)[9] > 2_000_000
+
+
 def test_real_pages(spark, tiny):
     for r in html_text.op3_html_text(spark, tiny).join(spark.read.parquet(f"{tiny}/pages.parquet").select("page_id", "html"), "page_id").collect():
         article = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
