@@ -22,6 +22,8 @@ from aerolake.runtime import broadcastable, fresh_path, materialize
 
 #: Bytes of a chunk row; payloads below MIN_REVISIT bytes are never revisits.
 CHUNK, MIN_REVISIT = 1 << 20, 100
+#: Tasks that read archives at most; beyond, a task reads several files one after another.
+READERS = 50_000
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -215,8 +217,9 @@ def read_chunks(archives: DataFrame, folder: str, with_data: bool = True) -> Dat
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     kinds = "record_id string, chunk_no int, data binary, digest_so_far string, last boolean, bytes_so_far long, page_id long, url string, record_type string, header_digest string, header_bytes long, refers_to long"
-    # a file is a task's worth; the key only deals paths out
-    return archives.select("path").repartition(F.xxhash64("path")).mapInArrow(of_batches, kinds)
+    # A file is a task's worth.  A stated number of partitions stays as it is, whereas small ones dealt by a key would be joined into one task.
+    paths = archives.select("path")
+    return paths.repartition(max(1, min(paths.count(), READERS))).mapInArrow(of_batches, kinds)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:

@@ -183,6 +183,20 @@ def test_warc_chunks(spark):
     assert [r.bytes_so_far for r in chunks if r.page_id == 2] == [0]
 
 
+def test_archives_are_read_by_many_tasks(spark):
+    """24 archives are read by more than one task, with adaptive execution on."""
+    from aerolake.runtime import fresh_path, materialize
+
+    folder = fresh_path(spark, "warc-many")
+    rows = pages(spark, [(i, "u", f"page {i} " * 50) for i in range(240)]).repartition(24, "page_id")
+    written = materialize(warc.write_archives(warc.choose_originals(rows).repartition(24, "page_id"), folder), "list")
+    n = written.count()
+    assert n >= 16 and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    read = warc.read_chunks(written, folder, with_data=False)
+    parts = read.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > n / 2 and read.where("last").count() == 240
+
+
 def corpus(n=400):
     rng = np.random.default_rng(8)
     words = [f"w{i}" for i in range(300)]
