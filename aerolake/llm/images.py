@@ -23,16 +23,20 @@ from aerolake.runtime import broadcastable, materialize
 
 #: Scales, corners of a grid cell of a scale at most, radius of a patch, binary tests of a descriptor.
 SCALES, CORNERS, RADIUS, TESTS = (1.0, 1.5, 2.25), 12, 7, 256
+#: How much wider than the patch every other test spreads.
+WIDE = 2
 #: Pixels of a scale that a side of a grid cell has at most, so that corners grow with the picture's area.
 CELL = 64
 #: Hamming tables and the bits of their keys; differing bits of a match at most.
-TABLES, KEY_BITS, DIFFER = 8, 28, 48
+TABLES, KEY_BITS, DIFFER = 16, 18, 40
 #: Matches that must agree on a transform, and one more for each so many corners of the poorer picture.
 AGREE, RICH = 3, 16
 #: Pixels that shifts of a bin of votes differ by; pixels that a match may be off its fitted place.
 SHIFT, NEAR = 16, 2.5
 _RNG = np.random.default_rng(1)
 _PAIRS = np.clip(np.round(_RNG.normal(0, RADIUS / 2.2, (TESTS, 2, 2))), -RADIUS + 2, RADIUS - 2)
+_PAIRS[::2] *= WIDE  # every other test looks beyond the patch, where look-alikes differ
+_REACH = int(np.ceil(np.abs(_PAIRS).max() * 2**0.5))
 _KEYS = [np.sort(_RNG.permutation(TESTS)[:KEY_BITS]) for _ in range(TABLES)]
 _TURNS = 32
 
@@ -146,18 +150,31 @@ def keypoints(stack: np.ndarray):
         angle = np.arctan2(patch @ disc[:, 0], patch @ disc[:, 1])
         turn = np.round(angle / (2 * np.pi) * _TURNS).astype(int) % _TURNS
         at = turned[turn]  # corner, test, point, (y, x)
-        value = x[which[:, None, None], y[:, None, None] + at[..., 0], xx[:, None, None] + at[..., 1]]
+        wide = np.pad(x, ((0, 0), (_REACH, _REACH), (_REACH, _REACH)), mode="edge")
+        value = wide[which[:, None, None], y[:, None, None] + at[..., 0] + _REACH, xx[:, None, None] + at[..., 1] + _REACH]
         found.append((which, (y + 0.5) * scale, (xx + 0.5) * scale, np.full(len(which), scale), angle, value[..., 0] < value[..., 1]))
     if not found:
         return [np.zeros(0, int)] * 5 + [np.zeros((0, TESTS), bool)]
     return [np.concatenate(c) for c in zip(*found, strict=True)]
 
 
-_SCHEMA = "image_id long, point int, y float, x float, scale float, angle float, d array<long>, keys array<long>"
+_SCHEMA = "image_id long, point int, spot long, d0 long, d1 long, d2 long, d3 long"
+
+
+def spot_of(y, x, scale, angle) -> np.ndarray:
+    """Place, scale and angle in one long: quarter pixels, the scale's rank, a 2^20th of a turn."""
+    part = lambda v, bits: np.clip(np.round(v), 0, (1 << bits) - 1).astype(np.int64)
+    rank = np.searchsorted(SCALES, np.asarray(scale) - 1e-6)
+    return part(np.asarray(y) * 4, 20) << 43 | part(np.asarray(x) * 4, 20) << 23 | rank.astype(np.int64) << 20 | part(np.mod(angle, 2 * np.pi) / (2 * np.pi) * ((1 << 20) - 1), 20)
+
+
+def from_spot(spot: np.ndarray):
+    """(y, x, scale, angle) of spots."""
+    return (spot >> 43) / 4, (spot >> 23 & 0xFFFFF) / 4, np.array(SCALES)[np.minimum(spot >> 20 & 7, len(SCALES) - 1)], (spot & 0xFFFFF) / ((1 << 20) - 1) * 2 * np.pi
 
 
 def described(images: DataFrame) -> DataFrame:
-    """Corners with descriptors (four longs) and Hamming-table keys of images (image_id, media)."""
+    """Corners of images (image_id, media), with the descriptor's 256 bits in four longs."""
 
     def of_batches(batches):
         names = [f.split()[0] for f in _SCHEMA.split(", ")]
@@ -169,25 +186,44 @@ def described(images: DataFrame) -> DataFrame:
                     by_size.setdefault(pixels.shape, []).append((k, pixels))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for some in by_size.values():
-                for first in range(0, len(some), 64):
-                    part = some[first : first + 64]
+                at_once = max(1, min(64, (1 << 22) // some[0][1].size))  # large pictures go one by one
+                for first in range(0, len(some), at_once):
+                    part = some[first : first + at_once]
                     which, y, x, scale, angle, bits = keypoints(np.stack([p for _, p in part]))
                     if not len(which):
                         continue
                     order = np.argsort(which, kind="stable")
-                    which, y, x, scale, angle, bits = which[order], y[order], x[order], scale[order], angle[order], bits[order]
+                    which = which[order]
                     point = np.arange(len(which)) - np.searchsorted(which, which)
-                    words = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.dtype(">u8")).astype(np.uint64).view(np.int64)
-                    keys = np.stack([bits[:, k] @ (1 << np.arange(KEY_BITS)) for k in _KEYS], axis=1)
+                    words = np.ascontiguousarray(np.packbits(bits[order], axis=1)).view(np.dtype(">u8")).astype(np.uint64).view(np.int64)
                     image = np.array([ids[k] for k, _ in part], np.int64)[which]
-                    lists = lambda m: pa.array(list(m), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(image), pa.array(point.astype(np.int32)), *(pa.array(v.astype(np.float32)) for v in (y, x, scale, angle)), lists(words), lists(keys)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(image), pa.array(point.astype(np.int32)), pa.array(spot_of(y[order], x[order], scale[order], angle[order])), *(pa.array(words[:, k]) for k in range(4))], names)
 
     images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return images.select("image_id", "media").mapInArrow(of_batches, _SCHEMA)
 
 
-_MATCH = "a long, b long, pa int, pb int, turn float, grow float, ya float, xa float, yb float, xb float"
+def keys_of(words: np.ndarray) -> np.ndarray:
+    """By descriptor (rows of four uint64) its key in every table, the table in the bits above."""
+    bits = np.unpackbits(np.ascontiguousarray(words.astype(np.dtype(">u8"))).view(np.uint8).reshape(len(words), -1), axis=1)
+    return np.stack([(t << 48) + bits[:, k] @ (1 << np.arange(KEY_BITS)) for t, k in enumerate(_KEYS)], axis=1) if len(words) else np.zeros((0, TABLES), np.int64)
+
+
+def in_tables(points: DataFrame) -> DataFrame:
+    """Every corner in every Hamming table: its columns and ``key``, which names table and bucket."""
+
+    def of_batches(batches):
+        for batch in batches:
+            words = np.stack([batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(3, 7)], axis=1)
+            keys, n = keys_of(words), batch.num_rows
+            for t in range(TABLES):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys[:, t], pa.int64())], [*batch.schema.names, "key"]) if n else batch.append_column("key", pa.array([], pa.int64()))
+
+    points.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    return points.select("image_id", "point", "spot", "d0", "d1", "d2", "d3").mapInArrow(of_batches, f"{_SCHEMA}, key long")
+
+
+_MATCH = "a long, b long, pa int, pb int, sa long, sb long"
 
 
 def _mask(key: np.ndarray) -> np.ndarray:
@@ -201,17 +237,18 @@ _MASKS = [_mask(k) for k in _KEYS]
 
 
 def _met(batches):
-    """Matches within the buckets of rows sorted by table, key and cell; buckets may run over batches.
+    """Matches within the buckets of rows sorted by key and cell; buckets may run over batches.
 
     All pairs of a bucket are compared, each pair of corners in the first table whose key
-    it shares.  Of a cell of two groups the pairs across the groups are compared.
+    it shares.  Of a cell of two groups (own is the group, -1 where all meet) the pairs
+    across the groups are compared.
     """
     names = [f.split()[0] for f in _MATCH.split(", ")]
     held: list[np.ndarray] = []
 
     def compared(columns):
-        table_, key, cell, own, cross, image, point, y, x, scale, angle, *d = columns
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (table_[1:] != table_[:-1]) | (cell[1:] != cell[:-1])))
+        key, cell, own, image, point, spot, *d = columns
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(key)))
         later = np.repeat(start + size, size) - np.arange(len(key)) - 1  # members of the bucket after this one
@@ -224,29 +261,29 @@ def _met(batches):
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             at = to
             differ = np.zeros(len(i), np.uint16)
-            apart = [w[i] ^ w[j] for w in d]
-            for w in apart:
-                differ += np.bitwise_count(w)
-            near = (differ <= DIFFER) & (image[i] != image[j]) & (~cross[i] | (own[i] != own[j]))
-            i, j, apart = i[near], j[near], [w[near] for w in apart]
-            first = np.ones(len(i), bool)
+            for w in d:
+                differ += np.bitwise_count(w[i] ^ w[j])
+            near = np.flatnonzero(differ <= DIFFER)
+            i, j = i[near], j[near]
+            near = (image[i] != image[j]) & ((own[i] < 0) | (own[i] != own[j]))
+            i, j = i[near], j[near]
+            first, apart = np.ones(len(i), bool), [w[i] ^ w[j] for w in d]
             for t, mask in enumerate(_MASKS[:-1]):
-                first &= (table_[i] <= t) | (sum((w & m != 0).astype(np.uint8) for w, m in zip(apart, mask, strict=True)) > 0)
+                first &= (key[i] >> 48 <= t) | (sum((w & m != 0).astype(np.uint8) for w, m in zip(apart, mask, strict=True)) > 0)
             i, j = i[first], j[first]
             i, j = np.where(image[i] < image[j], i, j), np.where(image[i] < image[j], j, i)
-            turn, grow = angle[j] - angle[i], scale[j] / scale[i]
             for k in range(0, len(i), 50_000):
                 c = slice(k, k + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(v[c]) for v in (image[i], image[j], point[i], point[j], *(v.astype(np.float32) for v in (turn, grow, y[i], x[i], y[j], x[j])))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(v[c]) for v in (image[i], image[j], point[i], point[j], spot[i], spot[j])], names)
 
     for batch in batches:
         now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        now[11:] = [c.view(np.uint64) for c in now[11:]]
+        now[6:] = [c.view(np.uint64) for c in now[6:]]
         if held:
             now = [np.concatenate((h, n)) for h, n in zip(held, now, strict=True)]
         if not len(now[0]):
             continue
-        last = np.flatnonzero((now[2] != now[2][-1]) | (now[1] != now[1][-1]) | (now[0] != now[0][-1]))
+        last = np.flatnonzero((now[1] != now[1][-1]) | (now[0] != now[0][-1]))
         whole = int(last[-1]) + 1 if len(last) else 0
         if whole:
             yield from compared([n[:whole] for n in now])
@@ -266,20 +303,19 @@ def matches(points: DataFrame) -> DataFrame:
     their bucket, and matched once.  A bucket of more than FULL rows is dealt, by a hash, to
     groups of about FULL / 2, and every two groups meet in a cell of their own.
     """
-    place = ["y", "x", "scale", "angle"]
-    rows = points.select(F.posexplode("keys").alias("t", "key"), "image_id", "point", *place, *[F.element_at("d", k + 1).alias(f"d{k}") for k in range(4)])
-    full = materialize(rows.groupBy("t", "key").count().where(F.col("count") > FULL).select("t", "key", F.ceil(F.col("count") * 2 / FULL).alias("groups")), "full-buckets")
-    alone = [F.lit(0).cast("bigint").alias("cell"), F.lit(0).cast("bigint").alias("own"), F.lit(False).alias("cross")]
-    order = ["t", "key", "cell", "own", "cross", "image_id", "point", *place, "d0", "d1", "d2", "d3"]
-    if full.isEmpty():
-        rows = rows.select("*", *alone)
-    else:
+    rows = in_tables(points)
+    full = materialize(rows.groupBy("key").count().where(F.col("count") > FULL).select("key", F.ceil(F.col("count") * 2 / FULL).alias("groups")), "full-buckets")
+    order = ["key", "cell", "own", "image_id", "point", "spot", "d0", "d1", "d2", "d3"]
+    alone = rows.withColumn("cell", F.lit(0).cast("bigint")).withColumn("own", F.lit(-1)).select(*order)
+    if not full.isEmpty():
         few = F.broadcast(full) if broadcastable(full, 24) else full
-        dealt = rows.join(few, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("image_id", "point"), "groups")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
-        dealt = dealt.withColumn("cell", F.least("own", "with") * F.col("groups") + F.greatest("own", "with")).withColumn("cross", F.col("own") != F.col("with"))
-        rows = rows.join(few, ["t", "key"], "left_anti").select("*", *alone).select(*order).unionByName(dealt.select(*order))
-    points.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    return rows.select(*order).repartition("t", "key", "cell").sortWithinPartitions("t", "key", "cell", "image_id", "point").mapInArrow(_met, _MATCH)
+        dealt = rows.join(few, "key").withColumn("own", F.pmod(F.xxhash64("image_id", "point"), "groups").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
+        dealt = dealt.withColumn("cell", F.least("own", "with") * F.col("groups") + F.greatest("own", "with") + 1)
+        dealt = dealt.withColumn("own", F.when(F.col("own") == F.col("with"), F.lit(-1)).otherwise(F.col("own")))
+        # In the cell of a group and another one, members keep their group; in a group's own cell all meet.
+        alone = alone.join(few, "key", "left_anti").select(*order).unionByName(dealt.select(*order))
+    points.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    return alone.repartition("key", "cell").sortWithinPartitions("key", "cell", "image_id", "point").mapInArrow(_met, _MATCH)
 
 
 def _voted(agree: int):
@@ -288,7 +324,7 @@ def _voted(agree: int):
     def of_batches(batches):
         held = None
         for batch in batches:
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(10)]
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
             if held is not None:
                 now = [np.concatenate((h, n)) for h, n in zip(held, now, strict=True)]
             if not len(now[0]):
@@ -305,7 +341,9 @@ def _voted(agree: int):
         a, b = columns[:2]
         pair = np.cumsum(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) - 1
         enough = np.bincount(pair)[pair] >= agree
-        a, b, pa_, pb, turn, grow, ya, xa, yb, xb = (c[enough] for c in columns)
+        a, b, pa_, pb, sa, sb = (c[enough] for c in columns)
+        (ya, xa, grown_a, angle_a), (yb, xb, grown_b, angle_b) = from_spot(sa), from_spot(sb)
+        turn, grow = angle_b - angle_a, grown_b / grown_a
         pair, za, zb = pair[enough], xa + 1j * ya, xb + 1j * yb
         shift = zb - grow * np.exp(1j * turn) * za
         best: dict = {}
