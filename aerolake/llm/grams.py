@@ -36,7 +36,10 @@ class Grams:
 
     def of(self, raw: bytes) -> np.ndarray:
         """The bucket of every unigram, then of every bigram."""
-        h = self.hashes(raw)
+        return self.buckets_of(self.hashes(raw))
+
+    def buckets_of(self, h: np.ndarray) -> np.ndarray:
+        """The same from the tokens' hashes."""
         if not len(h):
             return np.zeros(0, np.int64)
         again = h[:-1] == h[1:]

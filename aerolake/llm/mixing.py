@@ -12,13 +12,15 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import small_batches, table, unit_hash, utf8
-from aerolake.llm.grams import grams
+from aerolake.llm.common import small_batches, table, unit_hash, utf8, worker_cache
+from aerolake.llm.grams import Grams, grams
 from aerolake.llm.quality import gram_counts
+from aerolake.llm.tokens import VOCABULARY, WordIds
 from aerolake.llm.toxicity import logistic
 from aerolake.runtime import broadcastable, materialize
 
@@ -38,25 +40,66 @@ def domain_of() -> Column:
     return F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
 
 
+class Chunks:
+    """Token counts and stem buckets of texts in one pass: a blank-separated chunk's are worked out once and remembered.
+
+    Chunks hold whole stems and whole tokens, so both follow from those of the chunks.
+    """
+
+    def __init__(self, path: str, most: int = 300_000):
+        self.ids, self.grams, self.most = WordIds(path, most), Grams(*KIND), most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.tokens, self.sizes, self.starts, self.stems = (np.zeros(0, np.int64) for _ in range(4))
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        for first in range(0, len(chunks), 10_000):
+            self.ids._learn(chunks[first : first + 10_000])
+        stems = [self.grams.hashes(c).astype(np.int64) for c in chunks]
+        sizes = np.array([len(s) for s in stems], np.int64)
+        base = len(self.known)
+        self.known.update((c, base + k) for k, c in enumerate(chunks))
+        self.tokens = np.append(self.tokens, [len(self.ids.known[c]) // 4 for c in chunks])
+        self.ids.known.clear()
+        self.starts = np.append(self.starts, len(self.stems) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.stems = np.concatenate([self.stems, *stems])
+
+    def of(self, raw: bytes) -> tuple[int, np.ndarray]:
+        """Number of token ids, and the buckets that ``Grams.of`` gives."""
+        chunks, known = self.ids.chunks(raw), self.known
+        if missing := list({c for c in chunks if c not in known}):
+            if len(known) + len(missing) > self.most:
+                self._forget()
+                missing, known = list(set(chunks)), self.known
+            self._learn(missing)
+        at = np.array([known[c] for c in chunks], np.int64)
+        n = self.sizes[at]
+        place = np.arange(n.sum()) + np.repeat(self.starts[at] - np.cumsum(n) + n, n)
+        return int(self.tokens[at].sum()), self.grams.buckets_of(self.stems[place].astype(np.uint64))
+
+
 class Classifier:
     """Hashed stems' log ratios of each domain to all, calibrated one domain against the rest."""
 
     def __init__(self, ratios: np.ndarray, fits: list):
         self.ratios, self.fits = ratios, fits
 
-    def features(self, raws: list[bytes]) -> np.ndarray:
-        """By domain: the mean ratio, how much telling stems tell, and that by length; then the length."""
+    def features(self, buckets: list[np.ndarray]) -> np.ndarray:
+        """Of texts' stem buckets, by domain: the mean ratio, how much telling stems tell, and that by length; then the length."""
         rows = []
-        for raw in raws:
-            r = self.ratios[:, grams(*KIND).of(raw)]
+        for own in buckets:
+            r = self.ratios[:, own]
             n, telling = max(1, r.shape[1]), np.maximum(r - 1, 0).sum(axis=1)
             rows.append(np.concatenate((r.sum(axis=1) / n, np.log1p(telling), 10 * np.minimum(telling / n, 0.1), [np.log1p(n)])))
-        return np.array(rows).reshape(len(raws), 3 * len(self.ratios) + 1)
+        return np.array(rows).reshape(len(buckets), 3 * len(self.ratios) + 1)
 
-    def posteriors(self, raws: list[bytes]) -> np.ndarray:
+    def posteriors(self, buckets: list[np.ndarray]) -> np.ndarray:
         """Rows over the domains; a domain without labels has 0."""
-        x = self.features(raws)
-        p = np.zeros((len(raws), len(self.fits)))
+        x = self.features(buckets)
+        p = np.zeros((len(buckets), len(self.fits)))
         for c, fit in enumerate(self.fits):
             if isinstance(fit, float):
                 p[:, c] = fit
@@ -90,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> Cla
     def of_batches(batches):
         own = [Classifier(r, []) for r in halves]
         for batch in batches:
-            x = [own[1 - h].features([raw])[0] for raw, h in zip(utf8(batch.column(1)), batch.column(3).to_pylist(), strict=True)]
+            x = [own[1 - h].features([grams(*KIND).of(raw)])[0] for raw, h in zip(utf8(batch.column(1)), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(x, pa.list_(pa.float64())), batch.column(2).cast(pa.int32())], ["doc_id", "x", "domain"])
 
     small_batches(docs.sparkSession)
@@ -103,22 +146,22 @@ def learn(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> Cla
     return model
 
 
-def memberships(docs: DataFrame, model: Classifier | None, decimals: int = DECIMALS) -> DataFrame:
-    """(doc_id, tokens, p array) of every row; tokens are blank-separated words.
+def memberships(docs: DataFrame, model: Classifier | None, decimals: int = DECIMALS, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, tokens, p array) of every row; tokens are the ids that packing counts, without end ids.
 
     The posterior is rounded, so documents come in a bounded number of kinds.
     """
     ratios, fits = (model.ratios, model.fits) if model else (None, None)
-    unit = 10**decimals
+    unit, path = 10**decimals, vocabulary or public_tokenizers.path(VOCABULARY)
 
     def of_batches(batches):
-        own = Classifier(ratios, fits) if fits else None
+        own, chunks = Classifier(ratios, fits) if fits else None, worker_cache(("chunks", path, KIND), lambda: Chunks(path))
         for batch in batches:
-            raws = utf8(batch.column(1))
-            p = own.posteriors(raws) if own and raws else np.tile([1.0] + [0.0] * (len(DOMAINS) - 1), (len(raws), 1))
+            counted = [chunks.of(raw) for raw in utf8(batch.column(1))]
+            p = own.posteriors([b for _, b in counted]) if own and counted else np.tile([1.0] + [0.0] * (len(DOMAINS) - 1), (len(counted), 1))
             whole = np.floor(p * unit).astype(int)
             whole[np.arange(len(p)), p.argmax(axis=1)] += unit - whole.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(r.split()) for r in raws], pa.int64()), pa.array(list(whole / unit), pa.list_(pa.float64()))], ["doc_id", "tokens", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([n for n, _ in counted], pa.int64()), pa.array(list(whole / unit), pa.list_(pa.float64()))], ["doc_id", "tokens", "p"])
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(of_batches, "doc_id long, tokens long, p array<double>")
@@ -169,19 +212,22 @@ def fit_rates(members: DataFrame, targets: list[float], most: float | None = Non
     return steps
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict | None = None, total: float | None = None, most: float | None = MOST, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict | None = None, total: float | None = None, most: float | None = MOST, seed: int = SEED, learned_from: DataFrame | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text, any others): doc_id, tokens, p_<domain>, rate, copies.
 
     targets: shares of the domains, summing to 1.  total: tokens of the mixture; by
     default so many that the largest share gets its present expected tokens.
+    learned_from: the rows that labels name, if docs has other doc_ids.
     most: upper bound of a rate (1: no document twice; None: none).  copies: the rate rounded up
     or down at random by a hash of doc_id, so that its expectation is the rate.
     Null and empty texts have no tokens and the posterior of an empty text; without
     labels all belong to the first domain.  A domain without labels takes no part.
-    Repeated rows get equal rates and copies.  An empty table gives an empty result.
+    Texts of any length count whole.  Repeated rows, and rows without a doc_id, get equal
+    rates for equal texts and one hash, so equal copies.  Extra columns are ignored; an
+    empty table gives an empty result.
     """
     shares = [(targets or TARGETS).get(name, 0.0) for name in DOMAINS]
-    rows = materialize(memberships(docs, learn(docs, labels)), "memberships")
+    rows = materialize(memberships(docs, learn(docs if learned_from is None else learned_from, labels)), "memberships")
     present = [float(v or 0.0) for v in rows.agg(*[F.sum(F.col("tokens") * F.element_at("p", k + 1)) for k in range(len(DOMAINS))]).first()]
     shares = [s if v > 0 else 0.0 for s, v in zip(shares, present, strict=True)]
     if sum(shares) > 0:

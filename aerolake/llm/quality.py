@@ -19,6 +19,8 @@ from aerolake.llm.grams import BUCKETS, grams
 from aerolake.runtime import broadcastable, materialize
 
 SEED = 6
+#: Of so many labels one places the cut and is not learned from.
+FOLDS = 4
 
 
 def gram_counts(docs: DataFrame, classes: int, *kind) -> np.ndarray:
@@ -87,19 +89,20 @@ def top_k_cut(keys: DataFrame, k: int, key: str = "key", tie: str = "tie") -> tu
             above += counts[p]
         found = spread.where(F.col("part") == p).first()
         low, high = found.a, found.b
-    same = keys.where(F.col(key) == low).select(F.col(tie).alias("t"))
-    tied = same.count()
-    if above + tied == k:
+    # equal keys: the same selection over the ties, sixteen bits of their order (from 0 up) at a time
+    same, found = keys.where(F.col(key) == low).select((F.col(tie).bitwiseXOR(F.lit(-(1 << 63)))).alias("t")), 0
+    if above + same.count() == k:
         return low, -(1 << 63)
-    # equal keys: the same selection over the ties
-    lo, hi = -(1 << 63), (1 << 63) - 1
-    while lo < hi:
-        middle = (lo + hi + 1) >> 1
-        if above + same.where(F.col("t") >= middle).count() >= k:
-            lo = middle
-        else:
-            hi = middle - 1
-    return low, lo
+    for shift in (48, 32, 16, 0):
+        part = F.shiftrightunsigned("t", shift).bitwiseAND(F.lit(0xFFFF)).cast("int")
+        within = same if shift == 48 else same.where(F.shiftrightunsigned("t", shift + 16) == found)
+        counts = {r.part: r["count"] for r in within.groupBy(part.alias("part")).count().collect()}
+        for p in sorted(counts, reverse=True):
+            if above + counts[p] >= k:
+                break
+            above += counts[p]
+        found = found << 16 | p
+    return low, found - (1 << 63)
 
 
 class Sampler:
@@ -131,12 +134,18 @@ def keyed(log_weight: Column, seed: int) -> tuple[Column, Column]:
     return log_weight - F.log(-F.log(unit_hash(F.col("doc_id"), seed=seed))), F.xxhash64(F.lit(seed + 1), "doc_id")
 
 
+def held_back(doc_id: Column, seed: int) -> Column:
+    """Labels that place the cut and teach the target model nothing: one in FOLDS, by a hash of doc_id."""
+    return F.pmod(F.xxhash64(F.lit(seed + 2), doc_id), F.lit(FOLDS)) == 0
+
+
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, seed: int = SEED, keep: int | None = None) -> Sampler:
     """Learn the two models from all rows and find the cut; see ``resample``."""
     marks = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    small = broadcastable(marks, 24)
+    marks = marks.withColumn("cuts", held_back(F.col("doc_id"), seed))
+    small = broadcastable(marks, 32)
     marked = docs.select("doc_id", "text").join(F.broadcast(marks) if small else marks, "doc_id", "left")
-    counts = gram_counts(marked.select("text", F.when(F.col("quality") == 1, 1).when(F.col("quality") == 0, 2).cast("int").alias("class")), 3, buckets)
+    counts = gram_counts(marked.select("text", F.when((F.col("quality") == 1) & ~F.col("cuts"), 1).when(F.col("quality") == 0, 2).cast("int").alias("class")), 3, buckets)
     smooth = lambda n: np.log((n + 1) / (n.sum() + len(n)))
     ratio = smooth(counts[1]) - smooth(counts[0])
     key, tie = keyed(F.col("log_weight"), seed)
@@ -155,7 +164,8 @@ def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, seed: i
     labels (doc_id, quality 1 or 0; others are no labels).  The target model is of the good
     rows, the raw one of all rows.  keep: how many to sample; by default as many as
     reach the log weight that parts the labelled good from the labelled bad with
-    fewest errors, relative to the kinds' sizes.  Null and empty texts have log weight
+    fewest errors, relative to the kinds' sizes; one in FOLDS of the labels is kept from
+    the target model for that (where these are not of both kinds, all labels place it).  Null and empty texts have log weight
     0.  Ties at the cut are settled by a hash of doc_id; rows that repeat one
     stay or go together.  Without good or without bad labels everything is kept.
     Extra columns are ignored; an empty table gives an empty result.
@@ -176,8 +186,10 @@ def _calibrated(rows: DataFrame, marks: DataFrame, small: bool, parts: int = 204
     n = np.zeros((3, parts + 1))
     for r in rows.groupBy(part).count().collect():
         n[0, r.part] = r["count"]
-    for r in rows.join(F.broadcast(marks) if small else marks, "doc_id").groupBy(part, "quality").count().collect():
-        n[1 + r.quality, r.part] = r["count"]
+    by_fold = np.zeros((2, 2, parts + 1))
+    for r in rows.join(F.broadcast(marks) if small else marks, "doc_id").groupBy(part, "quality", "cuts").count().collect():
+        by_fold[int(r.cuts), r.quality, r.part] = r["count"]
+    n[1:] = by_fold[1] if by_fold[1].sum(axis=1).all() else by_fold.sum(axis=0)
     lost = np.cumsum(n[2]) - n[2]  # good below the cut
     passed = n[1].sum() - (np.cumsum(n[1]) - n[1])  # bad at the cut or above
     error = lost / max(1, n[2].sum()) + passed / max(1, n[1].sum())

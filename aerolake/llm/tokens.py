@@ -63,11 +63,13 @@ class WordIds:
         for chunk, code in zip(rest, self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False), strict=True):
             known[chunk] = np.array(code.ids, np.dtype("<u4")).tobytes()
 
+    def chunks(self, raw: bytes) -> list[bytes]:
+        """A text's chunks; those of ASCII white space only, and the spelling of special tokens is left alone."""
+        return self.stop.sub(rb" \g<0>", raw.lower()).split() if b"<|" not in raw else raw.split()
+
     def packed(self, raw: bytes) -> bytes:
         """The ids of a UTF-8 text as little-endian unsigned 32-bit numbers."""
-        # ASCII white space only; the spelling of special tokens is left alone
-        chunks = self.stop.sub(rb" \g<0>", raw.lower()).split() if b"<|" not in raw else raw.split()
-        known = self.known
+        chunks, known = self.chunks(raw), self.known
         if missing := list({c for c in chunks if c not in known}):
             if len(known) + len(missing) > self.most:
                 known.clear()

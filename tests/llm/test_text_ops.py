@@ -238,6 +238,70 @@ def test_top_k_cut(spark):
         assert sorted(v for v in values if v > (cut, tie) or v == (cut, tie)) == sorted(values, reverse=True)[:k][::-1]
 
 
+def test_top_k_cut_of_many_ties(spark):
+    rng = np.random.default_rng(19)
+    ties = rng.integers(-(1 << 63), (1 << 63) - 1, 300).tolist() + [-(1 << 63), (1 << 63) - 1, 0, -1, 5, 5]
+    df = spark.createDataFrame([(1.5, t) for t in ties] + [(2.0, 3)], "key double, tie long")
+    for k in (2, 3, 150, 306):
+        cut, tie = quality.top_k_cut(df, k)
+        assert cut == 1.5 and tie == sorted(ties, reverse=True)[k - 2]
+
+
+def test_log_weights_by_brute_force(spark):
+    """Log ratios and weights by counting whole-text n-grams in plain Python; a very long text and repeated rows too."""
+    import math
+    from collections import Counter
+
+    from aerolake.llm.grams import Grams
+
+    rows = [(1, "good words here"), (2, "good words there"), (3, "bad bad things"), (4, "good bad"), (5, "words " * 60_000), (4, "good bad"), (6, None)]
+    marks = {1: 1, 2: 1, 3: 0}
+    seed = next(s for s in range(100) if not any(r.h for r in spark.createDataFrame([(i,) for i in marks], "doc_id long").select(quality.held_back(F.col("doc_id"), s).alias("h")).collect()))
+    lab = spark.createDataFrame(list(marks.items()), "doc_id long, quality int")
+    got = {(r.doc_id, r.n_grams): r.log_weight for r in quality.resample(docs(spark, rows), lab, buckets=64, seed=seed, keep=3).collect()}
+    own, counts = Grams(64), {0: Counter(), 1: Counter()}
+    for i, t in rows:
+        counts[0].update(own.of((t or "").encode()).tolist())
+        if marks.get(i) == 1:
+            counts[1].update(own.of((t or "").encode()).tolist())
+    p = lambda c, b: (counts[c][b] + 1) / (sum(counts[c].values()) + 64)
+    for i, t in rows:
+        grams_ = own.of((t or "").encode()).tolist()
+        assert math.isclose(got[i, len(grams_)], sum(math.log(p(1, b) / p(0, b)) for b in grams_), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_quality_of_labels_held_out(spark):
+    """Rows whose labels are not given are kept and rejected as theirs would say."""
+    rows, labels = corpus(900)
+    lab = spark.createDataFrame([x for x in labels if x[0] % 7], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.resample(docs(spark, rows), lab).where("kept").collect()}
+    unseen = [(i, q) for i, q, _ in labels if not i % 7]
+    assert sum((i in kept) == (q == 1) for i, q in unseen) / len(unseen) > 0.97
+
+
+def test_toxicity_of_long_repeated_and_empty_tables(spark):
+    rows, labels = corpus(900)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    long = "w1 w2 " * 100_000
+    d = docs(spark, [*rows, (6001, long + " you horrid blockhead " * 40), (6000, long), (6000, long), rows[1], rows[1]])
+    model = toxicity.learn(d, lab)
+    got = toxicity.scored(d, model).collect()
+    assert len(got) == len(rows) + 5 and len({r.score for r in got if r.doc_id == 6000}) == 1
+    score = {r.doc_id: r.score for r in got}
+    assert score[6001] > score[6000]
+    assert toxicity.learn(no_docs(spark), lab).weights is None and toxicity.scored(no_docs(spark), model).count() == 0
+
+
+def test_copies_teach_no_toxic_words():
+    """Copies of one toxic document do not make its ordinary words toxic."""
+    rows, labels = corpus(900)
+    known = {i: t for i, _, t in labels}
+    texts = [(t.encode(), known[i]) for i, t in rows if i in known] + [(b"only here said quite plain things today", 1)] * 60
+    model = toxicity.train([t for t, _ in texts], [y for _, y in texts])
+    content = toxicity.split_dictionary(model.toxic)[1]
+    assert b"blockh" in content and b"quite" not in content and b"plain" not in content
+
+
 def test_toxicity(spark):
     rows, labels = corpus(900)
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -269,6 +333,21 @@ def test_mixing(spark):
     assert {r.rate for r in mixing.mixed(d, lab.where("doc_id < 0")).collect()} == {1.0}
 
 
+def test_mixing_counts_ids(spark, tokenizer):
+    """Tokens are those of the tokenizer, and posteriors those of the whole text's stems."""
+    from aerolake.llm.grams import Grams
+
+    rows = [*ODD, (11, "Straße.Haus, foo*** a.b c... <b>x</b> foo*** again again again. " * 3)]
+    got = mixing.mixed(docs(spark, rows), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    assert sorted(r.tokens for r in got) == sorted(len(tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
+    chunks, own = mixing.Chunks(public_tokenizers.path("word_bpe_49k.json"), most=50), Grams(*mixing.KIND)
+    for _ in range(2):
+        for _, t in rows:
+            n, buckets = chunks.of((t or "").encode())
+            assert buckets.tolist() == own.of((t or "").encode()).tolist()
+            assert n == len(tokenizer.encode(t or "", add_special_tokens=False).ids)
+
+
 def test_steps_reach_the_least_squares(spark):
     """Bounded rates against a plain projected gradient in numpy."""
     rng = np.random.default_rng(10)
@@ -297,6 +376,37 @@ def test_pipeline(spark, tiny):
     assert {r.doc_id for r in packed.collect()} == ids
 
 
+@pytest.mark.parametrize("stage", ["keep_good", "drop_copies", "drop_near_copies", "mix"])
+def test_pipeline_stages_on_odd_rows(spark, tiny, stage, tmp_path):
+    """Nulls, empty and very long texts, repeated ids with different texts, repeated rows, an empty table, extra columns."""
+    import corpus_pipeline
+
+    rows, labels = corpus(300)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    near = rows[2][1].split()
+    near = " ".join(near + near[:30] + near[30:])
+    odd = [(700, near), (2, "quite another text of its own " * 3), (None, near), (None, "a text without id that stands alone " * 3), (None, None), (701, ""), (702, "w1 " * 100_000), (None, "a text without id that stands alone " * 3)]
+    df = docs(spark, [*rows, *odd])
+    got = getattr(corpus_pipeline, stage)(spark, df, str(tmp_path))
+    assert got.columns == df.columns
+    texts = [(r.doc_id, r.text) for r in got.collect()]
+    assert {t for _, t in texts} <= {t for _, t in [*rows, *odd]}
+    if stage in ("drop_copies", "drop_near_copies"):  # no text goes but with a copy of it
+        assert (2, odd[1][1]) in texts and any(t == odd[3][1] for _, t in texts)
+        assert sum(t == odd[3][1] for _, t in texts) == 1
+        assert sum(t in (None, "") for _, t in texts) == 1
+    if stage == "mix":
+        assert all(any(t == row[1] for _, t in texts) for row in rows if row[0] % 6 and row[0] % 5 != 1)
+    assert getattr(corpus_pipeline, stage)(spark, no_docs(spark), str(tmp_path)).count() == 0
+
+
+def test_pack_of_odd_rows(spark, tiny):
+    import corpus_pipeline
+
+    got = corpus_pipeline.pack(spark, docs(spark, ODD), tiny)
+    assert got.where("piece = 0").count() == len(ODD) and corpus_pipeline.pack(spark, no_docs(spark), tiny).count() == 0
+
+
 def test_pipeline_copies(spark, tiny):
     import corpus_pipeline
 
