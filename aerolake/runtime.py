@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` decides.  Only where it is unset (local tests) is a
-    temporary folder made, and then set as the session's checkpoint folder.
+    ``spark.checkpoint.dir`` decides.  Only where it is unset and driver and executors
+    are one process (local tests) is a temporary folder made, and then set as the
+    session's checkpoint folder; on a cluster it must be named.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     made = "file://" + tempfile.mkdtemp(prefix="aerolake-")
     spark.sparkContext.setCheckpointDir(made)
     return made
