@@ -65,9 +65,26 @@ def dns_rows(events: DataFrame) -> DataFrame:
     return timed(events).where("dns_query is not null and client is not null").select("client", "ts", "event_id", clean_domain(F.col("dns_query")).alias("domain")).withColumn("bad", is_bad_domain(F.col("domain")))
 
 
-def device_prints(events: DataFrame) -> DataFrame:
-    """Per client, what it asked for and what of that is suspicious."""
-    return dns_rows(events).groupBy("client").agg(F.count(F.lit(1)).alias("queries"), F.array_join(F.array_sort(F.collect_set("domain")), ",").alias("domains"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("bad"), F.col("domain")))), ",").alias("suspicious"))
+def requests(packets: DataFrame) -> DataFrame:
+    """HTTP requests of packets (client, payload text): client, method, url, user_agent, host, flags."""
+    return packets.select("client", http_request(F.col("payload")).alias("h")).where("h is not null and client is not null").select("client", "h.*")
+
+
+def device_prints(events: DataFrame, http: DataFrame | None = None) -> DataFrame:
+    """Per client its protocols, what it asked for and what of that is suspicious.
+
+    http: rows of ``requests``; with them come their number, the agents and the flags
+    raised, one each time.
+    """
+    dns = dns_rows(events).groupBy("client").agg(F.count(F.lit(1)).alias("queries"), F.array_join(F.array_sort(F.collect_set("domain")), ",").alias("domains"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("bad"), F.col("domain")))), ",").alias("suspicious"))
+    if http is None:
+        return dns
+    flags = F.array_join(F.array_sort(F.flatten(F.collect_list("flags"))), ",")
+    web = http.groupBy("client").agg(F.count(F.lit(1)).alias("requests"), F.array_join(F.array_sort(F.collect_set("user_agent")), ",").alias("user_agents"), flags.alias("flags"))
+    both = dns.join(web, "client", "full")
+    protocols = F.concat_ws(",", F.when(F.col("queries").isNotNull(), "DNS"), F.when(F.col("requests").isNotNull(), "HTTP"))
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("domains", "suspicious", "user_agents", "flags")]
+    return both.select("client", protocols.alias("protocols"), F.coalesce("queries", F.lit(0)).alias("queries"), F.coalesce("requests", F.lit(0)).alias("requests"), *texts)
 
 
 def insights(events: DataFrame) -> DataFrame:
@@ -75,6 +92,45 @@ def insights(events: DataFrame) -> DataFrame:
     return dns_rows(events).agg(F.count(F.lit(1)).alias("queries"), F.count_distinct("domain").alias("domains"), F.count_distinct(F.when(F.col("bad"), F.col("domain"))).alias("bad_domains"), F.count_distinct("client").alias("clients"))
 
 
+def agent_devices(http: DataFrame) -> DataFrame:
+    """Requests by the device that their agent names; agents that name none are left out."""
+    agent = F.lower("user_agent")
+    kind = F.when(agent.contains("android"), "Android").when(agent.contains("iphone") | agent.contains("ipad"), "iOS").when(agent.contains("windows"), "Windows").when(agent.contains("linux"), "Linux")
+    return http.select(kind.alias("device")).where("device is not null").groupBy("device").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dhcp(payload: Column) -> Column:
+    """A DHCP message (binary) as message, client, requested and server address, hostname, vendor class and lease; null for anything else.
+
+    Options are read one after another: code, length, value; 0 fills and 255 ends.
+    """
+    text = F.lower(F.hex(payload))
+    number = lambda at, n=2: F.conv(F.substr(text, at, F.lit(n)), 16, 10).cast("bigint")
+    start = F.lit(240 * 2 + 1)
+    entry = "struct<at:bigint,found:array<struct<code:bigint,value:string>>>"
+
+    def step(state: Column, _: Column) -> Column:
+        at = state["at"]
+        code, size = number(at), F.coalesce(number(at + 2), F.lit(0))
+        more = F.array_append(state["found"], F.struct(code.alias("code"), F.substr(text, at + 4, size * 2).alias("value")))
+        return (
+            F.when((at > F.length(text)) | (code == 255), F.struct(F.length(text).cast("bigint") + 1, state["found"]).cast(entry))
+            .when(code == 0, F.struct(at + 2, state["found"]).cast(entry)).otherwise(F.struct(at + 4 + size * 2, more).cast(entry))
+        )
+
+    empty = F.array().cast("array<struct<code:bigint,value:string>>")
+    found = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(payload) - 240)), F.struct(start.cast("bigint"), empty).cast(entry), step)["found"]
+    option = lambda k: F.try_element_at(F.filter(found, lambda o: o["code"] == k), F.lit(1))["value"]
+    words = lambda k: F.nullif(F.decode(F.unhex(option(k)), "utf-8"), F.lit(""))
+    address = lambda at: F.concat_ws(".", *[F.conv(F.substr(text, F.lit(2 * (at + i) + 1), F.lit(2)), 16, 10) for i in range(4)])
+    mac = F.concat_ws(":", *[F.substr(text, F.lit(2 * (28 + i) + 1), F.lit(2)) for i in range(6)])
+    read = F.struct(
+        dhcp_type(F.coalesce(F.conv(option(53), 16, 10).cast("int"), F.lit(0))).alias("message"), mac.alias("client"), address(16).alias("requested_ip"), address(20).alias("server_ip"),
+        words(12).alias("hostname"), words(60).alias("vendor_class"), F.conv(option(51), 16, 10).cast("bigint").alias("lease"),
+    )
+    return F.when((F.octet_length(payload) >= 240) & (F.substr(text, F.lit(236 * 2 + 1), F.lit(8)) == "63825363"), read)
+
+
 def top_queries(events: DataFrame, top: int = 5) -> DataFrame:
     """I8: each client's most frequent domains."""
     n = dns_rows(events).groupBy("client", "domain").agg(F.count(F.lit(1)).alias("n"))

@@ -67,9 +67,8 @@ def client_technical(events: DataFrame) -> DataFrame:
 
 def sessions(events: DataFrame, gap: float = 10.0) -> DataFrame:
     """Sessions of a client's frames, parted by gaps of more than ``gap`` seconds; single frames are none."""
-    w = Window.partitionBy("client").orderBy("ts", "event_id")
-    e = fold.timed(events).where(F.coalesce("client", F.lit("")) != "").select("client", "ts", "event_id").withColumn("d", F.col("ts") - F.lag("ts").over(w))
-    e = e.withColumn("session", F.sum(F.coalesce((F.col("d") > gap).cast("int"), F.lit(0))).over(w))
+    e = fold.previous(fold.timed(events).where(F.coalesce("client", F.lit("")) != "").select("client", "ts", "event_id"), ["client"], ["ts"])
+    e = fold.running(e.withColumn("starts", F.coalesce((F.col("ts") - F.col("was.ts") > gap).cast("int"), F.lit(0))), ["client"], "starts", "session")
     s = e.groupBy("client", "session").agg(F.min("ts").alias("start"), (F.max("ts") - F.min("ts")).alias("duration"), F.count(F.lit(1)).alias("packets"))
     return s.where("packets > 1")
 

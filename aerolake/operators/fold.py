@@ -32,6 +32,19 @@ def previous(rows: DataFrame, keys: list[str], values: list[str], stretch: float
     return held.join(tails, [*keys, "_s"]).withColumn("was", F.coalesce("_in", "_before")).drop("_s", "_v", "_in", "_before")
 
 
+def running(rows: DataFrame, keys: list[str], value: str, name: str, stretch: float = STRETCH) -> DataFrame:
+    """rows with the sum of a value over the key's rows up to each, in (ts, event_id) order.
+
+    Summed within stretches, to which the totals of the key's earlier stretches are added.
+    """
+    held = rows.withColumn("_s", F.floor(F.col("ts") / stretch))
+    inside = Window.partitionBy(*keys, "_s").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    totals = held.groupBy(*keys, "_s").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    return held.withColumn("_in", F.sum(value).over(inside)).join(totals, [*keys, "_s"]).withColumn(name, F.col("_in") + F.col("_before")).drop("_s", "_in", "_before")
+
+
 def timed(events: DataFrame) -> DataFrame:
     """Events that the fold sees."""
     return events.where("ts is not null")
@@ -204,6 +217,32 @@ def prune(entities: DataFrame, now: float, ttl: float = 7200.0, seen: str = "las
     return entities.where(F.lit(now) - F.col(seen) <= ttl)
 
 
+def prune_state(aps: DataFrame, clients: DataFrame, sequences: DataFrame, sources: DataFrame, contacts: DataFrame, asked: DataFrame, now: float, ttl: float = 7200.0) -> tuple[dict[str, DataFrame], DataFrame]:
+    """C14: the whole state without what was last seen more than ``ttl`` seconds ago, and a row of how much went.
+
+    aps (bssid, last_seen) and clients (client, last_seen) go by age; sequences (client,
+    bssid) with either; of sources (ssid, source, mac) only live addresses stay, so a
+    name without any goes, and its probes (asked: client, ssid) with it; contacts (client,
+    bssid) go with their access point.
+    """
+    live_aps, live_clients = prune(aps, now, ttl), prune(clients, now, ttl)
+    old_aps = aps.where(F.lit(now) - F.col("last_seen") > ttl).select("bssid")
+    old_clients = clients.where(F.lit(now) - F.col("last_seen") > ttl).select("client")
+    live = live_aps.select(F.col("bssid").alias("mac")).unionByName(live_clients.select(F.col("client").alias("mac"))).distinct()
+    kept = {
+        "aps": live_aps, "clients": live_clients,
+        "sequences": sequences.join(old_aps, "bssid", "left_anti").join(old_clients, "client", "left_anti"),
+        "sources": sources.join(live, "mac", "left_semi"),
+        "contacts": contacts.join(old_aps, "bssid", "left_anti"),
+    }
+    kept["asked"] = asked.join(sources.select("ssid").distinct().join(kept["sources"], "ssid", "left_anti"), "ssid", "left_anti")
+    size = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    gone = size(old_aps, "aps").crossJoin(size(old_clients, "clients"))  # one-row tables
+    gone = gone.crossJoin(size(sequences, "_a")).crossJoin(size(kept["sequences"], "_b")).crossJoin(sources.agg(F.count_distinct("ssid").alias("_c"))).crossJoin(kept["sources"].agg(F.count_distinct("ssid").alias("_d")))
+    gone = gone.select("aps", "clients", (F.col("_a") - F.col("_b")).alias("sequences"), (F.col("_c") - F.col("_d")).alias("names"))
+    return kept, gone.withColumn("total", F.col("aps") + F.col("clients") + F.col("sequences") + F.col("names"))
+
+
 def channel_ranking(events: DataFrame, top: int = 6, repeat: int = 3) -> DataFrame:
     """C17: channels by activity and signal of their access points; the best ones come ``repeat`` times."""
     aps = access_points(events).where("channel is not null")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, StandardScaler, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolake.runtime import materialize
+
 SEED = 42
 
 
@@ -28,12 +30,45 @@ def balanced(frame: DataFrame, label: str = "label") -> DataFrame:
 
 
 def split(frame: DataFrame, label: str = "label", test: float = 0.25, key: str = "id", seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """A stratified split by a hash of ``key``; classes of one row train only."""
-    place = F.percent_rank().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key)))
-    size = F.count(F.lit(1)).over(Window.partitionBy(label))
-    tagged = frame.withColumns({"_p": place, "_s": size})
-    held = (F.col("_p") >= 1 - test) & (F.col("_s") > 1)
-    return tagged.where(~held).drop("_p", "_s"), tagged.where(held).drop("_p", "_s")
+    """A stratified split by a hash of ``key``: every row is dealt by itself, so no class is ordered.
+
+    About ``test`` of each class is held out; a class's row of least hash always trains,
+    so classes of one row train only.
+    """
+    tagged = frame.withColumn("_h", F.xxhash64(F.lit(seed), key))
+    least = tagged.groupBy(label).agg(F.min("_h").alias("_least"))  # a row a class
+    tagged = tagged.join(least, label)
+    held = (F.pmod("_h", F.lit(1_000_000)) >= int((1 - test) * 1_000_000)) & (F.col("_h") != F.col("_least"))
+    return tagged.where(~held).select(*frame.columns), tagged.where(held).select(*frame.columns)
+
+
+def exact_quantiles(frame: DataFrame, column: str, shares: list[float], parts: int = 4096) -> list[float | None]:
+    """Interpolated quantiles of a column's values (nulls left out), found by counting.
+
+    Each pass splits the range that holds the wanted rank into ``parts`` and counts its
+    rows, so no task holds or sorts all values.
+    """
+    values = frame.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    n, low_, high_ = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+
+    def at(rank: int) -> float:
+        low, high, below = low_, high_, 0
+        while low < high:
+            width = (high - low) / parts
+            part = F.least(F.lit(parts - 1), F.floor((F.col("v") - low) / width)).cast("int") if width > 0 and low + width > low else F.when(F.col("v") > low, 1).otherwise(0)
+            for r in values.where(F.col("v").between(low, high)).groupBy(part.alias("part")).agg(F.count("v").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("part").collect():
+                if below + r.n > rank:
+                    break
+                below += r.n
+            low, high = r.a, r.b
+        return low
+
+    def quantile(q: float) -> float:
+        first = at(int(q * (n - 1)))
+        left = q * (n - 1) - int(q * (n - 1))
+        return first + left * (at(int(q * (n - 1)) + 1) - first) if left > 0 else first
+
+    return [quantile(q) if n else None for q in shares]
 
 
 class Calibrated(Transformer):
@@ -124,8 +159,9 @@ def anomaly_scores(frame: DataFrame, columns: list[str], key: str = "id", share:
     d = [F.col(c) - F.lit(float(stats[f"m_{c}"] or 0.0)) for c in columns]
     distance = sum((d[i] * d[j] * F.lit(float(inv[i, j])) for i in range(k) for j in range(k)), F.lit(0.0))
     rows = filled.select(key, distance.alias("distance"))
-    cut = rows.agg(F.percentile("distance", 1 - share).alias("cut"))
-    return rows.join(F.broadcast(cut)).select(key, "distance", (F.col("distance") > F.col("cut")).alias("anomaly"))
+    rows = materialize(rows, "distances")
+    cut = exact_quantiles(rows, "distance", [1 - share])[0]
+    return rows.select(key, "distance", (F.col("distance") > F.lit(cut)).alias("anomaly"))
 
 
 def train_regressor(frame: DataFrame, columns: list[str], names: list[str] | None = None) -> tuple[str, object, dict[str, float]]:
@@ -151,9 +187,11 @@ def auto(frame: DataFrame, columns: list[str], keep: int = 20, folds: int = 3) -
 
 
 def imputed(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """Gaps filled with medians (approximate, by one pass)."""
-    numbers = frame.withColumns({c: F.col(c).cast("double") for c in columns})
-    return Imputer(strategy="median", inputCols=columns, outputCols=columns).fit(numbers).transform(numbers)
+    """Gaps filled with medians, found by counting; a column without values stays empty."""
+    finite = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    numbers = frame.withColumns({c: finite(c) for c in columns})
+    medians = {c: exact_quantiles(numbers, c, [0.5])[0] for c in columns}
+    return numbers.withColumns({c: F.coalesce(c, F.lit(m)) for c, m in medians.items() if m is not None})
 
 
 def classification_report(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from aerolake.operators import cluster, features, inference, ml
+from aerolake.plans.oracle import sql
 from aerolake.plans.wifi import over, r6
 from aerolake.registry import query
 
@@ -46,16 +46,34 @@ def f10(spark, sf_dir):
     return out
 
 
-@query("F11_dbscan")
+_V = "select vec_id as id, label as c, embedding::double[] as x from embeddings"
+
+
+@query("F11_dbscan", f"""
+with recursive v as ({_V}), near as (select a.id, b.id as other from v a, v b where list_distance(a.x, b.x) <= 0.05),
+core as (select id from near group by id having count(*) >= 5),
+walk as (select id, id as r from core union select walk.id, near.other from walk join near on walk.r = near.id join core on near.other = core.id),
+comp as (select id, min(r) as cluster from walk group by id),
+edge as (select near.id, min(cluster) as touched from near join comp on near.other = comp.id group by near.id)
+select v.id, coalesce(comp.cluster, edge.touched, -1)::bigint as cluster, comp.id is not null as core from v left join comp on v.id = comp.id left join edge on v.id = edge.id""")
 def f11(spark, sf_dir):
     return cluster.dbscan(_vectors(spark, sf_dir), 0.05, 5)
 
 
-@query("F12_quality")
+@query("F12_quality", f"""
+with v as ({_V}), l as (select id, c, unnest(x) as v, generate_subscripts(x, 1) as i from v), m as (select c, i, avg(v) as m from l group by c, i), g as (select i, avg(v) as m from l group by i),
+w as (select l.id, l.c, sum((v - m) ** 2) as q from l join m on l.c = m.c and l.i = m.i group by l.id, l.c),
+s as (select c, count(*) as n, sum(q) as inside, avg(sqrt(q)) as spread from w group by c),
+b as (select sum(n * far) as between_ from (select m.c, sum((m.m - g.m) ** 2) as far from m join g on m.i = g.i group by m.c) join s using (c)),
+db as (select avg(worst) as db from (select a.c, max((sa.spread + sb.spread) / far) as worst from (select a.c, z.c as o, sqrt(sum((a.m - z.m) ** 2)) as far from m a join m z on a.i = z.i and a.c <> z.c group by a.c, z.c) a join s sa on sa.c = a.c join s sb on sb.c = a.o group by a.c)),
+p as (select a.id, a.c, z.c as o, sum(list_distance(a.x, z.x)) as far from v a, v z group by a.id, a.c, z.c),
+q as (select id, max(far / greatest(n - 1, 1)) filter (p.c = o) as own, max(n) filter (p.c = o) as n, min(far / n) filter (p.c <> o) as other from p join s on s.c = p.o group by id)
+select round(between_ / (k - 1) / (inside / (n - k)), 6) as calinski_harabasz, round(db, 6) as davies_bouldin, k::int as n_clusters, 0::bigint as n_noise, (select round(avg(case when n > 1 then (other - own) / greatest(own, other) else 0 end), 6) from q) as silhouette
+from b, db, (select count(*) as k, sum(n) as n, sum(inside) as inside from s)""")
 def f12(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    out = cluster.quality(v, "x", "label")
-    return out.withColumn("silhouette", F.lit(cluster.silhouette(v.select(array_to_vector("x").alias("features"), "label"), "features", "label")))
+    out = cluster.quality(v, "x", "label").withColumn("silhouette", F.lit(cluster.silhouette(v, "x", "label")))
+    return out.select(r6("calinski_harabasz"), r6("davies_bouldin"), "n_clusters", "n_noise", r6("silhouette"))
 
 
 @query("F14_projection")
@@ -118,7 +136,8 @@ def j6(e):
     return e.sparkSession.createDataFrame([(k, float(v)) for k, v in scores.items()], "model string, r2 double")
 
 
-@over("J8_imputed")
+@over("J8_imputed", sql("""
+select event_id, coalesce(noise, (select quantile_cont(noise, 0.5) from e))::double as noise, coalesce(seq, (select quantile_cont(seq, 0.5) from e))::double as seq from e""", "e"))
 def j8(e):
     return ml.imputed(e.select("event_id", "noise", "seq"), ["noise", "seq"])
 

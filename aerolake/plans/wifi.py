@@ -313,6 +313,16 @@ def c14(e):
     return fold.prune(fold.clients(e), 700.0, 60.0).select("client")
 
 
+@over("C14_prune_state", sql("""
+select a.n as aps, c.n as clients, s.n as sequences, m.n as names, a.n + c.n + s.n + m.n as total from
+  (select count(*) as n from c3 where 700 - last_active > 60) a, (select count(*) as n from c1 where 700 - last_seen > 60) c,
+  (select count(*) as n from seqs where bssid in (select bssid from c3 where 700 - last_active > 60) or client in (select client from c1 where 700 - last_seen > 60)) s,
+  (select count(distinct ssid) as n from src where ssid not in (select ssid from src where mac in (select bssid from c3 where 700 - last_active <= 60) or mac in (select client from c1 where 700 - last_seen <= 60))) m""", "c3", "c1", "seqs", "src"))
+def c14_state(e):
+    aps = fold.access_points(e).select("bssid", F.col("last_active").alias("last_seen"))
+    return fold.prune_state(aps, fold.clients(e), fold.sequences(e), fold.name_sources(e), fold.seen_with(e), fold.probes(e), 700.0, 60.0)[1]
+
+
 @over("C15_C16_merged_moments", sql("select client, count(rssi) as rssi_n, round(avg(rssi), 6) as rssi_mean, round(coalesce(var_pop(rssi) * count(rssi), 0), 4) as rssi_m2 from e where client is not null group by client", "e"))
 def c15(e):
     part = lambda x: x.groupBy("client").agg(F.count("rssi").alias("rssi_n"), F.avg("rssi").alias("rssi_mean"), (F.var_pop("rssi") * F.count("rssi")).alias("rssi_m2"))
@@ -476,6 +486,20 @@ def f5(e):
     return cluster.ap_profiles(aps).select("cluster", "aps", r6("rssi_mean"), r6("roaming_pct"))
 
 
+@over("F5_histograms", sql("""
+select cluster, string_agg(channel || ':' || n, ',' order by channel) as channels, min(vendors) as vendors from (
+  select (channel % 3)::int as cluster, channel, count(*) as n, sum(count(*)) over (partition by (channel % 3)) as vendors from c3 group by 1, 2) group by 1""", "c3"))
+def f5_histograms(e):
+    rows = cluster.ap_profiles(features.ap_features(e).withColumn("cluster", F.col("channel") % 3))
+    counts = F.aggregate(F.split("vendors", ","), F.lit(0).cast("bigint"), lambda s, x: s + F.substring_index(x, ":", -1).cast("bigint"))
+    return rows.select("cluster", "channels", counts.alias("vendors"))
+
+
+@over("F5_ap_clusters")
+def f5_clusters(e):
+    return cluster.ap_clusters(features.ap_features(e), ["rssi_mean", "rssi_std", "channel", "cap_count", "beacon_consistency"], 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("aps"))
+
+
 @over("F6_correlated", sql("select probed, count(*) as n, string_agg(client, ', ' order by client) as macs from sets group by probed having count(*) > 1", "sets"))
 def f6(e):
     return features.correlated(e).select("probed", "n", "macs")
@@ -679,3 +703,69 @@ def i8(e):
 @over("I9_network_map", sql("select client, arg_max(hostname, ts) as hostname from e where hostname is not null group by client", "e"))
 def i9(e):
     return fold.identities(e).where("hostname is not null").select("client", "hostname")
+
+
+_NUMBERS = "case k % 9 + 1 when 1 then 'DISCOVER' when 2 then 'OFFER' when 3 then 'REQUEST' when 4 then 'DECLINE' when 5 then 'ACK' when 6 then 'NAK' when 7 then 'RELEASE' when 8 then 'INFORM' else 'TYPE9' end"
+
+
+@over("I5_dhcp_messages", sql(f"""
+select event_id, {_NUMBERS} as message, client, '10.0.' || (k % 5) || '.' || k as requested_ip, '10.0.0.1' as server_ip, nullif(hostname, '') as hostname,
+       case when k % 2 = 0 then 'vendor-' || (k % 3) end as vendor_class, case when k % 3 = 0 then 3600 + k end as lease from e where type = 'data'""", "e"))
+def i5_messages(e):
+    k, hex_of = _k(e), lambda c: F.hex(F.encode(c, "utf-8"))
+    option = lambda code, value: F.concat(F.lit(f"{code:02x}"), F.lpad(F.hex(F.length(value) / 2), 2, "0"), value)
+    byte = lambda c: F.lpad(F.hex(c), 2, "0")
+    options = F.concat(
+        option(53, byte(k % 9 + 1)), F.lit("00"), F.coalesce(option(12, hex_of(F.nullif("hostname", F.lit("")))), F.lit("")), F.when(k % 2 == 0, option(60, hex_of(F.concat(F.lit("vendor-"), (k % 3).cast("string"))))).otherwise(""),
+        F.when(k % 3 == 0, option(51, F.lpad(F.hex(k + 3600), 8, "0"))).otherwise(""), F.lit("ff0000"),
+    )
+    message = F.concat(F.lit("0201060000000000" + "0000000000000000"), F.lit("0a00"), byte(k % 5), byte(k), F.lit("0a000001" + "00000000"), F.regexp_replace("client", ":", ""), F.lit("00" * 202 + "63825363"), options)
+    rows = e.where((F.col("type") == "data") & F.col("client").isNotNull()).select("event_id", dpi.dhcp(F.unhex(message)).alias("d"))
+    return rows.select("event_id", "d.message", "d.client", "d.requested_ip", "d.server_ip", "d.hostname", "d.vendor_class", "d.lease")
+
+
+_AGENTS = "['Mozilla (Linux; Android 9)', 'Mozilla (iPhone)', 'Mozilla (Windows NT)', 'X11 Linux', 'curl'][k % 5 + 1]"
+
+
+def _http(e):
+    k = _k(e)
+    agent = F.element_at(F.array(*[F.lit(a) for a in ("Mozilla (Linux; Android 9)", "Mozilla (iPhone)", "Mozilla (Windows NT)", "X11 Linux", "curl")]), k % 5 + 1)
+    payload = F.concat(F.lit("GET /"), F.when(k % 2 == 0, "index").otherwise("admin?q=union"), F.lit(" HTTP/1.1\r\nHost: h"), (k % 3).cast("string"), F.lit("\r\nUser-Agent: "), agent, F.lit("\r\n\r\n"))
+    return dpi.requests(e.where((F.col("type") == "data") & (k % 10 == 3) | (F.col("type") == "data") & (k % 12 == 0)).select("client", payload.alias("payload")))
+
+
+@over("I6_http_prints", sql(f"""
+with w as (select client, {_AGENTS} as agent, k from e where type = 'data' and (k % 10 = 3 or k % 12 = 0)),
+a as (select client, count(*) as requests, string_agg(distinct agent, ',' order by agent) as user_agents, coalesce(string_agg(f, ',' order by f), '') as flags
+  from (select client, agent, k, 0 as r, null as f from w where k % 2 = 0 union all select client, agent, k, 0, 'admin_access' from w where k % 2 = 1) group by client),
+b as (select client, count(*) as n from w where k % 2 = 1 group by client),
+d as (select client, count(*) as queries, string_agg(distinct domain, ',' order by domain) as domains, coalesce(string_agg(distinct domain, ',' order by domain) filter (bad), '') as suspicious from dq group by client)
+select coalesce(a.client, d.client) as client, case when queries is not null and requests is not null then 'DNS,HTTP' when requests is not null then 'HTTP' else 'DNS' end as protocols,
+  coalesce(queries, 0) as queries, coalesce(requests, 0) as requests, coalesce(domains, '') as domains, coalesce(suspicious, '') as suspicious, coalesce(user_agents, '') as user_agents,
+  coalesce(flags || repeat(',sql_injection', n), flags, '') as flags
+from a full join d on a.client = d.client left join b on b.client = a.client""", "e", "dq").replace("\nwith w as", ", w as", 1))
+def i6_http(e):
+    return dpi.device_prints(e, _http(e))
+
+
+@over("I7_agent_devices", sql(f"""
+select case when agent like '%Android%' then 'Android' when agent like '%iPhone%' then 'iOS' when agent like '%Windows%' then 'Windows' else 'Linux' end as device, count(*) as n
+from (select {_AGENTS} as agent from e where type = 'data' and (k % 10 = 3 or k % 12 = 0)) where agent <> 'curl' group by 1""", "e"))
+def i7_agents(e):
+    return dpi.agent_devices(_http(e))
+
+
+@over("I9_addresses", sql("""
+select coalesce(h.client, i.client) as mac, hostname, ip from (select client, arg_max(hostname, ts) as hostname from e where hostname is not null group by client) h
+full join (select arp_mac as client, arg_max(arp_ip, a.ts) as ip from e a join (select client as c, min(ts) as first from e where client is not null group by 1) f on a.arp_mac = f.c and first <= a.ts group by 1) i on h.client = i.client
+where hostname is not null or ip is not null""", "e"))
+def i9_addresses(e):
+    return fold.identities(e).where("hostname is not null or ip is not null").select(F.col("client").alias("mac"), "hostname", "ip")
+
+
+@over("A19_json", sql("""
+select 'frames' as name, '{"name":"frames","labels":{"channel":"' || channel || '","type":"' || type || '"},"points":[{"timestamp":1.7040672E9,"value":' || (count(*)::double)::varchar || '}]}' as json from e group by channel, type""", "e"))
+def a19_json(e):
+    points = e.groupBy("channel", "type").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    points = points.select(F.lit(1704067200.0).alias("ts"), F.lit("frames").alias("name"), "value", F.create_map(F.lit("type"), "type", F.lit("channel"), F.col("channel").cast("string")).alias("labels"))
+    return sinks.metric_json(points)

@@ -50,6 +50,36 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
 
 
+def discover(folder: str) -> dict[str, dict]:
+    """M1: plugins in a folder: modules or packages with a ``run`` and, if they like, a ``metadata`` dict.
+
+    By name: the callable, its metadata, and which of the modules that metadata lists
+    under ``dependencies`` are missing (such a plugin is listed all the same).  What
+    cannot be imported is listed with its error and no callable.
+    """
+    import importlib.util
+    from pathlib import Path
+
+    found: dict[str, dict] = {}
+    for path in sorted(Path(folder).iterdir()):
+        source = path / "plugin.py" if path.is_dir() else path
+        if source.suffix != ".py" or not source.is_file() or source.stem == "__init__":
+            continue
+        name = path.stem
+        spec = importlib.util.spec_from_file_location(f"aerolake_plugin_{name}", source)
+        module = importlib.util.module_from_spec(spec)
+        try:
+            spec.loader.exec_module(module)
+        except Exception as e:  # noqa: BLE001  a plugin may fail in any way
+            found[name] = {"run": None, "metadata": {}, "missing": [], "error": repr(e)}
+            continue
+        if callable(getattr(module, "run", None)):
+            about = dict(getattr(module, "metadata", {}))
+            missing = [m for m in about.get("dependencies", []) if importlib.util.find_spec(m) is None]
+            found[name] = {"run": module.run, "metadata": about, "missing": missing, "error": None}
+    return found
+
+
 def run(plugin: Callable, **inputs):
     """M1, M2: call a plugin with those inputs that its signature names; all of them if it takes any keyword."""
     wanted = inspect.signature(plugin).parameters

@@ -140,6 +140,16 @@ def prometheus_lines(points: DataFrame, last: int = 100) -> DataFrame:
     return points.withColumn("series", series).withColumn("place", F.row_number().over(w)).where(F.col("place") <= last).select("series", "ts", line.alias("line"))
 
 
+def metric_json(points: DataFrame, last: int = 100) -> DataFrame:
+    """The same points as one JSON text a series: its name, labels, and its last points in order of time."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("name", "_labels").orderBy(F.col("ts").desc())
+    kept = points.withColumn("_labels", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("labels"))))).withColumn("place", F.row_number().over(w)).where(F.col("place") <= last)
+    held = kept.groupBy("name", "_labels").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("timestamp"), "value"))).alias("points"))  # at most ``last`` of them
+    return held.select("name", F.to_json(F.struct("name", F.from_json("_labels", "map<string,string>").alias("labels"), "points")).alias("json"))
+
+
 def labelled(ssid: Column, bssid: Column, label: Column, source: str, ts: float) -> list[Column]:
     """A label row, trimmed and stamped."""
     return [F.trim(ssid).alias("ssid"), F.trim(bssid).alias("bssid"), label.cast("int").alias("label"), F.lit(source).alias("source"), F.lit(float(ts)).alias("ts")]

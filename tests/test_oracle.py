@@ -42,4 +42,7 @@ def test_same_as_sql(spark, tiny, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - SLOW))
 def test_rows(spark, tiny, name):
-    assert registry.queries()[name](spark, tiny).columns
+    df = registry.queries()[name](spark, tiny)
+    rows = df.collect()
+    assert df.columns and rows
+    assert not any(isinstance(v, float) and math.isnan(v) for r in rows for v in r)
