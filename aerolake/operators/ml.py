@@ -86,13 +86,26 @@ class Calibrated(Transformer):
         return out.withColumn("probability", array_to_vector(F.array(1 - F.col("_p"), F.col("_p")))).withColumn("prediction", (F.col("_p") >= 0.5).cast("double")).drop("_raw", "_p")
 
 
+def out_of_fold(train: DataFrame, fit, folds: int = 3, key: str = "id", seed: int = SEED) -> DataFrame:
+    """Every row's prediction by a model that ``fit`` made from the other folds; folds follow from a hash of ``key``."""
+    fold = F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(folds))
+    parts = [fit(train.where(fold != k)).transform(train.where(fold == k)) for k in range(folds)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def train_pairs(frame: DataFrame, columns: list[str]) -> tuple[Calibrated, dict]:
-    """Balanced logistic regression on scaled pair features (label 0/1, id), calibrated; AUC and Brier score on held-out rows."""
+    """Balanced logistic regression on scaled pair features (label 0/1, id), calibrated; AUC and Brier score on held-out rows.
+
+    The calibration sees each training row under a model that did not learn from it.
+    """
     train, test = split(frame)
-    train = assembled(balanced(train), columns, "raw")
+    train = materialize(assembled(balanced(train), columns, "raw"), "pairs-to-train")
     steps = [StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=50)]
     model = Pipeline(stages=steps).fit(train)
-    p = model.transform(train).withColumn("_raw", vector_to_array("probability")[1])
+    p = out_of_fold(train, lambda rows: Pipeline(stages=steps).fit(rows)).withColumn("_raw", vector_to_array("probability")[1])
     calibrated = Calibrated(model, IsotonicRegression(featuresCol="_raw", labelCol="label", weightCol="weight").fit(p.drop("prediction", "rawPrediction", "probability", "features", "raw")))
     out = calibrated.transform(assembled(test, columns, "raw")).withColumn("p", vector_to_array("probability")[1])
     brier = out.agg(F.avg((F.col("p") - F.col("label")) ** 2)).first()[0]
@@ -144,6 +157,66 @@ def vote(frames: list[DataFrame], key: str = "id") -> DataFrame:
     return n.groupBy(key).agg(F.max_by("prediction", F.struct("n", -F.col("prediction"))).alias("prediction"))
 
 
+def soft_vote(frames: list[DataFrame], key: str = "id", weights: list[float] | None = None) -> DataFrame:
+    """The class of the largest mean probability; the smaller class wins ties.  frames: (key, probability array)."""
+    weights = weights or [1.0] * len(frames)
+    rows = None
+    for f, w in zip(frames, weights, strict=True):
+        one = f.select(key, F.posexplode("probability").alias("class", "p")).withColumn("p", F.col("p") * F.lit(float(w)))
+        rows = one if rows is None else rows.unionByName(one)
+    mean = rows.groupBy(key, "class").agg((F.sum("p") / F.lit(float(sum(weights)))).alias("p"))
+    return mean.groupBy(key).agg(F.max_by("class", F.struct("p", -F.col("class"))).cast("double").alias("prediction"), F.max("p").alias("confidence"))
+
+
+def ensemble(frame: DataFrame, columns: list[str], names: list[str] = ("random_forest", "logistic", "tree"), folds: int = 5) -> tuple[dict[str, float], dict]:
+    """Base models, their hard and soft votes, and a logistic regression stacked on their out-of-fold probabilities.
+
+    frame: label, id and numbers.  Returns held-out accuracies by name and the fitted models.
+    """
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    train, test = (materialize(assembled(x, columns).select("id", "label", "features"), "ensemble") for x in split(frame))
+    options = {"random_forest": RandomForestClassifier(numTrees=20, seed=SEED), "logistic": LogisticRegression(maxIter=20), "tree": DecisionTreeClassifier(seed=SEED)}
+    models = {n: options[n].fit(train) for n in names}
+    tested = {n: materialize(m.transform(test).select("id", "label", "prediction", vector_to_array("probability").alias("probability")), "ensemble-test") for n, m in models.items()}
+    right = lambda df: df.join(test.select("id", "label"), "id").agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0
+    scores = {n: right(t.select("id", "prediction")) for n, t in tested.items()}
+    scores["hard_vote"] = right(vote(list(tested.values())))
+    scores["soft_vote"] = right(soft_vote(list(tested.values())))
+
+    def beside(parts: dict[str, DataFrame], base: DataFrame) -> DataFrame:
+        out = base.select("id", "label")
+        for n, part in parts.items():
+            out = out.join(part.select("id", F.col("probability").alias(f"_{n}")), "id")
+        from pyspark.ml.functions import array_to_vector
+
+        return out.select("id", "label", array_to_vector(F.concat(*[f"_{n}" for n in parts])).alias("features"))
+
+    seen = {n: out_of_fold(train, options[n].fit, folds).select("id", vector_to_array("probability").alias("probability")) for n in names}
+    models["stacked"] = LogisticRegression(maxIter=20).fit(materialize(beside(seen, train), "ensemble-stack"))
+    scores["stacked"] = right(models["stacked"].transform(beside(tested, test)).select("id", "prediction"))
+    return scores, models
+
+
+def roc_auc(scored: DataFrame, score: str = "score", label: str = "label") -> float:
+    """The exact area under the ROC curve: chance that a positive row scores above a negative one, ties by half.
+
+    Rows are counted by score; positives below each score are summed over ranges of
+    scores, so no task orders all of them.
+    """
+    by = materialize(scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.sum(1 - F.col(label).cast("double")).alias("neg")), "by-score")
+    low, high, pos, neg = by.agg(F.min("s"), F.max("s"), F.sum("pos"), F.sum("neg")).first()
+    if not pos or not neg:
+        return 0.5
+    part = F.floor((F.col("s") - F.lit(low)) / F.lit(((high - low) / 1024) or 1.0)).cast("int")
+    by = by.withColumn("part", part)
+    totals = by.groupBy("part").agg(F.sum("neg").alias("n"))
+    totals = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("earlier"))  # a row a part
+    inside = F.coalesce(F.sum("neg").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    below = by.withColumn("inside", inside).join(F.broadcast(totals), "part")
+    return below.agg(F.sum(F.col("pos") * (F.col("inside") + F.col("earlier") + F.col("neg") / 2))).first()[0] / (pos * neg)
+
+
 def anomaly_scores(frame: DataFrame, columns: list[str], key: str = "id", share: float = 0.1) -> DataFrame:
     """Squared Mahalanobis distances; the ``share`` farthest rows are anomalies.
 

@@ -182,6 +182,41 @@ def j11(spark, sf_dir):
     return ml.vote([v.withColumn("prediction", (F.col("id") % k == 0).cast("double")) for k in (3, 2, 5)])
 
 
+@query("J10_roc_auc", """
+with r as (select (label % 2)::int as y, vec_id % 37 as s from embeddings), c as (select s, sum(y) as p, sum(1 - y) as n from r group by s)
+select round(sum(p * (below + n / 2.0)) / (sum(p) * sum(n)), 6) as auc from (select p, n, coalesce(sum(n) over (order by s rows between unbounded preceding and 1 preceding), 0) as below from c)""")
+def j10_auc(spark, sf_dir):
+    rows = _vectors(spark, sf_dir).select((F.col("label") % 2).alias("label"), (F.col("id") % 37).cast("double").alias("score"))
+    return spark.createDataFrame([(round(ml.roc_auc(rows), 6),)], "auc double")
+
+
+@query("J11_soft_vote", """
+with p as (select vec_id as id, c, (case when vec_id % 3 = c then 0.6 else 0.2 end + case when vec_id % 2 = c then 0.5 else 0.25 end) / 2 as p from embeddings, (select unnest([0, 1, 2]) as c))
+select id, arg_max(c, p * 10 - c / 1000.0)::double as prediction, round(max(p), 6) as confidence from p group by id""")
+def j11_soft(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select("id")
+    of = lambda k, high, low: v.withColumn("probability", F.array(*[F.when(F.col("id") % k == c, high).otherwise(low) for c in range(3)]))
+    return ml.soft_vote([of(3, 0.6, 0.2), of(2, 0.5, 0.25)]).select("id", "prediction", r6("confidence"))
+
+
+@query("J12_ensemble")
+def j12(spark, sf_dir):
+    rows = _vectors(spark, sf_dir).select("id", F.col("label").cast("double").alias("label"), *_coordinates())
+    scores, _ = ml.ensemble(rows, _XS)
+    return spark.createDataFrame([(k, float(v)) for k, v in scores.items()], "model string, accuracy double")
+
+
+@query("F10_spectral")
+def f10_spectral(spark, sf_dir):
+    rows = _vectors(spark, sf_dir).select("id", *_coordinates())
+    return cluster.spectral(rows, _XS, 5).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("F13_best_algorithm")
+def f13(spark, sf_dir):
+    return cluster.best_algorithm(_vectors(spark, sf_dir).select(*_coordinates()), _XS)
+
+
 @over("J2_retrain_gate")
 def j2(e):
     return e.sparkSession.createDataFrame([(ml.retrain(_pairs(e), _PAIR) is not None,)], "trained boolean")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
 from string import Template
+from xml.sax.saxutils import XMLGenerator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,37 +81,62 @@ def overlaid(base: dict, *layers: dict) -> dict:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, kind: str = "gexf") -> None:
-    """A property graph as GEXF 1.3 or GraphML; rows stream through the driver, one at a time."""
-    types = attribute_types(nodes)
-    tree = ET.Element("gexf", xmlns="http://gexf.net/1.3", version="1.3") if kind == "gexf" else ET.Element("graphml", xmlns="http://graphml.graphdrawing.org/xmlns")
-    if kind == "gexf":
-        graph = ET.SubElement(tree, "graph", defaultedgetype="undirected")
-        held = ET.SubElement(graph, "attributes", {"class": "node"})
-        for i, (name, t) in enumerate(types):
-            ET.SubElement(held, "attribute", id=str(i), title=name, type=t)
-        at, links = ET.SubElement(graph, "nodes"), ET.SubElement(graph, "edges")
-    else:
-        for i, (name, t) in enumerate(types):
-            ET.SubElement(tree, "key", {"id": str(i), "for": "node", "attr.name": name, "attr.type": {"integer": "int", "float": "double"}.get(t, t)})
-        ET.SubElement(tree, "key", {"id": "w", "for": "edge", "attr.name": "weight", "attr.type": "double"})
-        graph = ET.SubElement(tree, "graph", edgedefault="undirected")
-        at = links = graph
-    for row in nodes.toLocalIterator():
-        if kind == "gexf":
-            values = ET.SubElement(ET.SubElement(at, "node", id=str(row["id"]), label=str(row["id"])), "attvalues")
-            for i, (name, _) in enumerate(types):
-                if row[name] is not None:
-                    ET.SubElement(values, "attvalue", {"for": str(i), "value": str(row[name])})
+    """A property graph as GEXF 1.3 or GraphML.
+
+    Rows are fetched partition by partition and written as they come: no tree of the
+    whole graph is held.
+    """
+    types = list(enumerate(attribute_types(nodes)))
+    gexf = kind == "gexf"
+    with open(path, "w", encoding="utf-8") as file:
+        out = XMLGenerator(file, "utf-8", short_empty_elements=True)
+
+        def element(tag: str, attributes: dict, text: str = "") -> None:
+            out.startElement(tag, attributes)
+            out.characters(text)
+            out.endElement(tag)
+
+        out.startDocument()
+        if gexf:
+            out.startElement("gexf", {"xmlns": "http://gexf.net/1.3", "version": "1.3"})
+            out.startElement("graph", {"defaultedgetype": "undirected"})
+            out.startElement("attributes", {"class": "node"})
+            for i, (name, t) in types:
+                element("attribute", {"id": str(i), "title": name, "type": t})
+            out.endElement("attributes")
+            out.startElement("nodes", {})
         else:
-            node = ET.SubElement(at, "node", id=str(row["id"]))
-            for i, (name, _) in enumerate(types):
-                if row[name] is not None:
-                    ET.SubElement(node, "data", key=str(i)).text = str(row[name])
-    for i, row in enumerate(edges.toLocalIterator()):
-        edge = ET.SubElement(links, "edge", id=str(i), source=str(row["source"]), target=str(row["target"]), **({"weight": str(row["weight"])} if kind == "gexf" else {}))
-        if kind != "gexf":
-            ET.SubElement(edge, "data", key="w").text = str(row["weight"])
-    ET.ElementTree(tree).write(path, encoding="utf-8", xml_declaration=True)
+            out.startElement("graphml", {"xmlns": "http://graphml.graphdrawing.org/xmlns"})
+            for i, (name, t) in types:
+                element("key", {"id": str(i), "for": "node", "attr.name": name, "attr.type": {"integer": "int", "float": "double"}.get(t, t)})
+            element("key", {"id": "w", "for": "edge", "attr.name": "weight", "attr.type": "double"})
+            out.startElement("graph", {"edgedefault": "undirected"})
+        for row in nodes.toLocalIterator():
+            given = [(str(i), str(row[name])) for i, (name, _) in types if row[name] is not None]
+            out.startElement("node", {"id": str(row["id"])} | ({"label": str(row["id"])} if gexf else {}))
+            if gexf:
+                out.startElement("attvalues", {})
+                for i, value in given:
+                    element("attvalue", {"for": i, "value": value})
+                out.endElement("attvalues")
+            else:
+                for i, value in given:
+                    element("data", {"key": i}, value)
+            out.endElement("node")
+        if gexf:
+            out.endElement("nodes")
+            out.startElement("edges", {})
+        for i, row in enumerate(edges.toLocalIterator()):
+            ends = {"id": str(i), "source": str(row["source"]), "target": str(row["target"])}
+            out.startElement("edge", ends | ({"weight": str(row["weight"])} if gexf else {}))
+            if not gexf:
+                element("data", {"key": "w"}, str(row["weight"]))
+            out.endElement("edge")
+        if gexf:
+            out.endElement("edges")
+        out.endElement("graph")
+        out.endElement("gexf" if gexf else "graphml")
+        out.endDocument()
 
 
 def html_report(tables: dict[str, DataFrame], path: str, title: str = "Report", most: int = 200) -> None:

@@ -8,7 +8,7 @@ import pytest
 
 from aerolake import registry
 
-SLOW = {"F1_best_k", "J1_pair_classifier", "J4_J11_device_classifiers", "F10_algorithms"}
+SLOW = {"F1_best_k", "J1_pair_classifier", "J4_J11_device_classifiers", "F10_algorithms", "J12_ensemble"}
 
 
 def cell(v):

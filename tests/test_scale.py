@@ -120,3 +120,25 @@ def test_no_machine_folder_on_a_cluster():
     Context.getConf = lambda self: type("Conf", (), {"get": staticmethod(lambda *a: None)})()
     with pytest.raises(ValueError, match="checkpoint.dir"):
         runtime.shared_dir(Session())
+
+
+def test_ensemble_and_votes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(k), *(rng.normal(0, 1, 3) + 3 * np.eye(3)[k]).tolist()) for i, k in enumerate(rng.integers(0, 3, 300).tolist())]
+    scores, models = ml.ensemble(spark.createDataFrame(rows, "id long, label double, a double, b double, c double"), ["a", "b", "c"], folds=2)
+    assert set(scores) == {"random_forest", "logistic", "tree", "hard_vote", "soft_vote", "stacked"} and min(scores.values()) > 0.75 and "stacked" in models
+
+
+def test_auc_by_pairs(spark):
+    rng = np.random.default_rng(6)
+    s, y = np.round(rng.normal(0, 1, 200), 1), rng.integers(0, 2, 200)
+    want = np.mean([(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]])
+    df = spark.createDataFrame(list(zip(s.tolist(), y.tolist(), strict=True)), "score double, label int")
+    assert abs(ml.roc_auc(df) - want) < 1e-12 and ml.roc_auc(df.where("label = 1")) == 0.5
+
+
+def test_spectral_parts_two_rings(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, *(rng.normal(0, 0.1, 2) + (8 * (i % 2), 0)).tolist()) for i in range(80)]
+    got = {r.id: r.cluster for r in cluster.spectral(spark.createDataFrame(rows, "id long, a double, b double"), ["a", "b"], 2).collect()}
+    assert len(got) == 80 and len({got[i] for i in range(0, 80, 2)} & {got[i] for i in range(1, 80, 2)}) == 0
