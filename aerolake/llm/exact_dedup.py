@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ ROCKS = {
 }
 
 
-#: Rows of a group that one task compares with the group's best content, about.
-PART_ROWS = 256
+#: Rows of a group that one task compares with the group's best content, about; parts of a group at most, as each takes a copy of that content.
+PART_ROWS, PARTS = 256, 1024
 
 
 def normalised(text: Column) -> Column:
@@ -41,6 +42,15 @@ def sha256(content: Column) -> Column:
     return F.unhex(F.sha2(content.cast("binary"), 256))
 
 
+def locator(docs: DataFrame) -> Column:
+    """Where a row's content lies: file and row number of a table of files; of other frames the row's number."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018  analysed here
+        return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+
+
 def fold_stream(spark: SparkSession, arrivals: str, schema, checkpoint: str, out: str) -> DataFrame:
     """Fold the arrivals that ``checkpoint`` has not seen yet; groups of all arrivals so far.
 
@@ -82,7 +92,7 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
         F.char_length(text).alias("n"),
         F.col("doc_id").isNotNull().alias("named"),
         F.bitwise_not(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))).alias("later"),
-        F.bitwise_not(F.monotonically_increasing_id()).alias("locator"),
+        locator(docs).alias("locator"),
     )
     content = normalised(F.col("text"))
     path = fresh_path(spark, "arrivals")
@@ -92,7 +102,7 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     arrivals = spark.read.schema(rows.schema).parquet(path)
     groups = materialize(fold_stream(spark, path, arrivals.select("digest", "best").schema, fresh_path(spark, "dedup-state"), fresh_path(spark, "dedup-groups")), "groups") if not arrivals.isEmpty() else arrivals.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max("best").alias("best"))
     # A large group is dealt out in parts; each part gets the best content to compare with.
-    parts = F.ceil(F.col("group_size") / PART_ROWS).cast("int")
+    parts = F.least(F.lit(PARTS), F.ceil(F.col("group_size") / PART_ROWS)).cast("int")
     hits = groups.where("group_size > 1").select("digest", "best", parts.alias("parts"))
     if broadcastable(hits, 64):
         hits = F.broadcast(hits)

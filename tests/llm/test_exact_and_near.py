@@ -45,6 +45,19 @@ def test_exact_empty(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_from_files(spark, tmp_path):
+    """Rows of files are located by file and row; large groups in few parts; a constant digest changes nothing."""
+    rows = [*ROWS, *[(100 + i, "many copies") for i in range(700)], *[(900, "twice")] * 2]
+    frame(spark, rows).repartition(3).write.parquet(f"file://{tmp_path}/docs")
+    df = spark.read.parquet(f"file://{tmp_path}/docs")
+    places = df.select(exact_dedup.locator(df).alias("at")).collect()
+    assert len({(r["at"].file, r["at"].row) for r in places}) == len(rows) and len({r["at"].file for r in places}) == 3
+    for digest in (exact_dedup.sha256, lambda c: F.unhex(F.lit("00"))):
+        got = exact_dedup.exact_dedup(df, digest).collect()
+        assert sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], key=str) == expected(rows)
+        assert sum(r.kept for r in got) == len({r.text_sha256 for r in got})
+
+
 def test_state_goes_on(spark, tmp_path):
     """The same checkpoint later counts arrivals of both runs."""
     d = lambda n: f"file://{tmp_path}/{n}"
