@@ -67,18 +67,21 @@ class Chunks:
         self.sizes = np.append(self.sizes, sizes)
         self.stems = np.concatenate([self.stems, *stems])
 
-    def of(self, raw: bytes) -> tuple[int, np.ndarray]:
-        """Number of token ids, and the buckets that ``Grams.of`` gives."""
-        chunks, known = self.ids.chunks(raw), self.known
-        if missing := list({c for c in chunks if c not in known}):
-            if len(known) + len(missing) > self.most:
+    def of(self, raws: list[bytes]) -> list[tuple[int, np.ndarray]]:
+        """By text, the number of token ids and the buckets that ``Grams.of`` gives; what is new in them is worked out together."""
+        split = [self.ids.chunks(raw) for raw in raws]
+        if missing := set().union(*split) - self.known.keys():
+            if len(self.known) + len(missing) > self.most:
                 self._forget()
-                missing, known = list(set(chunks)), self.known
-            self._learn(missing)
-        at = np.array([known[c] for c in chunks], np.int64)
-        n = self.sizes[at]
-        place = np.arange(n.sum()) + np.repeat(self.starts[at] - np.cumsum(n) + n, n)
-        return int(self.tokens[at].sum()), self.grams.buckets_of(self.stems[place].astype(np.uint64))
+                missing = set().union(*split)
+            self._learn(list(missing))
+        known, found = self.known, []
+        for chunks in split:
+            at = np.array([known[c] for c in chunks], np.int64)
+            n = self.sizes[at]
+            place = np.arange(n.sum()) + np.repeat(self.starts[at] - np.cumsum(n) + n, n)
+            found.append((int(self.tokens[at].sum()), self.grams.buckets_of(self.stems[place].astype(np.uint64))))
+        return found
 
 
 class Classifier:
@@ -157,7 +160,7 @@ def memberships(docs: DataFrame, model: Classifier | None, decimals: int = DECIM
     def of_batches(batches):
         own, chunks = Classifier(ratios, fits) if fits else None, worker_cache(("chunks", path, KIND), lambda: Chunks(path))
         for batch in batches:
-            counted = [chunks.of(raw) for raw in utf8(batch.column(1))]
+            counted = chunks.of(utf8(batch.column(1)))
             p = own.posteriors([b for _, b in counted]) if own and counted else np.tile([1.0] + [0.0] * (len(DOMAINS) - 1), (len(counted), 1))
             whole = np.floor(p * unit).astype(int)
             whole[np.arange(len(p)), p.argmax(axis=1)] += unit - whole.sum(axis=1)

@@ -343,7 +343,7 @@ def test_mixing_counts_ids(spark, tokenizer):
     chunks, own = mixing.Chunks(public_tokenizers.path("word_bpe_49k.json"), most=50), Grams(*mixing.KIND)
     for _ in range(2):
         for _, t in rows:
-            n, buckets = chunks.of((t or "").encode())
+            n, buckets = chunks.of([(t or "").encode()])[0]
             assert buckets.tolist() == own.of((t or "").encode()).tolist()
             assert n == len(tokenizer.encode(t or "", add_special_tokens=False).ids)
 
