@@ -12,7 +12,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from aerolake.llm.common import small_batches, table, unit_hash, utf8, worker_cache
 from aerolake.llm.grams import Grams, grams
 from aerolake.llm.quality import gram_counts
-from aerolake.llm.tokens import VOCABULARY, WordIds
+from aerolake.llm.tokens import WordIds
 from aerolake.llm.toxicity import logistic
 from aerolake.runtime import broadcastable, materialize
 
@@ -150,17 +149,19 @@ def learn(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> Cla
 
 
 def memberships(docs: DataFrame, model: Classifier | None, decimals: int = DECIMALS, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, tokens, p array) of every row; tokens are the ids that packing counts, without end ids.
+    """(doc_id, tokens, p array) of every row; tokens are blank-separated words, or the vocabulary's ids if one is given.
 
     The posterior is rounded, so documents come in a bounded number of kinds.
     """
     ratios, fits = (model.ratios, model.fits) if model else (None, None)
-    unit, path = 10**decimals, vocabulary or public_tokenizers.path(VOCABULARY)
+    unit = 10**decimals
 
     def of_batches(batches):
-        own, chunks = Classifier(ratios, fits) if fits else None, worker_cache(("chunks", path, KIND), lambda: Chunks(path))
+        own = Classifier(ratios, fits) if fits else None
+        chunks = worker_cache(("chunks", vocabulary, KIND), lambda: Chunks(vocabulary)) if vocabulary else None
         for batch in batches:
-            counted = chunks.of(utf8(batch.column(1)))
+            raws = utf8(batch.column(1))
+            counted = chunks.of(raws) if chunks else [(len(raw.split()), grams(*KIND).of(raw)) for raw in raws]
             p = own.posteriors([b for _, b in counted]) if own and counted else np.tile([1.0] + [0.0] * (len(DOMAINS) - 1), (len(counted), 1))
             whole = np.floor(p * unit).astype(int)
             whole[np.arange(len(p)), p.argmax(axis=1)] += unit - whole.sum(axis=1)
@@ -215,11 +216,13 @@ def fit_rates(members: DataFrame, targets: list[float], most: float | None = Non
     return steps
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict | None = None, total: float | None = None, most: float | None = MOST, seed: int = SEED, learned_from: DataFrame | None = None) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict | None = None, total: float | None = None, most: float | None = MOST, seed: int = SEED, learned_from: DataFrame | None = None, vocabulary: str | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text, any others): doc_id, tokens, p_<domain>, rate, copies.
 
     targets: shares of the domains, summing to 1.  total: tokens of the mixture; by
     default so many that the largest share gets its present expected tokens.
+    vocabulary: path of a tokenizer whose ids are the tokens; without one blank-separated
+    words are (counting ids takes about as long again as all else).
     learned_from: the rows that labels name, if docs has other doc_ids.
     most: upper bound of a rate (1: no document twice; None: none).  copies: the rate rounded up
     or down at random by a hash of doc_id, so that its expectation is the rate.
@@ -230,7 +233,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict | None = None, total
     empty table gives an empty result.
     """
     shares = [(targets or TARGETS).get(name, 0.0) for name in DOMAINS]
-    rows = materialize(memberships(docs, learn(docs if learned_from is None else learned_from, labels)), "memberships")
+    rows = materialize(memberships(docs, learn(docs if learned_from is None else learned_from, labels), vocabulary=vocabulary), "memberships")
     present = [float(v or 0.0) for v in rows.agg(*[F.sum(F.col("tokens") * F.element_at("p", k + 1)) for k in range(len(DOMAINS))]).first()]
     shares = [s if v > 0 else 0.0 for s, v in zip(shares, present, strict=True)]
     if sum(shares) > 0:

@@ -338,7 +338,9 @@ def test_mixing_counts_ids(spark, tokenizer):
     from aerolake.llm.grams import Grams
 
     rows = [*ODD, (11, "Straße.Haus, foo*** a.b c... <b>x</b> foo*** again again again. " * 3)]
-    got = mixing.mixed(docs(spark, rows), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert sorted(r.tokens for r in mixing.mixed(docs(spark, rows), none).collect()) == sorted(len((t or "").encode().split()) for _, t in rows)
+    got = mixing.mixed(docs(spark, rows), none, vocabulary=public_tokenizers.path("word_bpe_49k.json")).collect()
     assert sorted(r.tokens for r in got) == sorted(len(tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
     chunks, own = mixing.Chunks(public_tokenizers.path("word_bpe_49k.json"), most=50), Grams(*mixing.KIND)
     for _ in range(2):
