@@ -6,6 +6,7 @@ all but the last return rows of documents.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,14 +81,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A mixture of the target weights, no document twice.
+    """A mixture of the target weights in the ids that packing counts, no document twice.
 
     Null and empty texts have no tokens and the posterior of an empty text.  Where a doc_id
     repeats or is missing, each row is drawn by itself.  Without labels all stay.  An
     empty table gives an empty one.
     """
     labels = table(spark, sf_dir, "labels")
-    return _by_row(docs, lambda d: mixing.mixed(d, labels, most=1.0, learned_from=docs).where("copies = 0").select("doc_id"))
+    return _by_row(docs, lambda d: mixing.mixed(d, labels, most=1.0, learned_from=docs, vocabulary=public_tokenizers.path(packing.VOCABULARY)).where("copies = 0").select("doc_id"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
