@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aerolake.llm import exact_dedup, html_text, images, mixing, packing, quality, simhash, tokens, toxicity, warc
+from aerolake.llm import exact_dedup, html_text, images, mixing, packing, quality, simhash, tokens, toxicity, vector_codes, warc
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op5_warc": warc.op5_warc,
         "op9_packing": packing.op9_packing,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator."""
-    return {"op5_warc": warc.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op5_warc": warc.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op12_vector_codes": vector_codes.ORACLE}
