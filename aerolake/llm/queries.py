@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aerolake.llm import exact_dedup, html_text, images, mixing, packing, quality, simhash, tokens, toxicity, vector_codes, warc
+from aerolake.llm import exact_dedup, html_text, images, mixing, packing, quality, simhash, spelling, tokens, toxicity, vector_codes, warc
 
 
 def queries() -> dict:
@@ -19,9 +19,10 @@ def queries() -> dict:
         "op9_packing": packing.op9_packing,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator."""
-    return {"op5_warc": warc.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op12_vector_codes": vector_codes.ORACLE}
+    return {"op5_warc": warc.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_spelling": spelling.ORACLE}
