@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aerolake.llm import exact_dedup, html_text, images, mixing, packing, quality, simhash, spelling, tokens, toxicity, vector_codes, warc
+from aerolake.llm import exact_dedup, html_text, images, lm_scores, mixing, packing, quality, simhash, spelling, tokens, toxicity, vector_codes, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op5_warc": warc.op5_warc,
         "op9_packing": packing.op9_packing,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_lm_scores": lm_scores.op11_lm_scores,
         "op12_vector_codes": vector_codes.op12_vector_codes,
         "op13_spelling": spelling.op13_spelling,
     }
