@@ -21,15 +21,16 @@ def protocol(transport: Column, port: Column) -> Column:
 
 
 def http_request(payload: Column) -> Column:
-    """Method, url, headers and what is suspicious; null where the first line is no request."""
+    """Method, url, headers and what is suspicious; null where the first line is no request.  Of repeated headers the last counts."""
     lines = F.split(payload, "\r?\n")
     first = F.split(F.trim(F.element_at(lines, 1)), " +")
-    pairs = F.filter(F.slice(lines, 2, 1000), lambda x: x.contains(":"))
-    headers = F.map_from_entries(F.array_distinct(F.transform(pairs, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + F.lit(1), F.length(x))).alias("v")))))
+    rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+    said = lambda name: F.try_element_at(F.filter(rest, lambda x: x.contains(":") & (F.lower(F.trim(F.substring_index(x, ":", 1))) == name)), F.lit(-1))
+    header = lambda name: F.trim(F.regexp_replace(said(name), "^[^:]*:", ""))
     url = F.lower(F.try_element_at(first, F.lit(2)))
-    agent = F.try_element_at(headers, F.lit("user-agent"))
+    agent = header("user-agent")
     flags = F.array_compact(F.array(F.when(url.contains("admin") | url.contains("login") | url.contains("config"), "admin_access"), F.when(url.contains("sql") | url.contains("union"), "sql_injection"), F.when(F.length(agent) > 200, "long_user_agent")))
-    return F.when((F.size(first) >= 3) & ~payload.startswith("HTTP/"), F.struct(F.element_at(first, 1).alias("method"), F.try_element_at(first, F.lit(2)).alias("url"), agent.alias("user_agent"), F.try_element_at(headers, F.lit("host")).alias("host"), flags.alias("flags")))
+    return F.when((F.size(first) >= 3) & ~payload.startswith("HTTP/"), F.struct(F.element_at(first, 1).alias("method"), F.try_element_at(first, F.lit(2)).alias("url"), agent.alias("user_agent"), header("host").alias("host"), flags.alias("flags")))
 
 
 def http_response(payload: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
@@ -43,30 +45,40 @@ def split(frame: DataFrame, label: str = "label", test: float = 0.25, key: str =
 
 
 def exact_quantiles(frame: DataFrame, column: str, shares: list[float], parts: int = 4096) -> list[float | None]:
-    """Interpolated quantiles of a column's values (nulls left out), found by counting.
+    """Interpolated quantiles of a column's values (nulls and NaN left out), found by counting.
 
     Each pass splits the range that holds the wanted rank into ``parts`` and counts its
-    rows, so no task holds or sorts all values.
+    rows, so no task holds or sorts all values.  Infinities are counted apart; between one
+    and another value the quantile is the infinity.
     """
-    values = frame.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    n, low_, high_ = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    values = frame.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    infinite = F.lit(float("inf"))
+    finite = values.where((F.col("v") < infinite) & (F.col("v") > -infinite))
+    n, under, over = values.agg(F.count("v"), F.count_if(F.col("v") == -infinite), F.count_if(F.col("v") == infinite)).first()
+    low_, high_ = finite.agg(F.min("v"), F.max("v")).first()
 
     def at(rank: int) -> float:
-        low, high, below = low_, high_, 0
+        if rank < under or rank >= n - over:
+            return float("-inf") if rank < under else float("inf")
+        low, high, below, narrow = low_, high_, under, True
         while low < high:
-            width = (high - low) / parts
-            part = F.least(F.lit(parts - 1), F.floor((F.col("v") - low) / width)).cast("int") if width > 0 and low + width > low else F.when(F.col("v") > low, 1).otherwise(0)
-            for r in values.where(F.col("v").between(low, high)).groupBy(part.alias("part")).agg(F.count("v").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("part").collect():
+            half = high / 2 - low / 2  # halves, as the whole range may be no number
+            part = F.least(F.lit(parts - 1), F.floor((F.col("v") / 2 - low / 2) / half * parts)).cast("int") if half > 0 and narrow else F.when(F.col("v") > low, 1).otherwise(0)
+            for r in finite.where(F.col("v").between(low, high)).groupBy(part.alias("part")).agg(F.count("v").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("part").collect():
                 if below + r.n > rank:
                     break
                 below += r.n
+            narrow = (low, high) != (r.a, r.b)
             low, high = r.a, r.b
         return low
 
     def quantile(q: float) -> float:
         first = at(int(q * (n - 1)))
         left = q * (n - 1) - int(q * (n - 1))
-        return first + left * (at(int(q * (n - 1)) + 1) - first) if left > 0 else first
+        if not left > 0 or math.isinf(first):
+            return first
+        second = at(int(q * (n - 1)) + 1)
+        return second if math.isinf(second) else first + left * (second - first)
 
     return [quantile(q) if n else None for q in shares]
 

@@ -662,7 +662,7 @@ from (select page_id, url || case when page_id % 5 = 0 then '/login' when page_i
 def i2(spark, sf_dir):
     url = F.concat("url", F.when(F.col("page_id") % 5 == 0, "/login").when(F.col("page_id") % 7 == 0, "?q=union").otherwise(""))
     agent = F.when(F.col("page_id") % 3 == 0, "User-Agent: curl/8\r\n").otherwise("")
-    payload = F.concat(F.lit("GET "), url, F.lit(" HTTP/1.1\r\nHost: "), F.regexp_extract("url", "//([^/]*)", 1), F.lit("\r\n"), agent, F.lit("\r\n"))
+    payload = F.concat(F.lit("GET "), url, F.lit(" HTTP/1.1\r\nAccept: text/html\r\nAccept: */*\r\nHost: other\r\nHost: "), F.regexp_extract("url", "//([^/]*)", 1), F.lit("\r\n"), agent, F.lit("\r\n"))
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", dpi.http_request(payload).alias("h")).select("page_id", "h.method", "h.url", "h.user_agent", "h.host", joined("h.flags", "flags"))
 
 

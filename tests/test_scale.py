@@ -55,6 +55,28 @@ def test_exact_quantiles(spark):
     assert ml.exact_quantiles(df.where("v = 5"), "v", [0.25]) == [5.0]
 
 
+def test_exact_quantiles_of_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    frame = lambda values: spark.createDataFrame([(v,) for v in values], "v double")
+    assert ml.exact_quantiles(frame([1.0, 2.0, 3.0, inf]), "v", [0, 0.5, 0.9, 1]) == [1.0, 2.5, inf, inf]
+    assert ml.exact_quantiles(frame([-inf, -inf, 4.0, nan, None, 6.0, inf]), "v", [0, 0.25, 0.3, 0.5, 0.75, 1]) == [-inf, -inf, -inf, 4.0, 6.0, inf]
+    assert ml.exact_quantiles(frame([inf, inf]), "v", [0.5]) == [inf]
+    assert ml.exact_quantiles(frame([nan, None]), "v", [0.5]) == [None]
+    wide = [-1.7e308, -1.0, 0.0, 5e-324, 1e-320, 1.0, 1.7e308]
+    assert ml.exact_quantiles(frame(wide), "v", [k / 6 for k in range(7)], parts=4) == wide
+    got = ml.imputed(frame([1.0, nan, None, inf, 3.0]), ["v"])
+    assert sorted(r.v for r in got.collect()) == [1.0, 3.0, 3.0, 3.0, inf]
+
+
+def test_http_request_with_repeated_headers(spark):
+    from aerolake.operators import dpi
+
+    many = "".join(f"X-{i}: {i}\r\n" for i in range(1500))
+    sent = ["GET /a HTTP/1.1\r\nAccept: x\r\nAccept: y\r\nHost: one\r\nhost : two:80\r\n\r\n", f"GET /b HTTP/1.1\r\n{many}Host: late\r\n", "GET /c HTTP/1.1", "nonsense", "", None]
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(sent)], "k int, p string").select("k", dpi.http_request(F.col("p")).alias("h")).orderBy("k").collect()
+    assert [r.h and (r.h.method, r.h.url, r.h.host, r.h.user_agent) for r in got] == [("GET", "/a", "two:80", None), ("GET", "/b", "late", None), ("GET", "/c", None, None), None, None, None]
+
+
 def test_split_by_hash(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(3000)] + [(9000, 7), (9001, 8), (9002, 8)], "id long, label int")
     train, test = ml.split(df)
