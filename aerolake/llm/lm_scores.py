@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +26,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolake.llm.common import small_batches, table, utf8, worker_cache
-from aerolake.runtime import materialize
+from aerolake.runtime import discard, materialize
 
 #: Bytes of the longest context (6 at most: a gram is packed into 64 bits).
-ORDER = 6
+ORDER = 5
 #: One document of so many, that of this remainder, is held out.
 FOLDS, HELD_OUT = 7, 2
 #: Words, and grams, that every task holds, at most; bytes of such a word; distinct words, and grams, that a counting task holds.
-COMMON_WORDS, COMMON_GRAMS, LONGEST, HELD, HELD_GRAMS = 1 << 17, 1 << 20, 64, 500_000, 4_000_000
+COMMON_WORDS, COMMON_GRAMS, LONGEST, HELD, HELD_GRAMS = 1 << 17, 1 << 20, 64, 250_000, 1_500_000
 #: The symbols: bytes but for white space, the blank behind a word, and the end of a text.
 SYMBOLS, BLANK, END = 252, 0x20, 0x0A
 #: Bytes that are worked on at once.
 WINDOW = 1 << 19
+COUNTED = "word string, c long, n long, tail int, grams binary, counts binary, uses binary"
 LINE = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, key string, n long"
 
 
@@ -78,44 +80,59 @@ def packed(texts: list[bytes], order: int = ORDER, window: int = WINDOW):
         yield text[kept], value[kept]
 
 
-def vocabulary(docs: DataFrame, order: int = ORDER, held: int = HELD, held_grams: int = HELD_GRAMS) -> DataFrame:
-    """(word, gram, n, uses) of all texts of (text, held_out): occurrences in training texts, and in all, of words and of grams.
+def tails(gram: np.ndarray) -> np.ndarray:
+    """The last two bytes of grams' contexts."""
+    return (gram >> 8) & 0xFFFF
 
-    Either word or gram is null.
+
+def corpus_counts(docs: DataFrame, order: int = ORDER, held: int = HELD, held_grams: int = HELD_GRAMS) -> DataFrame:
+    """What tasks count of all texts of (text, held_out): in training texts (c, counts), and in all (n, uses).
+
+    Rows of words, a row a word and task, and rows of grams, packed, a row a tail of contexts and
+    task; with tail -1 those of two bytes, the training texts' alone.  What a task holds is bounded.
     """
+    names = [x.split()[0] for x in COUNTED.split(", ")]
 
     def of_batches(batches):
-        counts, found, waiting = (Counter(), Counter()), ([], []), 0
+        words, found, waiting = (Counter(), Counter()), ([], []), 0
 
-        def words():
-            for k, own in enumerate(counts):
-                n = pa.array(np.fromiter(own.values(), np.int64, len(own)))
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in own], pa.string()), pa.nulls(len(own), pa.int64()), n if k == 0 else pa.array(np.zeros(len(own), np.int64)), n], names)
-                own.clear()
+        def of_words():
+            train, apart = words
+            n = [(w, c, c + apart.pop(w, 0)) for w, c in train.items()] + [(w, 0, c) for w, c in apart.items()]
+            train.clear()
+            apart.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _, _ in n], pa.string()), pa.array([c for _, c, _ in n], pa.int64()), pa.array([u for _, _, u in n], pa.int64()), pa.nulls(len(n), pa.int32()), *[pa.nulls(len(n), pa.binary())] * 3], names)
 
-        def merged():
-            total = 0
+        def merged() -> int:
             for parts in found:
                 if parts:
                     parts[:] = [counted(*(np.concatenate(c) for c in zip(*parts, strict=True)))]
-                    total += len(parts[0][0])
-            return total
-
-        def grams():
-            for k, parts in enumerate(found):
-                for gram, n in parts:
-                    for at in range(0, len(gram), 100_000):
-                        some = slice(at, at + 100_000)
-                        uses = pa.array(n[some])
-                        yield pa.RecordBatch.from_arrays([pa.nulls(len(uses), pa.string()), pa.array(gram[some]), uses if k == 0 else pa.array(np.zeros(len(uses), np.int64)), uses], names)
+            return sum(len(g) for parts in found for g, _ in parts)
+
+        def of_grams():
+            both = [parts[0] if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64)) for parts in found]
+            (train, c), (_, other) = both
+            gram, uses = counted(np.concatenate([g for g, _ in both]), np.concatenate((c, other)))
+            own = np.zeros(len(gram), np.int64)
+            own[np.searchsorted(gram, train)] = c
+            for parts in found:
                 parts.clear()
+            low = counted(shortened(train, 2), c)
+            order_ = np.argsort(tails(gram), kind="stable")
+            gram, own, uses = gram[order_], own[order_], uses[order_]
+            start = np.flatnonzero(np.diff(tails(gram), prepend=-1))
+            blocks = [(int(tails(gram[a : a + 1])[0]), gram[a:b], own[a:b], uses[a:b]) for a, b in pairwise([*start.tolist(), len(gram)])]
+            blocks.append((-1, *low, low[1]))
+            for at in range(0, len(blocks), 500):
+                some = blocks[at : at + 500]
+                packed_ = [pa.array([x[k].astype(kind).tobytes() for x in some], pa.binary()) for k, kind in ((1, "<i8"), (2, "<u4"), (3, "<u4"))]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.string()), *[pa.nulls(len(some), pa.int64())] * 2, pa.array([x[0] for x in some], pa.int32()), *packed_], names)
 
-        names = ["word", "gram", "n", "uses"]
         for batch in batches:
             texts: tuple[list, list] = ([], [])
             for raw, apart in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 tokens = raw.lower().split()
-                counts[apart].update(tokens)
+                words[apart].update(tokens)
                 texts[apart].append(coded(tokens))
             for k in (0, 1):
                 for _, gram in packed(texts[k], order):
@@ -123,20 +140,19 @@ def vocabulary(docs: DataFrame, order: int = ORDER, held: int = HELD, held_grams
                     start = np.flatnonzero(np.diff(gram, prepend=-1))
                     found[k].append((gram[start], np.diff(np.append(start, len(gram)))))
                     waiting += len(start)
-            if sum(map(len, counts)) > held:
-                yield from words()
+            if sum(map(len, words)) > held:
+                yield from of_words()
             if waiting > held_grams:
                 waiting = merged()
                 if waiting > held_grams // 2:
-                    yield from grams()
+                    yield from of_grams()
                     waiting = 0
-        yield from words()
+        yield from of_words()
         merged()
-        yield from grams()
+        yield from of_grams()
 
     small_batches(docs.sparkSession, 200)
-    rows = docs.select("text", "held_out").mapInArrow(of_batches, "word string, gram long, n long, uses long")
-    return rows.groupBy("word", "gram").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
+    return materialize(docs.select("text", "held_out").mapInArrow(of_batches, COUNTED), "corpus-counts")
 
 
 def of_size(size: int) -> int:
@@ -220,38 +236,48 @@ def log_probabilities(gram: np.ndarray, held: list[Level]) -> np.ndarray:
     return lp
 
 
+def unpacked(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Gram, count and uses of packed rows (grams, counts, uses), each gram once; None of no rows."""
+    parts = [[np.frombuffer(v.as_py(), kind).astype(np.int64) for v in batch.column(k)] for batch in batches for k, kind in ((0, "<i8"), (1, "<u4"), (2, "<u4"))]
+    gram, n, uses = (np.concatenate([x for p in parts[k::3] for x in p] or [np.zeros(0, np.int64)]) for k in range(3))
+    if not len(gram):
+        return None
+    distinct, n = counted(gram, n)
+    return distinct, n, counted(gram, uses)[1]
+
+
 def scored_grams(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, lp, uses): each gram's log10 probability under the trie of them all.
+    """(gram, lp, uses): each gram's log10 probability under the trie of them all, from the tasks' counts.
 
-    All contexts of a symbol that are longer than a byte end in the same two bytes: grams are
-    dealt by these, and a task has all longer contexts of its grams.  The shorter ones, of
-    which there are 252 and 252 squared at most, go to every task.
+    All contexts of a symbol that are longer than a byte end in the same two bytes, their tail: grams
+    are dealt by it, and a task sums them and has all longer contexts of its grams.  The shorter
+    ones, of which there are 252 and 252 squared at most, go to every task.
     """
-    low = []
-    for size in (1, 2):
-        short = F.col("gram").bitwiseAND(F.lit(of_size(size) - 1)).bitwiseOR(F.lit(of_size(size)))
-        rows = counts.where("n > 0").groupBy(short.alias("g")).agg(F.sum("n").alias("n")).orderBy("g").toArrow()
-        low.append((rows["g"].to_numpy(), rows["n"].to_numpy()))
-    shared = counts.sparkSession.sparkContext.broadcast(low)
+    names = ["gram", "lp", "uses"]
+
+    def of_low(batches):
+        if found := unpacked(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["gram", "n"])
+
+    rows = counts.where("tail = -1").select("grams", "counts", "uses").mapInArrow(of_low, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
+    gram, n = rows["gram"].to_numpy(), rows["n"].to_numpy()
+    shared = counts.sparkSession.sparkContext.broadcast([counted(shortened(gram, 1), n), (gram, n)])
 
     def of_batches(batches):
-        parts = [[np.asarray(c, np.int64) for c in batch.columns] for batch in batches if batch.num_rows]
-        if parts:
-            gram, n, uses = (np.concatenate(c) for c in zip(*parts, strict=True))
+        if found := unpacked(batches):
+            gram, n, uses = found
             lp = log_probabilities(gram, levels(gram, n, shared.value, order))
             for at in range(0, len(gram), 100_000):
                 some = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(gram[some]), pa.array(lp[some]), pa.array(uses[some])], ["gram", "lp", "uses"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[some]), pa.array(lp[some]), pa.array(uses[some])], names)
 
-    small_batches(counts.sparkSession, 50_000)
-    dealt = counts.repartition(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)))
-    return dealt.select("gram", "n", "uses").mapInArrow(of_batches, "gram long, lp double, uses long")
+    return counts.where("tail >= 0").select("tail", "grams", "counts", "uses").repartition("tail").select("grams", "counts", "uses").mapInArrow(of_batches, "gram long, lp double, uses long")
 
 
-def commonest(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """Rows with the largest numbers in ``by``: all from a power of two on, so that there are ``most`` of them at the most."""
+def least_common(rows: DataFrame, by: str, most: int) -> int:
+    """The least power of two that at most ``most`` rows reach in ``by``."""
     counts = rows.agg(*[F.sum((F.col(by) >= F.lit(1 << j)).cast("long")).alias(str(j)) for j in range(48)]).first()
-    return rows.where(F.col(by) >= next((1 << j for j in range(48) if (counts[j] or 0) <= most), 1 << 48))
+    return next((1 << j for j in range(48) if (counts[j] or 0) <= most), 1 << 48)
 
 
 class Table:
@@ -287,15 +313,20 @@ def lm_scores(docs: DataFrame, order: int = ORDER, common_words: int = COMMON_WO
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    counts = materialize(vocabulary(rows, order), "vocabulary")
-    words = counts.where("word is not null").select("word", F.col("n").alias("c"), "uses")
+    counts = corpus_counts(rows, order)
+    words = materialize(counts.where("word is not null").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("uses")), "vocabulary")
     trained = rows.where("not held_out").count()
     total, kinds = (v or 0 for v in words.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first())
     total, kinds = total + trained, kinds + (trained > 0)
-    grams = materialize(scored_grams(counts.where("gram is not null").select("gram", "n", "uses"), order), "scored-grams")
-    table_ = commonest(grams, "uses", common_grams).orderBy("gram").toArrow()  # so many numbers at most
-    list_ = commonest(words.where(F.octet_length("word") <= LONGEST), "uses", common_words).toArrow()  # so many short words at most
+    grams = materialize(scored_grams(counts, order), "scored-grams")
+    discard(counts)
+    common = F.col("uses") >= least_common(grams, "uses", common_grams)
+    short = F.octet_length("word") <= LONGEST
+    known_ = short & (F.col("uses") >= least_common(words.where(short), "uses", common_words))
+    table_ = grams.where(common).orderBy("gram").toArrow()  # so many numbers at most
+    list_ = words.where(known_).toArrow()  # so many short words at most
     shared = spark.sparkContext.broadcast((list_["word"].to_pylist(), list_["c"].to_numpy(), table_["gram"].to_numpy(), table_["lp"].to_numpy()))
+    words, grams = words.where(~known_), grams.where(~common)
     name = uuid.uuid4().hex
 
     def of_batches(batches):

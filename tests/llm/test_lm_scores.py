@@ -103,6 +103,18 @@ def test_probabilities_sum_to_one(spark):
         assert (10 ** lm_scores.log_probabilities(lead | symbols, held)).sum() == pytest.approx(1)
 
 
+def test_bounded_counting(spark):
+    """Counts are the same however often a task sends on what it holds."""
+    docs = spark.createDataFrame([(t, i % 3 == 0) for i, t in made(9, 40)], "text string, held_out boolean").coalesce(1)
+
+    def sums(held, grams):
+        rows = lm_scores.corpus_counts(docs, 4, held, grams)
+        words = {(r.word, r.c, r.n) for r in rows.where("word is not null").groupBy("word").agg({"c": "sum", "n": "sum"}).toDF("word", "c", "n").collect()}
+        return words, {tuple(r) for r in lm_scores.scored_grams(rows, 4).collect()}
+
+    assert sums(10**6, 10**6) == sums(5, 50)
+
+
 def test_table():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 55, 5000))
@@ -117,12 +129,12 @@ def test_odd_rows(spark):
     frame = lambda docs: spark.createDataFrame([(*d, 1, "x") for d in docs], schema)
     assert lm_scores.lm_scores(frame([])).count() == 0
     docs = [(None, None), (1, ""), (1, "  "), (2, "a" * 5000 + " b"), (3, "same text"), (3, "same text"), (None, "tränen 漢字  x"), (4, "word " * 3000)]
-    same(lm_scores.lm_scores(frame(docs)).collect(), plain(docs, 6))
+    same(lm_scores.lm_scores(frame(docs)).collect(), plain(docs, lm_scores.ORDER))
     apart = [d for d in range(60) if folds(d)][:2]
-    same(lm_scores.lm_scores(frame([(d, "only held out") for d in apart])).collect(), plain([(d, "only held out") for d in apart], 6))
+    same(lm_scores.lm_scores(frame([(d, "only held out") for d in apart])).collect(), plain([(d, "only held out") for d in apart], lm_scores.ORDER))
 
 
 def test_query(spark, tiny):
     rows = queries.queries()["op11_lm_scores"](spark, tiny).collect()
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
-    same(rows, plain(docs, 6))
+    same(rows, plain(docs, lm_scores.ORDER))
