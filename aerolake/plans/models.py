@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerolake.operators import cluster, features, inference, ml
+from aerolake.operators import anomaly, cluster, features, inference, ml
 from aerolake.plans.oracle import sql
 from aerolake.plans.wifi import over, r6
 from aerolake.registry import query
+from aerolake.runtime import materialize
 
 _BEHAVIOUR = ["packet_interval_mean", "packet_interval_std", "data_to_mgmt_ratio", "rssi_std", "power_save_rate", "avg_snr", "avg_mcs_rate", "avg_session_duration"]
 
@@ -129,6 +130,44 @@ def j5(e):
     return ml.anomaly_scores(rows, _BEHAVIOUR, "client").select("client", r6("distance"), "anomaly")
 
 
+def _behaviour(e):
+    return anomaly.vectors(materialize(features.client_behaviour(e), "behaviour"), _BEHAVIOUR, "client", scale=True)
+
+
+@over("J5_isolation_forest")
+def j5_forest(e):
+    return anomaly.isolation_forest(_behaviour(e), "client").select("client", r6("score"), "anomaly")
+
+
+@query("J5_local_outlier_factor", """
+with v as (select vec_id as id, embedding::double[] as x from embeddings),
+d as (select a.id, b.id as other, list_distance(a.x, b.x) as d from v a join v b on a.id <> b.id),
+near as (select * from d qualify row_number() over (partition by id order by d, other) <= 20),
+far as (select id, max(d) as kd from near group by id),
+dense as (select near.id, 1 / (avg(greatest(d, kd)) + 1e-10) as density from near join far on near.other = far.id group by near.id),
+f as (select near.id, avg(o.density) / any_value(m.density) as score from near join dense o on near.other = o.id join dense m on near.id = m.id group by near.id)
+select id, round(score, 6) as score, score > (select quantile_cont(score, 0.9) from f) as anomaly from f""")
+def j5_factor(spark, sf_dir):
+    return anomaly.local_outlier_factor(_vectors(spark, sf_dir)).select("id", r6("score"), "anomaly")
+
+
+@over("J5_elliptic_envelope")
+def j5_envelope(e):
+    return anomaly.elliptic_envelope(_behaviour(e), "client").select("client", r6("score"), "anomaly")
+
+
+@over("J5_one_class_svm")
+def j5_svm(e):
+    return anomaly.one_class_svm(_behaviour(e), "client").select("client", r6("score"), "anomaly")
+
+
+@over("J5_detectors")
+def j5_detectors(e):
+    rows = _behaviour(e).select(F.xxhash64("client").alias("id"), "x")
+    out = anomaly.compared(rows)
+    return out.select("detector", "anomaly_count", *[r6(c) for c in ("anomaly_rate", "mean_score", "std_score")], "best")
+
+
 @over("J6_regressors")
 def j6(e):
     rows = features.client_behaviour(e).withColumnRenamed("client", "id").withColumn("label", F.col("avg_snr"))
