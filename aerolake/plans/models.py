@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerolake.operators import anomaly, cluster, features, inference, ml
+from aerolake.operators import anomaly, cluster, density, features, inference, ml
 from aerolake.plans.oracle import sql
 from aerolake.plans.wifi import over, r6
 from aerolake.registry import query
@@ -251,6 +251,22 @@ def f10_spectral(spark, sf_dir):
     return cluster.spectral(rows, _XS, 5).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("F10_hdbscan")
+def f10_hdbscan(spark, sf_dir):
+    return density.hdbscan(_vectors(spark, sf_dir), 5)
+
+
+@query("F10_optics", f"""
+with recursive v as ({_V}), d as (select a.id, b.id as other, list_distance(a.x, b.x) as d from v a, v b),
+core as (select id, max(d) as core from (select * from d qualify row_number() over (partition by id order by d) <= 5) group by id having max(d) <= 1.17),
+near as (select d.id, d.other from d join core a on d.id = a.id join core b on d.other = b.id where d <= 1.17),
+walk as (select id, id as r from core union select walk.id, near.other from walk join near on walk.r = near.id),
+comp as (select id, min(r) as cluster from walk group by id)
+select v.id, coalesce(comp.cluster, -1)::bigint as cluster from v left join comp on v.id = comp.id""")
+def f10_optics(spark, sf_dir):
+    return density.optics(_vectors(spark, sf_dir), 1.17, 5)
+
+
 @query("F13_best_algorithm")
 def f13(spark, sf_dir):
     return cluster.best_algorithm(_vectors(spark, sf_dir).select(*_coordinates()), _XS)
