@@ -6,8 +6,10 @@ an equivalence class; classes whose tokens keep one order on every page, and tha
 nest in one gap of a larger class, make up the template.  Containers of one name
 in one parent are told apart by their rank.  What the template does not fix are
 slots; the article is the container of the template whose own slot is filled with
-most running text (links aside) on most pages, and the main text is what fills the slots
-within it.  Text blocks made of template words alone are the site's own and go.
+most running text (links aside) on most pages, widened to the largest container around it
+that holds no text of the site's own and no links alone beside it (or to the article
+element it lies in), and the main text is what fills all slots within it, whatever
+their size.  Text blocks made of template words alone are the site's own and go.
 Element and class names only part off what is no article by its name, narrow the
 container to an article element within it, and stand in where no template is
 found (a host's only page).
@@ -31,7 +33,7 @@ from aerolake.runtime import broadcastable
 BATCH_PAGES, BATCH_BYTES = 256, 16 << 20
 #: Share of a batch's distinct pages that hold a template token; tokens of a class; pages from which words alone, without whole blocks, are evidence.
 SUPPORT, CLASS_SIZE, EVIDENCE = 0.9, 3, 8
-#: A further container is of the article if its slot holds this share of the richest one's words.
+#: A further container, outside the widened one, is of the article if its slot holds this share of the richest one's words.
 ALSO = 0.4
 
 # Fixed values of HTML and of common usage.
@@ -72,7 +74,7 @@ _ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset",
 class _Tag:
     """A parsed tag: name, whether it closes, its label in paths and what its names say."""
 
-    __slots__ = ("name", "closing", "label", "named", "readers", "sure", "sure_readers", "hidden", "empty")
+    __slots__ = ("name", "closing", "label", "named", "readers", "sure", "sure_readers", "hidden", "empty", "wide")
 
     def __init__(self, raw: str):
         found = re.match(r"<(/?)\s*([a-zA-Z][^\s/>]*)", raw)
@@ -86,6 +88,7 @@ class _Tag:
         role = said.get("role", "").lower() in ROLES
         self.sure, self.sure_readers = bool(own & SURE) or role, bool(own & SURE_READERS)
         self.named, self.readers = bool(parts & NAMED) or role, bool(parts & READERS)
+        self.wide = self.name in CONTAINERS and bool(parts - NAMED) and not role  # may be named after what it holds beside the article
         if self.name in HEADINGS:
             self.named, self.readers = self.sure, self.sure_readers
         self.hidden = "hidden" in said or re.search(r"display\s*:\s*none", said.get("style", ""), re.I) is not None
@@ -103,14 +106,15 @@ class _Page:
         self.texts: list[list] = []  # [roles before it, path, text, kept, in article, in main, container, in a link, in a first heading]; text None parts blocks
         self.title, self.region = "", [False, False]
         stack: list[tuple] = []  # name, path, hard, soft, in article, in main, container, in a link, in a first heading
-        path, hard, soft, article, main, place, link, head = "", False, False, False, False, "", False, False
+        path, hard, soft, article, main, place, link, head = "", False, (), False, False, "", False, False
+        wide: list[bool] = []  # of the elements that their names part off
         ranks: Counter = Counter()
         at, end = 0, len(source)
         while at < end:
             m = _TOKEN.match(source, at)
             raw, at = m[0], m.end()
             if raw[0] != "<" or raw == "<":
-                self.texts.append([len(self.roles), path, raw, not (hard or soft), article, main, place, link, head])
+                self.texts.append([len(self.roles), path, raw, (hard, soft), article, main, place, link, head])
                 continue
             if raw[1] in "!?" or raw[-1] != ">":  # comments, declarations, a tag that the end cuts off
                 continue
@@ -121,9 +125,9 @@ class _Page:
                 tag = tags[raw] = _Tag(raw)
             name = tag.name
             if name == "br":  # white space within a block
-                self.texts.append([len(self.roles), path, "\n", not (hard or soft), article, main, place, link, head])
+                self.texts.append([len(self.roles), path, "\n", (hard, soft), article, main, place, link, head])
             elif name not in INLINE:
-                self.texts.append([len(self.roles), path, None, False, article, main, place, link, head])
+                self.texts.append([len(self.roles), path, None, (True, ()), article, main, place, link, head])
             if m["raw"] and not tag.closing and not tag.empty and name != "textarea":
                 close = re.compile(rf"</{name}\s*>|\Z", re.I).search(source, at)
                 inside, at = source[at : close.start()], close.end()
@@ -168,13 +172,30 @@ class _Page:
                 if tag.readers if article else tag.sure_readers:  # an article within one is a reader's if it may be
                     hard = True
                 elif not hard:
-                    soft = False  # wrappers may be named after what stands beside the article
+                    soft = ()  # wrappers may be named after what stands beside the article
                     article, main = article or name == "article", main or name == "main"
                     self.region[name == "main"] = True
             elif name in CHROME or name in RAW or tag.hidden or readers or (name == "header" and not inside):
                 hard = True
             elif named and name not in ("html", "body"):
-                soft = True
+                soft += (len(wide),)
+                wide.append(tag.wide)
+        self._settle(wide)
+
+    def _settle(self, wide: list[bool]) -> None:
+        """Decide what is kept: a name does not part off the element that holds most of the page's running text, if it may be named after a part."""
+        words, total = Counter(), 0
+        for entry in self.texts:
+            (hard, soft), text, link = entry[3], entry[2], entry[7]
+            if text and not hard and not link:
+                n = len(text.split())
+                total += n
+                for k in soft:
+                    words[k] += n
+        lifted = {k for k, n in words.items() if wide[k] and 2 * n > total}
+        for entry in self.texts:
+            hard, soft = entry[3]
+            entry[3] = not hard and all(k in lifted for k in soft)
 
 
 _END = [0, "", None, False, False, False, "", False, False]
@@ -264,35 +285,67 @@ def _within(place: str, container: str) -> bool:
     return place.startswith(container) and place[len(container) : len(container) + 1] in ("", "|")
 
 
+def _widened(place: str, beside: Counter, pages: int) -> str:
+    """The article or main element that a container lies in, else the largest around it, below the outermost, with nothing of the site's beside."""
+    labels = place.split("|")
+    for name in ("article", "main"):
+        for k, label in enumerate(labels):
+            if label.split("#")[0].split(".")[0] == name:
+                return "|".join(labels[: k + 1])
+    while len(labels) > 3 and 2 * beside["|".join(labels[:-1]), labels[-1]] <= pages:
+        labels.pop()
+    return "|".join(labels)
+
+
 def _article(pages: list[_Page], root: set[str], known: Template) -> tuple[str, ...]:
-    """The root class's containers whose own slots hold the running text: the one richest on most pages, and others nearly as rich."""
+    """The root class's containers whose own slots hold the running text: the one richest on most pages, others nearly as rich and others of its kind, widened."""
     total: Counter = Counter()
     best: Counter = Counter()
     home: dict[str, str] = {}
+    foreign: list[set[str]] = []  # by page, the places of the site's own text and of links alone
     for page in pages:
         here: Counter = Counter()
         block: list[tuple[str, str]] = []
+        at, linked, apart = "", False, set()
         for entry in [*page.texts, _END]:
             if entry[2] is not None:
                 if entry[3] and not entry[7]:
                     block.append((entry[1], entry[2]))
                     at = entry[6]
+                elif entry[3] and entry[2].strip():
+                    linked, at = True, entry[6]
                 continue
-            if block and (n := sum(len(text.split()) for _, text in block)) and not known.own(block):
+            n = sum(len(text.split()) for _, text in block)
+            if n and not known.own(block):
                 if at not in home:
                     up = at
                     while up and up not in root:
                         up = up.rpartition("|")[0]
                     home[at] = up
                 here[home[at]] += n
-            block = []
+            elif n or linked:
+                apart.add(at)
+            block, linked = [], False
+        foreign.append(apart)
         if here:
             total.update(here)
             best[max(here, key=lambda k: (here[k], k))] += 1
     if not best:
         return ()
     first = max(best, key=lambda k: (best[k], total[k], k))
-    return tuple(sorted(k for k in total if k and total[k] >= ALSO * total[first])) if first else ()
+    if not first:
+        return ()
+    parent, _, label = first.rpartition("|")
+    kind = label.split("#")[0]
+    alike = {k for k in total if kind not in CONTAINERS - {"section"} and k.rpartition("|")[0] == parent and k.rpartition("|")[2].split("#")[0] == kind}
+    chosen = {k for k in total if k and total[k] >= ALSO * total[first]} | alike
+    beside: Counter = Counter()  # pages that hold something of the site's in a container, but not in that child of it
+    around = {"|".join(k.split("|")[: n + 1]) for k in chosen for n in range(2, k.count("|") + 1)}
+    for apart in foreign:
+        for inner in around:
+            outer, _, child = inner.rpartition("|")
+            beside[outer, child] += any(_within(p, outer) and not _within(p, inner) for p in apart)
+    return tuple(sorted({_widened(k, beside, len(pages)) for k in chosen}))
 
 
 def template(pages: list[_Page]) -> Template:

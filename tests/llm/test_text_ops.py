@@ -138,6 +138,44 @@ def test_article_of_two_containers_and_a_heading_beside_it():
     assert html_text.extract(some) == [f"Title {i} {words(i, 0)} {words(i, 1)} {words(i, 2)[: 80 + i]}".strip() for i in range(4)]
 
 
+def prose(i, k, n):
+    return " ".join(f"w{i}x{k}x{j}" for j in range(n))
+
+
+OUTER = "<html><body><div class='top'><a href='/'>Home</a> <a href='/b'>Blog</a></div>{}<div class='end'>About us all</div></body></html>"
+
+
+@pytest.mark.parametrize("pages_", [4, 20])
+@pytest.mark.parametrize(
+    "inside",
+    [
+        "<article><div class='lead'><p>{a}</p></div><div class='text'><p>{c}</p></div></article>",
+        "<div class='content'><div class='lead'><p>{a}</p></div><div class='text'><p>{c}</p></div></div>",
+        "<div class='post'><section><p>{a}</p></section><section><p>{b}</p></section><section><p>{c}</p></section></div>",
+        "<section><p>{a}</p></section><section><p>{b}</p></section><section><p>{c}</p></section>",
+        "<div class='outer'><div class='inner'><div><p>{a}</p></div><div><div><p>{b}</p></div><p>{c}</p></div></div></div>",
+    ],
+)
+def test_no_part_of_the_article_is_lost_for_its_size(inside, pages_):
+    bodies = [{"a": prose(i, "a", 25), "b": prose(i, "b", 60), "c": prose(i, "c", 300 + i)} for i in range(pages_)]
+    some = [OUTER.format(inside.format(**b)) for b in bodies]
+    assert html_text.extract(some) == [" ".join(b[k] for k in "abc" if "{" + k + "}" in inside) for b in bodies]
+
+
+@pytest.mark.parametrize("name", ["share-layout", "page search", "notice-board", "has-header", "with-sidebar"])
+@pytest.mark.parametrize("element", ["div", "section"])
+def test_names_of_wrappers_do_not_empty_a_page(name, element):
+    bodies = [f"{prose(i, 'a', 30)} {prose(i, 'b', 150 + i)}" for i in range(12)]
+    some = [f"<body><{element} class='{name}'><div class='sidebar'>Newest {prose(i, 's', 12)}</div><div class='x'><p>{b}</p></div></{element}><div class='cookie-notice'>We use {prose(i, 'k', 9)}</div></body>" for i, b in enumerate(bodies)]
+    assert html_text.extract(some) == bodies
+
+
+def test_long_named_comments_go():
+    bodies = [prose(i, "a", 60) for i in range(10)]
+    some = [OUTER.format(f"<div class='post'><p>{b}</p></div><div class='comments'>" + "".join(f"<div class='c'><p>{prose(i, f'k{k}', 40)}</p></div>" for k in range(5 + i % 3)) + "</div>") for i, b in enumerate(bodies)]
+    assert html_text.extract(some) == bodies
+
+
 def test_long_and_repeated_pages(spark):
     long = PAGE.format(t="Long", n="n", b="word " * 400_000)
     short = [(i, "http://h/", PAGE.format(t=f"T{i}", n=f"n{i}", b=f"b{i} " * 9)) for i in range(3)]
