@@ -181,7 +181,7 @@ def soft_vote(frames: list[DataFrame], key: str = "id", weights: list[float] | N
 
 
 def ensemble(frame: DataFrame, columns: list[str], names: list[str] = ("random_forest", "logistic", "tree"), folds: int = 5) -> tuple[dict[str, float], dict]:
-    """Base models, their hard and soft votes, and a logistic regression stacked on their out-of-fold probabilities.
+    """Base models, AdaBoost and bagging, hard and soft votes, and a logistic regression stacked on their out-of-fold probabilities.
 
     frame: label, id and numbers.  Returns held-out accuracies by name and the fitted models.
     """
@@ -193,6 +193,11 @@ def ensemble(frame: DataFrame, columns: list[str], names: list[str] = ("random_f
     tested = {n: materialize(m.transform(test).select("id", "label", "prediction", vector_to_array("probability").alias("probability")), "ensemble-test") for n, m in models.items()}
     right = lambda df: df.join(test.select("id", "label"), "id").agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0
     scores = {n: right(t.select("id", "prediction")) for n, t in tested.items()}
+    classes = int(frame.agg(F.max("label")).first()[0]) + 1
+    models["adaboost"] = boosted(train, classes)
+    scores["adaboost"] = right(models["adaboost"].transform(test).select("id", "prediction"))
+    models["bagging"] = bagged(train)
+    scores["bagging"] = right(soft_vote([m.transform(test).select("id", vector_to_array("probability").alias("probability")) for m in models["bagging"]]))
     scores["hard_vote"] = right(vote(list(tested.values())))
     scores["soft_vote"] = right(soft_vote(list(tested.values())))
 
@@ -210,6 +215,77 @@ def ensemble(frame: DataFrame, columns: list[str], names: list[str] = ("random_f
     return scores, models
 
 
+class Boosted(Transformer):
+    """Trees with the logarithmic weights of their rounds; the class of most weight wins, the smaller of equals."""
+
+    def __init__(self, models: list, alphas: list[float], classes: int):
+        super().__init__()
+        self.models, self.alphas, self.classes = models, alphas, classes
+
+    def _transform(self, frame: DataFrame) -> DataFrame:
+        out, votes = frame, [F.lit(0.0)] * self.classes
+        for k, (model, alpha) in enumerate(zip(self.models, self.alphas, strict=True)):
+            out = model.transform(out).withColumn(f"_said{k}", F.col("prediction")).drop("prediction", "rawPrediction", "probability")
+            votes = [v + F.when(F.col(f"_said{k}") == c, float(alpha)).otherwise(0.0) for c, v in enumerate(votes)]
+        total = float(sum(self.alphas)) or 1.0
+        out = out.withColumn("_votes", F.array(*votes))
+        out = out.withColumn("prediction", (F.array_position("_votes", F.array_max("_votes")) - 1).cast("double"))
+        return out.withColumn("probability", F.transform("_votes", lambda v: v / total)).drop("_votes", *[f"_said{k}" for k in range(len(self.models))])
+
+
+def boosted(train: DataFrame, classes: int, rounds: int = 20, depth: int = 1, weights: list | None = None) -> Boosted:
+    """AdaBoost (SAMME) over (id, label, features): each round's tree sees the rows reweighted by the last one's mistakes.
+
+    The weights are a table that every round rewrites in shared storage.  weights: takes each round's.
+    Ends early where a tree makes no mistake, or does no better than chance.
+    """
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    from aerolake.runtime import discard
+
+    n = train.count()
+    now = materialize(train.select("id", "label", "features", F.lit(1.0 / max(1, n)).alias("_w")), "boost")
+    models, alphas = [], []
+    for _ in range(rounds if n else 0):
+        tree = DecisionTreeClassifier(featuresCol="features", labelCol="label", weightCol="_w", maxDepth=depth, minWeightFractionPerNode=0.0, seed=SEED).fit(now)
+        said = tree.transform(now).select("id", "label", "features", "_w", (F.col("prediction") != F.col("label")).alias("_wrong"))
+        error, total = said.agg(F.sum(F.when(F.col("_wrong"), F.col("_w")).otherwise(0.0)), F.sum("_w")).first()
+        error /= total
+        if error >= 1 - 1 / classes:
+            break
+        alpha = math.log((1 - error) / max(error, 1e-12)) + math.log(classes - 1)
+        models.append(tree)
+        alphas.append(alpha)
+        if error <= 0:
+            break
+        whole = total - error * total + error * total * math.exp(alpha)
+        after = materialize(said.select("id", "label", "features", (F.col("_w") * F.when(F.col("_wrong"), math.exp(alpha)).otherwise(1.0) / whole).alias("_w")), "boost")
+        discard(now)
+        now = after
+        if weights is not None:
+            weights.append({r["id"]: r["_w"] for r in now.select("id", "_w").collect()})
+    return Boosted(models, alphas, classes)
+
+
+def poisson_weight(key: str, tree: int, seed: int = SEED):
+    """How often a row is drawn into a bootstrap sample: a Poisson number of mean 1 from a hash, so that retried tasks agree."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(tree), key), 11).cast("double") + 0.5) / float(1 << 53)
+    steps, p, total = F.lit(0.0), math.exp(-1), 0.0
+    for k in range(12):
+        total += p
+        steps = steps + (u >= total).cast("double")
+        p /= k + 1
+    return steps
+
+
+def bagged(train: DataFrame, trees: int = 10, depth: int = 5, key: str = "id") -> list:
+    """Trees of Poisson bootstrap samples of (id, label, features); ``soft_vote`` joins what they say."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    rows = materialize(train.select(key, "label", "features"), "bag")
+    return [DecisionTreeClassifier(featuresCol="features", labelCol="label", weightCol="_w", maxDepth=depth, seed=SEED + k).fit(rows.withColumn("_w", poisson_weight(key, k)).where("_w > 0")) for k in range(trees)]
+
+
 def roc_auc(scored: DataFrame, score: str = "score", label: str = "label") -> float:
     """The exact area under the ROC curve: chance that a positive row scores above a negative one, ties by half.
 
@@ -258,6 +334,11 @@ def train_regressor(frame: DataFrame, columns: list[str], names: list[str] | Non
         if names is None or name in names:
             models[name] = estimator.fit(train)
             scores[name] = RegressionEvaluator(metricName="r2").evaluate(models[name].transform(test))
+    if names is None or "neural_network" in names:
+        from aerolake.operators.networks import fit_regressor
+
+        models["neural_network"] = fit_regressor(train)
+        scores["neural_network"] = RegressionEvaluator(metricName="r2").evaluate(models["neural_network"].transform(test))
     best = max(scores, key=scores.get)
     return best, models[best], scores
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerolake.operators import anomaly, cluster, density, features, inference, ml
+from aerolake.operators import agglomerate, anomaly, cluster, density, features, inference, ml, networks
 from aerolake.plans.oracle import sql
 from aerolake.plans.wifi import over, r6
 from aerolake.registry import query
@@ -171,7 +171,7 @@ def j5_detectors(e):
 @over("J6_regressors")
 def j6(e):
     rows = features.client_behaviour(e).withColumnRenamed("client", "id").withColumn("label", F.col("avg_snr"))
-    _, _, scores = ml.train_regressor(rows, ["rssi_std", "data_to_mgmt_ratio", "avg_mcs_rate"], ["linear", "ridge", "lasso"])
+    _, _, scores = ml.train_regressor(rows, ["rssi_std", "data_to_mgmt_ratio", "avg_mcs_rate"])
     return e.sparkSession.createDataFrame([(k, float(v)) for k, v in scores.items()], "model string, r2 double")
 
 
@@ -267,6 +267,23 @@ def f10_optics(spark, sf_dir):
     return density.optics(_vectors(spark, sf_dir), 1.17, 5)
 
 
+@query("F10_ward")
+def f10_ward(spark, sf_dir):
+    return agglomerate.ward(_vectors(spark, sf_dir), 5)
+
+
+@over("F10_mean_shift")
+def f10_mean_shift(e):
+    rows = anomaly.vectors(materialize(features.client_behaviour(e), "behaviour"), ["rssi_std", "avg_snr"], "client", scale=True)
+    return agglomerate.mean_shift(rows.select(F.xxhash64("client").alias("id"), "x"), 0.8).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@over("F3_autoencoder")
+def f3(e):
+    out = networks.autoencoded(_behaviour(e))
+    return out.select("client", *[F.round(F.element_at("code", k + 1), 4).alias(f"code_{k}") for k in range(2)], F.round("loss", 4).alias("loss"))
+
+
 @query("F13_best_algorithm")
 def f13(spark, sf_dir):
     return cluster.best_algorithm(_vectors(spark, sf_dir).select(*_coordinates()), _XS)
