@@ -9,7 +9,7 @@ from aerolake.plans.oracle import sql
 from aerolake.plans.wifi import r6
 from aerolake.registry import query
 from aerolake.runtime import fresh_path
-from aerolake.sources.events import wifi_view
+from aerolake.sources.events import SCHEMA, wifi_events, wifi_view
 from aerolake.streaming import wifi as streams
 
 
@@ -55,3 +55,39 @@ def l6f(spark, sf_dir):
 def l8(spark, sf_dir):
     rows = drained(streams.windowed(streamed(spark, sf_dir), width="1 minute", slide="1 minute"), "update")
     return last_batch(rows, ["window", "type"]).select("type", F.floor(F.unix_micros("window.start") / 60_000_000).alias("minute"), "frames", r6("rssi_mean"))
+
+
+#: Parts of the log's time that arrive one after another; one of so many early events comes three parts late.
+PARTS, TARDY = 6, 37
+
+
+def late_visits(spark, sf_dir):
+    """The log lands part by part, some rows long after their time; visits end by gaps and timers, tardy rows are counted and left out."""
+    events = wifi_events(spark, sf_dir).where("client is not null")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    span, folder = last - first, fresh_path(spark, "landing")
+    part = F.least(F.lit(PARTS - 1), F.floor((F.col("ts") - first) / (span / PARTS)).cast("int"))
+    tardy = (F.col("event_id") % TARDY == 0) & (part <= PARTS - 4)
+    landed = events.withColumn("_part", part + F.when(tardy, 3).otherwise(0))
+    for k in range(PARTS):  # files are taken in the order of their making
+        landed.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    out, at = fresh_path(spark, "visits"), fresh_path(spark, "visits-state")
+    found = streams.visits(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder), span / 20, f"{int(span * 1000 / 12)} milliseconds")
+    query_ = found.writeStream.outputMode("append").option("checkpointLocation", at).trigger(availableNow=True).format("parquet").option("path", out).start()
+    query_.awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).withColumn("dropped", F.lit(streams.dropped(query_)).cast("long"))
+
+
+@query("L5_L7_stream_visits", sql(f"""
+, span as (select min(ts) as a, max(ts) as z from e where client is not null),
+rows_ as (select event_id, ts, client, case when regexp_matches(bssid, '^([0-9A-Fa-f]{{2}}:){{5}}[0-9A-Fa-f]{{2}}$') and bssid not like 'ff:%' then bssid end as point,
+  event_id % {TARDY} = 0 and least({PARTS - 1}, floor((ts - a) / ((z - a) / {PARTS}))) <= {PARTS - 4} as tardy, (z - a) / 20 as gap from e, span where client is not null),
+steps as (select *, (ts - lag(ts) over (partition by client order by ts, event_id) > gap)::int as fresh from rows_ where not tardy),
+seen as (select client, ts, point, gap, coalesce(sum(fresh) over (partition by client order by ts, event_id), 0) as visit from steps),
+points as (select client, visit, point, count(*) as n from seen where point is not null group by all),
+main as (select client, visit, count(*)::int as access_points, arg_min(point, (-n, point)) as main_point from points group by client, visit),
+v as (select client, visit, min(ts) as first_seen, max(ts) as last_seen, count(*) as frames, any_value(gap) as gap, max(visit) over (partition by client) as last_visit from seen group by client, visit)
+select client, round(first_seen, 6) as first_seen, round(last_seen, 6) as last_seen, frames, coalesce(access_points, 0)::int as access_points, main_point, (select count(*) from rows_ where tardy) as dropped
+from v left join main using (client, visit) where visit < last_visit or floor((last_seen + gap) * 1000) + 1 <= (select floor(z * 1000) - floor((z - a) * 1000 / 12) from span)""", "e"))
+def l5(spark, sf_dir):
+    return late_visits(spark, sf_dir).select("client", r6("first_seen"), r6("last_seen"), "frames", "access_points", "main_point", "dropped")

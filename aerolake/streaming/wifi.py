@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from aerolake.sources.events import SCHEMA
 from aerolake.sources.sinks import append_routed
@@ -93,3 +94,68 @@ def followed(events: DataFrame, ttl: float | None = None) -> DataFrame:
     rows = rows.select("client", "ts", "event_id", F.coalesce("is_powersave", F.lit(False)).alias("on"), F.when(valid_bssid(F.col("bssid")), F.col("bssid")).alias("bssid"), "seq")
     timeout = GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.ProcessingTimeTimeout
     return rows.groupBy("client").applyInPandasWithState(_follower(ttl), "client string, transitions long, monotonic long", "was boolean, transitions long, steps long, last string", "update", timeout)
+
+
+class Visits(StatefulProcessor):
+    """A client's visit, ended when it is not seen for ``ttl`` seconds of event time, by a row behind the gap or by a timer.
+
+    State is typed: the visit's times and frames, and a map of frames by access point.
+    """
+
+    def __init__(self, ttl: float):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.visit = handle.getValueState("visit", "first double, last double, frames long, due long")
+        self.points = handle.getMapState("points", "bssid string", "frames long")
+
+    def _ended(self, key: tuple) -> list[tuple]:
+        first, last, frames, due = self.visit.get()
+        points = {k[0]: v[0] for k, v in self.points.iterator()}
+        main = min(points, key=lambda p: (-points[p], p)) if points else None
+        self.visit.clear()
+        self.points.clear()
+        self.handle.deleteTimer(due)
+        return [(key[0], first, last, frames, len(points), main)]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        for at, bssid in pd.concat(list(rows)).sort_values(["ts", "event_id"])[["ts", "bssid"]].itertuples(index=False):  # a trigger's rows of one client
+            if self.visit.exists() and at - self.visit.get()[1] > self.ttl:
+                out += self._ended(key)
+            first, last, frames, due = self.visit.get() if self.visit.exists() else (at, at, 0, None)
+            if due is not None:
+                self.handle.deleteTimer(due)
+            last = max(last, at)
+            due = int((last + self.ttl) * 1000) + 1
+            self.visit.update((min(first, at), last, frames + 1, due))
+            self.handle.registerTimer(due)
+            if bssid is not None and bssid == bssid:
+                self.points.updateValue((bssid,), ((self.points.getValue((bssid,))[0] if self.points.containsKey((bssid,)) else 0) + 1,))
+        yield pd.DataFrame(out, columns=VISIT_NAMES)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame(self._ended(key) if self.visit.exists() else [], columns=VISIT_NAMES)
+
+
+VISIT = "client string, first_seen double, last_seen double, frames long, access_points int, main_point string"
+VISIT_NAMES = [x.split()[0] for x in VISIT.split(", ")]
+
+
+def visits(events: DataFrame, ttl: float = TTL, late: str = "2 hours") -> DataFrame:
+    """clients' visits, each once it is over; the state of a client that is gone is gone too.
+
+    Rows that come later than ``late`` behind the newest of earlier triggers are left out by the
+    watermark; ``dropped`` counts them.  Needs the RocksDB state store.
+    """
+    from aerolake.sources.events import valid_bssid
+
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = events.where("ts is not null and coalesce(client, '') != ''").select("client", "ts", "event_id", F.when(valid_bssid(F.col("bssid")), F.col("bssid")).alias("bssid"), F.timestamp_seconds("ts").alias("at")).withWatermark("at", late)
+    return rows.groupBy("client").transformWithStateInPandas(Visits(ttl), VISIT, "Append", "EventTime")
+
+
+def dropped(query) -> int:
+    """Rows that a finished query's watermark left out, over all its batches."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
