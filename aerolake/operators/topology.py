@@ -53,16 +53,23 @@ def graph_edges(events: DataFrame, nodes: DataFrame) -> DataFrame:
     return fold.seen_with(events).join(client, "client").join(ap, "bssid", "left_semi").select(F.col("client").alias("source"), F.col("bssid").alias("target"), F.greatest(F.lit(0.1), 100 + F.col("r")).alias("weight"))
 
 
-def attribute_types(nodes: DataFrame) -> list[tuple[str, str]]:
-    """Attributes and their graph types, from the schema."""
+def attribute_types(nodes: DataFrame) -> DataFrame:
+    """(name, type, held): attributes, their graph types, and how many nodes hold a value; one that none holds is a string."""
     kinds = {"int": "integer", "bigint": "long", "smallint": "integer", "double": "float", "float": "float", "boolean": "boolean"}
-    return [(name, kinds.get(kind, "string")) for name, kind in nodes.dtypes if name != "id"]
+    own = [(name, kinds.get(kind, "string")) for name, kind in nodes.dtypes if name != "id"]
+    held = nodes.agg(*[F.count(name).alias(name) for name, _ in own])
+    rows = held.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), F.col(name).alias("held")) for name, kind in own])).alias("a")).select("a.*")
+    return rows.withColumn("type", F.when(F.col("held") > 0, F.col("type")).otherwise("string"))
 
 
 def layout(aps: DataFrame, spread: tuple[float, float] = (3.0, 0.3)) -> DataFrame:
     """Places of access points for a drawing: by channel, by signal, and in three layers."""
-    i = F.row_number().over(Window.orderBy("bssid")) - 1  # a drawing shows few
-    return aps.select("bssid", ((F.coalesce("channel", F.lit(1)) - 1) * spread[0]).alias("x"), ((F.coalesce("rssi_mean", F.lit(-100.0)) + 100) * spread[1]).alias("y"), ((i % 3) * 2).cast("double").alias("z"))
+    vendor = aps.withColumn("_vendor", F.substring("bssid", 1, 8))  # addresses are counted by their first three octets, so no task orders all
+    sizes = vendor.groupBy("_vendor").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_vendor", (F.sum("_n").over(Window.orderBy("_vendor")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_vendor").orderBy("bssid")) - 1
+    placed = vendor.withColumn("_i", inside).join(before, "_vendor").withColumn("_i", F.col("_i") + F.col("_before"))
+    return placed.select("bssid", ((F.coalesce("channel", F.lit(1)) - 1) * spread[0]).alias("x"), ((F.coalesce("rssi_mean", F.lit(-100.0)) + 100) * spread[1]).alias("y"), ((F.col("_i") % 3) * 2).cast("double").alias("z"))
 
 
 def probed_names(events: DataFrame, top: int = 20) -> DataFrame:

@@ -120,7 +120,7 @@ def j3(e):
 @query("J4_J11_device_classifiers")
 def j4(spark, sf_dir):
     rows = _vectors(spark, sf_dir).select("id", F.col("label").cast("double").alias("label"), *_coordinates())
-    _, _, scores = ml.train_device(rows, _XS, ["random_forest", "svm"])
+    _, _, scores = ml.train_device(rows, _XS)
     return spark.createDataFrame([(k, float(v)) for k, v in scores.items()], "model string, accuracy double")
 
 

@@ -549,9 +549,12 @@ def g4e(e):
     return topology.graph_edges(e, topology.graph_nodes(e)).select("source", "target", r6("weight"))
 
 
-@over("G5_attributes", "select * from (values ('kind', 'string'), ('label', 'string'), ('channel', 'integer'), ('rssi_mean', 'float'), ('packets', 'long'), ('first_seen', 'float'), ('last_seen', 'float')) t(name, type)")
+@over("G5_attributes", sql("""
+, n as (select null::varchar as channel_, rssi_mean, first_seen, last_seen from c1 union all select channel::varchar, rssi_mean, first_seen, coalesce(last_active, first_seen) from c3),
+c as (select count(*) as all_, count(channel_) as channel, count(rssi_mean) as rssi, count(first_seen) as first, count(last_seen) as last from n)
+select name, type, held from c, lateral (select unnest(['kind', 'label', 'channel', 'rssi_mean', 'packets', 'first_seen', 'last_seen']) as name, unnest(['string', 'string', 'integer', 'float', 'long', 'float', 'float']) as type, unnest([all_, all_, channel, rssi, all_, first, last]) as held)""", "c1", "c3"))
 def g5(e):
-    return e.sparkSession.createDataFrame(topology.attribute_types(topology.graph_nodes(e)), "name string, type string")
+    return topology.attribute_types(topology.graph_nodes(e))
 
 
 @over("G8_layout", sql("select bssid, ((coalesce(channel, 1) - 1) * 3)::double as x, round((coalesce(rssi_mean, -100) + 100) * 0.3, 6) as y, ((row_number() over (order by bssid) - 1) % 3 * 2)::double as z from c3", "c3"))

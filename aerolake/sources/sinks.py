@@ -86,7 +86,7 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str, kind: str = "gexf
     Rows are fetched partition by partition and written as they come: no tree of the
     whole graph is held.
     """
-    types = list(enumerate(attribute_types(nodes)))
+    types = list(enumerate((r["name"], r["type"]) for r in attribute_types(nodes).collect()))  # a row a column
     gexf = kind == "gexf"
     with open(path, "w", encoding="utf-8") as file:
         out = XMLGenerator(file, "utf-8", short_empty_elements=True)
