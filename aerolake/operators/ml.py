@@ -180,10 +180,11 @@ def soft_vote(frames: list[DataFrame], key: str = "id", weights: list[float] | N
     return mean.groupBy(key).agg(F.max_by("class", F.struct("p", -F.col("class"))).cast("double").alias("prediction"), F.max("p").alias("confidence"))
 
 
-def ensemble(frame: DataFrame, columns: list[str], names: list[str] = ("random_forest", "logistic", "tree"), folds: int = 5) -> tuple[dict[str, float], dict]:
-    """Base models, AdaBoost and bagging, hard and soft votes, and a logistic regression stacked on their out-of-fold probabilities.
+def ensemble(frame: DataFrame, columns: list[str], names: list[str] = ("random_forest", "logistic", "tree"), folds: int = 5, more: tuple[str, ...] = ()) -> tuple[dict[str, float], dict]:
+    """Base models, hard and soft votes, and a logistic regression stacked on their out-of-fold probabilities.
 
-    frame: label, id and numbers.  Returns held-out accuracies by name and the fitted models.
+    frame: label, id and numbers.  more: "adaboost" and "bagging" beside them, which do not vote.  Returns
+    held-out accuracies by name and the fitted models.
     """
     from pyspark.ml.classification import DecisionTreeClassifier
 
@@ -193,11 +194,12 @@ def ensemble(frame: DataFrame, columns: list[str], names: list[str] = ("random_f
     tested = {n: materialize(m.transform(test).select("id", "label", "prediction", vector_to_array("probability").alias("probability")), "ensemble-test") for n, m in models.items()}
     right = lambda df: df.join(test.select("id", "label"), "id").agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0
     scores = {n: right(t.select("id", "prediction")) for n, t in tested.items()}
-    classes = int(frame.agg(F.max("label")).first()[0]) + 1
-    models["adaboost"] = boosted(train, classes)
-    scores["adaboost"] = right(models["adaboost"].transform(test).select("id", "prediction"))
-    models["bagging"] = bagged(train)
-    scores["bagging"] = right(soft_vote([m.transform(test).select("id", vector_to_array("probability").alias("probability")) for m in models["bagging"]]))
+    if "adaboost" in more:
+        models["adaboost"] = boosted(train, int(frame.agg(F.max("label")).first()[0]) + 1)
+        scores["adaboost"] = right(models["adaboost"].transform(test).select("id", "prediction"))
+    if "bagging" in more:
+        models["bagging"] = bagged(train)
+        scores["bagging"] = right(soft_vote([m.transform(test).select("id", vector_to_array("probability").alias("probability")) for m in models["bagging"]]))
     scores["hard_vote"] = right(vote(list(tested.values())))
     scores["soft_vote"] = right(soft_vote(list(tested.values())))
 

@@ -241,7 +241,7 @@ def j11_soft(spark, sf_dir):
 @query("J12_ensemble")
 def j12(spark, sf_dir):
     rows = _vectors(spark, sf_dir).select("id", F.col("label").cast("double").alias("label"), *_coordinates())
-    scores, _ = ml.ensemble(rows, _XS)
+    scores, _ = ml.ensemble(rows, _XS, more=("adaboost", "bagging"))
     return spark.createDataFrame([(k, float(v)) for k, v in scores.items()], "model string, accuracy double")
 
 
