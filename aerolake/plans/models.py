@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerolake.operators import agglomerate, anomaly, cluster, density, features, inference, ml, networks
+from aerolake.operators import affinity, agglomerate, anomaly, cluster, density, features, inference, ml, networks
 from aerolake.plans.oracle import sql
 from aerolake.plans.wifi import over, r6
 from aerolake.registry import query
@@ -278,6 +278,11 @@ def f10_mean_shift(e):
     return agglomerate.mean_shift(rows.select(F.xxhash64("client").alias("id"), "x"), 0.8).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("F10_affinity_propagation")
+def f10_affinity(spark, sf_dir):
+    return affinity.affinity_propagation(_vectors(spark, sf_dir))
+
+
 @over("F3_autoencoder")
 def f3(e):
     out = networks.autoencoded(_behaviour(e))
