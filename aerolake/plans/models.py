@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerolake.operators import affinity, agglomerate, anomaly, cluster, density, features, inference, ml, networks
+from aerolake.operators import affinity, agglomerate, anomaly, cluster, density, features, inference, layout, ml, networks
 from aerolake.plans.oracle import sql
 from aerolake.plans.wifi import over, r6
 from aerolake.registry import query
@@ -83,6 +83,19 @@ def f14(spark, sf_dir):
     return cluster.projected(rows, _XS).select("id", "label", "pc1", "pc2")
 
 
+@query("F14_umap")
+def f14_umap(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return layout.umap(v).join(v.select("id", "label"), "id").select("id", "label", F.round("y0", 4).alias("u0"), F.round("y1", 4).alias("u1"))
+
+
+@query("F14_layout_quality")
+def f14_quality(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    kept = {"umap": layout.preserved(v, layout.umap(v)), "principal": layout.preserved(v, layout.principal(v.select("id", "x")))}
+    return spark.createDataFrame([(k, round(s, 6)) for k, s in kept.items()], "layout string, preserved double")
+
+
 def _pairs(e):
     p = inference.scored(features.pairs(e))
     return p.withColumn("id", F.concat_ws("|", "ssid", "bssid")).withColumn("label", (F.col("score") + F.pmod(F.xxhash64("ssid", "bssid"), F.lit(100)) / 500 > 0.7).cast("double"))

@@ -9,8 +9,8 @@ import pytest
 from aerolake import registry
 
 SLOW = {"F1_best_k", "J1_pair_classifier", "J4_J11_device_classifiers", "F10_algorithms", "J12_ensemble", "F13_best_algorithm"}
-#: Tested on small tables against plain versions: test_affinity, test_anomaly, test_density, test_agglomerate, test_networks.
-APART = {"J5_isolation_forest", "J5_elliptic_envelope", "J5_one_class_svm", "J5_detectors", "J6_regressors", "F3_autoencoder", "F10_hdbscan", "F10_ward", "F10_mean_shift", "F10_affinity_propagation"}
+#: Tested on small tables against plain versions: test_affinity, test_anomaly, test_density, test_agglomerate, test_layout, test_networks.
+APART = {"J5_isolation_forest", "J5_elliptic_envelope", "J5_one_class_svm", "J5_detectors", "J6_regressors", "F3_autoencoder", "F10_hdbscan", "F10_ward", "F10_mean_shift", "F10_affinity_propagation", "F14_umap", "F14_layout_quality"}
 
 
 def cell(v):
