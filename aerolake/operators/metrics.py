@@ -68,6 +68,12 @@ def activity_slots(rows: DataFrame, seconds: float = 900.0) -> DataFrame:
     return all_.join(held, ["device", "slot"], "left").select("device", "slot", zero(F.col("level")).alias("level"))
 
 
+def channel_activity(rows: DataFrame) -> DataFrame:
+    """H6: a row per device and channel (0: none known) with the levels seen there summed up, whatever their number; a list of them would grow with the log."""
+    level = F.col("level")
+    return rows.groupBy("device", "channel").agg(F.count("level").alias("events"), F.avg(level).alias("level_mean"), F.min(level).alias("level_min"), F.max(level).alias("level_max"))
+
+
 def activity_pattern(slots: DataFrame) -> DataFrame:
     """H6, H7: kind of activity and peak slots (above mean plus deviation) per device."""
     stats = slots.groupBy("device").agg(F.count(F.lit(1)).alias("slots"), F.avg("level").alias("mean"), zero(F.stddev_samp("level")).alias("std"), zero(F.var_samp("level")).alias("var"))

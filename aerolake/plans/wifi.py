@@ -605,6 +605,13 @@ def h6(e):
     return metrics.activity_slots(metrics.activity_rows(e), 60.0).select("device", "slot", r6("level"))
 
 
+@over("H6_channel_activity", sql("""
+select coalesce(client, bssid) as device, coalesce(channel, 0) as channel, count(*) as events, round(avg(case when type in ('data', 'beacon') then 1.0::double else 0.5::double end), 6) as level_mean,
+       min(case when type in ('data', 'beacon') then 1.0::double else 0.5::double end) as level_min, max(case when type in ('data', 'beacon') then 1.0::double else 0.5::double end) as level_max from e group by 1, 2""", "e"))
+def h6_channels(e):
+    return metrics.channel_activity(metrics.activity_rows(e)).select("device", "channel", "events", r6("level_mean"), "level_min", "level_max")
+
+
 @over("H7_activity_pattern", sql("""
 select device, count(*) as slots, round(avg(level), 6) as level_mean, case when coalesce(var_samp(level), 0) < 0.1 then 'constant' when coalesce(var_samp(level), 0) > 1 then 'bursty' when count(*) > 24 then 'periodic' else 'random' end as pattern from slots group by device""", "slots"))
 def h7(e):
