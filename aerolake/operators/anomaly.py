@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerolake.operators.ml import exact_quantiles
-from aerolake.operators.neighbours import BLOCK, nearest
+from aerolake.operators.neighbours import nearest
 from aerolake.runtime import materialize
 
 SEED, SHARE = 42, 0.1
@@ -133,7 +133,7 @@ def isolation_forest(rows: DataFrame, key: str = "id", trees: int = TREES, size:
 # --- local outlier factor -------------------------------------------------
 
 
-def local_outlier_factor(rows: DataFrame, key: str = "id", k: int = 20, share: float = SHARE, block: int = BLOCK) -> DataFrame:
+def local_outlier_factor(rows: DataFrame, key: str = "id", k: int = 20, share: float = SHARE, block: int | None = None) -> DataFrame:
     """(key, score, anomaly): how much less dense a row lies than its k nearest others, from exact neighbours.
 
     rows: (key a long, x).  Reach to a neighbour is at least the neighbour's own k-th distance.
