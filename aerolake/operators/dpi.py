@@ -105,31 +105,43 @@ def dhcp(payload: Column) -> Column:
 
     Options are read one after another: code, length, value; 0 fills and 255 ends.
     """
-    text = F.lower(F.hex(payload))
-    number = lambda at, n=2: F.conv(F.substr(text, at, F.lit(n)), 16, 10).cast("bigint")
-    start = F.lit(240 * 2 + 1)
+    # bound once as an element of a list: a column inside a lambda is worked out anew wherever it is named
+    return F.element_at(F.transform(F.array(F.lower(F.hex(payload))), _dhcp_text), 1)
+
+
+def _dhcp_text(text: Column) -> Column:
+    """``dhcp`` of the message's hex digits."""
     entry = "struct<at:bigint,found:array<struct<code:bigint,value:string>>>"
+    empty = F.array().cast("array<struct<code:bigint,value:string>>")
 
-    def step(state: Column, _: Column) -> Column:
-        at = state["at"]
-        code, size = number(at), F.coalesce(number(at + 2), F.lit(0))
-        more = F.array_append(state["found"], F.struct(code.alias("code"), F.substr(text, at + 4, size * 2).alias("value")))
-        return (
-            F.when((at > F.length(text)) | (code == 255), F.struct(F.length(text).cast("bigint") + 1, state["found"]).cast(entry))
-            .when(code == 0, F.struct(at + 2, state["found"]).cast(entry)).otherwise(F.struct(at + 4 + size * 2, more).cast(entry))
+    def options(tail: Column) -> Column:
+        number = lambda at: F.conv(F.substr(tail, at, F.lit(2)), 16, 10).cast("bigint")
+
+        def step(state: Column, _: Column) -> Column:
+            at = state["at"]
+            code, size = number(at), F.coalesce(number(at + 2), F.lit(0))
+            more = F.array_append(state["found"], F.struct(code.alias("code"), F.substr(tail, at + 4, size * 2).alias("value")))
+            return (
+                F.when((at > F.length(tail)) | (code == 255), F.struct(F.length(tail).cast("bigint") + 1, state["found"]).cast(entry))
+                .when(code == 0, F.struct(at + 2, state["found"]).cast(entry)).otherwise(F.struct(at + 4 + size * 2, more).cast(entry))
+            )
+
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(tail) / 2).cast("int"))
+        return F.aggregate(places, F.struct(F.lit(1).cast("bigint"), empty).cast(entry), step)["found"]
+
+    def read(found: Column) -> Column:
+        option = lambda k: F.try_element_at(F.filter(found, lambda o: o["code"] == k), F.lit(1))["value"]
+        words = lambda k: F.nullif(F.decode(F.unhex(option(k)), "utf-8"), F.lit(""))
+        address = lambda at: F.concat_ws(".", *[F.conv(F.substr(text, F.lit(2 * (at + i) + 1), F.lit(2)), 16, 10) for i in range(4)])
+        mac = F.concat_ws(":", *[F.substr(text, F.lit(2 * (28 + i) + 1), F.lit(2)) for i in range(6)])
+        return F.struct(
+            dhcp_type(F.coalesce(F.conv(option(53), 16, 10).cast("int"), F.lit(0))).alias("message"), mac.alias("client"), address(16).alias("requested_ip"), address(20).alias("server_ip"),
+            words(12).alias("hostname"), words(60).alias("vendor_class"), F.conv(option(51), 16, 10).cast("bigint").alias("lease"),
         )
 
-    empty = F.array().cast("array<struct<code:bigint,value:string>>")
-    found = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(payload) - 240)), F.struct(start.cast("bigint"), empty).cast(entry), step)["found"]
-    option = lambda k: F.try_element_at(F.filter(found, lambda o: o["code"] == k), F.lit(1))["value"]
-    words = lambda k: F.nullif(F.decode(F.unhex(option(k)), "utf-8"), F.lit(""))
-    address = lambda at: F.concat_ws(".", *[F.conv(F.substr(text, F.lit(2 * (at + i) + 1), F.lit(2)), 16, 10) for i in range(4)])
-    mac = F.concat_ws(":", *[F.substr(text, F.lit(2 * (28 + i) + 1), F.lit(2)) for i in range(6)])
-    read = F.struct(
-        dhcp_type(F.coalesce(F.conv(option(53), 16, 10).cast("int"), F.lit(0))).alias("message"), mac.alias("client"), address(16).alias("requested_ip"), address(20).alias("server_ip"),
-        words(12).alias("hostname"), words(60).alias("vendor_class"), F.conv(option(51), 16, 10).cast("bigint").alias("lease"),
-    )
-    return F.when((F.octet_length(payload) >= 240) & (F.substr(text, F.lit(236 * 2 + 1), F.lit(8)) == "63825363"), read)
+    tails = F.array(F.substr(text, F.lit(240 * 2 + 1), F.length(text)))
+    message = F.element_at(F.transform(F.transform(tails, options), read), 1)
+    return F.when((F.length(text) >= 240 * 2) & (F.substr(text, F.lit(236 * 2 + 1), F.lit(8)) == "63825363"), message)
 
 
 def top_queries(events: DataFrame, top: int = 5) -> DataFrame:
