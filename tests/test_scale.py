@@ -164,3 +164,24 @@ def test_spectral_parts_two_rings(spark):
     rows = [(i, *(rng.normal(0, 0.1, 2) + (8 * (i % 2), 0)).tolist()) for i in range(80)]
     got = {r.id: r.cluster for r in cluster.spectral(spark.createDataFrame(rows, "id long, a double, b double"), ["a", "b"], 2).collect()}
     assert len(got) == 80 and len({got[i] for i in range(0, 80, 2)} & {got[i] for i in range(1, 80, 2)}) == 0
+
+
+def test_silhouettes_of_several_clusterings(spark, monkeypatch):
+    """One pass gives each clustering's silhouette, also where its clusters are taken a few at a time."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (150, 3))
+    a, b = rng.integers(0, 3, 150), rng.integers(0, 50, 150)
+    df = spark.createDataFrame([(v.tolist(), int(i), int(j)) for v, i, j in zip(x, a, b, strict=True)], "x array<double>, a int, b int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+
+    def plain(c):
+        out = []
+        for i in range(len(c)):
+            own, far = (c == c[i]).sum(), [d[i][c == k].mean() for k in set(c.tolist()) - {c[i]}]
+            mine = d[i][c == c[i]].sum() / max(1, own - 1)
+            out.append((min(far) - mine) / max(min(far), mine) if own > 1 else 0.0)
+        return np.mean(out)
+
+    assert np.allclose(cluster.silhouettes(df, "x", ["a", "b"], 40), [plain(a), plain(b)])
+    monkeypatch.setattr(cluster, "SUMS", 640)
+    assert np.allclose(cluster.silhouettes(df, "x", ["a", "b"], 40), [plain(a), plain(b)])
