@@ -46,3 +46,16 @@ def test_dbscan_of_all_coordinates(spark, tiny):
     label = [int(c) if k else int(min(label[n & core], default=-1)) for c, k, n in zip(label, core, near, strict=True)]
     got = {r.id: r.cluster for r in registry.queries()["F11_dbscan"](spark, tiny).collect()}
     assert got == dict(zip(ids.tolist(), label, strict=True))
+
+
+@pytest.mark.parametrize(("name", "module", "function"), [("J1_pair_classifier", ml, "train_pairs"), ("J2_retrain_gate", ml, "retrain"), ("J3_behaviour_classifier", ml, "train_behaviour"), ("J9_inference", ml, "train_behaviour"), ("J6_regressors", ml, "train_regressor")])
+def test_features_are_worked_out_once(spark, tiny, monkeypatch, name, module, function):
+    """Models that read their rows many times read a written table, not the events again."""
+
+    def seen(frame, *more, **named):
+        raise _Seen(frame)
+
+    monkeypatch.setattr(module, function, seen)
+    with pytest.raises(_Seen) as found:
+        registry.queries()[name](spark, tiny)
+    assert not any(f.endswith("events.parquet") for f in found.value.args[0].inputFiles())
