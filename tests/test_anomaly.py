@@ -185,3 +185,26 @@ def test_compared(spark):
     out = anomaly.compared(frame(spark, rng.normal(0, 1, (80, 2))), names=names).collect()
     assert [r.detector for r in out] == names and sum(r.best for r in out) == 1
     assert all(0 <= r.anomaly_rate <= 0.3 for r in out)
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1e-9, 1e6), (1e150, 0.0), (0.0, 3.0)])
+def test_sieve_loses_no_near_pair(scale, offset):
+    rng = np.random.default_rng(8)
+    y = rng.normal(0, 1, (2000, 16)) * scale + offset
+    y[50:60] = y[40:50]
+    ids, x, own = np.arange(2000), y[:300], np.arange(300)
+    sieve = neighbours.Sieve(y)
+    most = np.sqrt(sieve.bounds(x, 10, own))
+    want, found = neighbours.least_of(x, own, y, ids, 10), neighbours.least_within(x, own, most, y, ids, 10, sieve)
+    assert all(np.array_equal(a, b) for a, b in zip(want, found, strict=True))
+    if scale == 1:
+        assert len(sieve.close(x, most**2)[0]) < 300 * 14
+
+
+def test_reach_is_close_without_structure(spark):
+    x = np.random.default_rng(9).normal(0, 1, (1200, 24))
+    cells = neighbours.Cells(frame(spark, x), 300)
+    reach = {r.id: r.reach for r in cells.with_close_reach(10).select("id", "reach").collect()}
+    far = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), axis=1)
+    ratio = np.array([reach[i] / far[i, 10] for i in range(1200)])
+    assert ratio.min() >= 1 - 1e-9 and np.median(ratio) < 1.25  # by way of a pivot it is about twice
