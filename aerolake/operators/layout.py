@@ -40,9 +40,9 @@ def _memberships(far: np.ndarray) -> np.ndarray:
     return np.exp(-over / np.maximum(high, 1e-12)[:, None])
 
 
-def fuzzy_graph(points: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """(id, other, w) of points (id long, x array of doubles), both ways with one weight."""
-    lists = nearest(points, neighbours).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("distance", "other"))).alias("near"))  # at most ``neighbours`` a point
+def fuzzy_graph(points: DataFrame, neighbours: int = NEIGHBOURS, near: DataFrame | None = None) -> DataFrame:
+    """(id, other, w) of points (id long, x array of doubles), both ways with one weight.  near: their ``nearest``, where they are known."""
+    lists = (nearest(points, neighbours) if near is None else near).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("distance", "other"))).alias("near"))  # at most ``neighbours`` a point
 
     def weighed(batches):
         for pdf in batches:
@@ -103,15 +103,16 @@ def moved(at: DataFrame, links: DataFrame, sample: np.ndarray, rate: float) -> D
     return forces.mapInPandas(stepped, "id long, y0 double, y1 double")
 
 
-def umap(points: DataFrame, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+def umap(points: DataFrame, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = SEED, near: DataFrame | None = None) -> DataFrame:
     """(id, y0, y1) of points (id long, x array of doubles of one length), ids distinct.
 
     The points that repel in a round follow from a hash of seed, round and id, so a rerun gives the same map.
     Of a point that is near to very many, ties are summed in parts before they meet, but joined by its key
     (adaptive execution splits such a join).  Equal points may part by rounding only; an empty table gives an empty result.
+    near: the points' ``nearest``, where they are known.
     """
     points = materialize(points.select(F.col("id").cast("bigint").alias("id"), F.col("x").cast("array<double>").alias("x")), "points")
-    links = materialize(fuzzy_graph(points, neighbours), "ties")
+    links = materialize(fuzzy_graph(points, neighbours, near), "ties")
     at = materialize(principal(points), "places")
     for step in range(rounds):
         drawn = at.orderBy(F.xxhash64(F.lit(seed), F.lit(step), "id"), "id").limit(SAMPLE).collect()
@@ -124,9 +125,9 @@ def umap(points: DataFrame, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS,
     return at
 
 
-def preserved(points: DataFrame, places: DataFrame, neighbours: int = NEIGHBOURS) -> float:
-    """The share of the points' nearest (id, x) that are among the nearest in the map (id, y0, y1)."""
+def preserved(points: DataFrame, places: DataFrame, neighbours: int = NEIGHBOURS, near: DataFrame | None = None) -> float:
+    """The share of the points' nearest (id, x) that are among the nearest in the map (id, y0, y1).  near: the points' ``nearest``, where they are known."""
     flat = places.select("id", F.array("y0", "y1").alias("x"))
-    one, two = (nearest(p.select("id", "x"), neighbours).select("id", "other") for p in (points, flat))
+    one = materialize(nearest(points.select("id", "x"), neighbours).select("id", "other"), "nearest") if near is None else near.select("id", "other")
     n = one.count()
-    return one.join(two, ["id", "other"]).count() / n if n else 1.0
+    return one.join(nearest(flat, neighbours).select("id", "other"), ["id", "other"]).count() / n if n else 1.0

@@ -64,3 +64,21 @@ def test_few_and_equal_points(spark):
     for x in ([[1.0, 2.0]], np.ones((5, 3)), [[0.0], [1.0], [3.0]]):
         out = layout.umap(frame(spark, x), rounds=2).collect()
         assert len(out) == len(x) and all(np.isfinite((r.y0, r.y1)).all() for r in out)
+
+
+def test_neighbours_of_the_points_are_searched_once(spark, tiny, monkeypatch):
+    from aerolake.operators import layout, neighbours
+    from aerolake.plans import models
+
+    widths = []
+
+    class Counted(neighbours.Cells):
+        def __init__(self, *args, **kinds):
+            super().__init__(*args, **kinds)
+            widths.append(self.width)
+
+    monkeypatch.setattr(neighbours, "Cells", Counted)
+    monkeypatch.setattr(layout, "ROUNDS", 1)
+    found = {r.layout: r.preserved for r in models.f14_quality(spark, tiny).collect()}
+    assert widths.count(64) == 1 and widths.count(2) == 2
+    assert 0 < found["principal"] < 1
