@@ -59,3 +59,20 @@ def test_features_are_worked_out_once(spark, tiny, monkeypatch, name, module, fu
     with pytest.raises(_Seen) as found:
         registry.queries()[name](spark, tiny)
     assert not any(f.endswith("events.parquet") for f in found.value.args[0].inputFiles())
+
+
+def test_device_fits_read_dealt_tables(spark, monkeypatch):
+    """The split is written once a side, and one input partition does not stay one task in every pass of a fit."""
+    written, plain = [], ml.materialize
+
+    def kept(df, name):
+        out = plain(df, name)
+        written.append((name, len(out.inputFiles()), out.columns))
+        return out
+
+    monkeypatch.setattr(ml, "materialize", kept)
+    monkeypatch.setattr(ml, "EACH", 200)
+    rows = spark.range(0, 900, 1, 1).selectExpr("id", "cast(id % 3 as double) as label", "cast(id % 3 as double) + cast(id % 5 as double) / 100 as a")
+    name, _, scores = ml.train_device(rows, ["a"], ["random_forest"])
+    assert name == "random_forest" and scores[name] == 1.0
+    assert [(n, c) for n, _, c in written] == [("devices", ["id", "label", "features"])] * 2 and all(files > 1 for _, files, _ in written)
