@@ -59,6 +59,8 @@ def l8(spark, sf_dir):
 
 #: Parts of the log's time that arrive one after another; one of so many early events comes three parts late.
 PARTS, TARDY = 6, 37
+#: Rows of a landed file, about, and files of a part at most.
+LANDED, FILES = 100_000, 64
 
 
 def late_visits(spark, sf_dir):
@@ -69,10 +71,13 @@ def late_visits(spark, sf_dir):
     part = F.least(F.lit(PARTS - 1), F.floor((F.col("ts") - first) / (span / PARTS)).cast("int"))
     tardy = (F.col("event_id") % TARDY == 0) & (part <= PARTS - 4)
     landed = events.withColumn("_part", part + F.when(tardy, 3).otherwise(0))
+    rows = {r["_part"]: r["count"] for r in landed.groupBy("_part").count().collect()}  # a row a part
+    files = max(1, min(FILES, min(rows.get(k, 0) for k in range(PARTS)) // LANDED))  # the same of every part: a trigger takes a part
     for k in range(PARTS):  # files are taken in the order of their making
-        landed.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+        part_ = landed.where(F.col("_part") == k).drop("_part")
+        (part_.repartition(files) if files > 1 else part_.coalesce(1)).write.mode("append").parquet(folder)
     out, at = fresh_path(spark, "visits"), fresh_path(spark, "visits-state")
-    found = streams.visits(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder), span / 20, f"{int(span * 1000 / 12)} milliseconds")
+    found = streams.visits(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(folder), span / 20, f"{int(span * 1000 / 12)} milliseconds")
     query_ = found.writeStream.outputMode("append").option("checkpointLocation", at).trigger(availableNow=True).format("parquet").option("path", out).start()
     query_.awaitTermination()
     return spark.read.schema(found.schema).parquet(out).withColumn("dropped", F.lit(streams.dropped(query_)).cast("long"))

@@ -99,7 +99,8 @@ def followed(events: DataFrame, ttl: float | None = None) -> DataFrame:
 class Visits(StatefulProcessor):
     """A client's visit, ended when it is not seen for ``ttl`` seconds of event time, by a row behind the gap or by a timer.
 
-    State is typed: the visit's times and frames, and a map of frames by access point.
+    State is typed: the visit's times and frames, and its frames by access point.  It is one value, read
+    and written once a trigger, since every access is a call to the state store's process.
     """
 
     def __init__(self, ttl: float):
@@ -107,36 +108,38 @@ class Visits(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.visit = handle.getValueState("visit", "first double, last double, frames long, due long")
-        self.points = handle.getMapState("points", "bssid string", "frames long")
-
-    def _ended(self, key: tuple) -> list[tuple]:
-        first, last, frames, due = self.visit.get()
-        points = {k[0]: v[0] for k, v in self.points.iterator()}
-        main = min(points, key=lambda p: (-points[p], p)) if points else None
-        self.visit.clear()
-        self.points.clear()
-        self.handle.deleteTimer(due)
-        return [(key[0], first, last, frames, len(points), main)]
+        self.visit = handle.getValueState("visit", "first double, last double, frames long, due long, bssids array<string>, counts array<long>")
+
+    @staticmethod
+    def _row(key: tuple, first: float, last: float, frames: int, points: dict[str, int]) -> tuple:
+        return key[0], first, last, frames, len(points), min(points, key=lambda p: (-points[p], p)) if points else None
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for at, bssid in pd.concat(list(rows)).sort_values(["ts", "event_id"])[["ts", "bssid"]].itertuples(index=False):  # a trigger's rows of one client
-            if self.visit.exists() and at - self.visit.get()[1] > self.ttl:
-                out += self._ended(key)
-            first, last, frames, due = self.visit.get() if self.visit.exists() else (at, at, 0, None)
+        out, held = [], self.visit.get()
+        first, last, frames, due = held[:4] if held else (None, None, 0, None)
+        points = dict(zip(held[4], held[5], strict=True)) if held else {}
+        rows = pd.concat(list(rows)).sort_values(["ts", "event_id"])  # a trigger's rows of one client
+        for at, bssid in zip(rows["ts"].tolist(), rows["bssid"].tolist(), strict=True):
+            if frames and at - last > self.ttl:
+                out.append(self._row(key, first, last, frames, points))
+                frames, points = 0, {}
+            first, last, frames = (min(first, at), max(last, at), frames + 1) if frames else (at, at, 1)
+            if bssid is not None and bssid == bssid:
+                points[bssid] = points.get(bssid, 0) + 1
+        new = int((last + self.ttl) * 1000) + 1
+        if due != new:
             if due is not None:
                 self.handle.deleteTimer(due)
-            last = max(last, at)
-            due = int((last + self.ttl) * 1000) + 1
-            self.visit.update((min(first, at), last, frames + 1, due))
-            self.handle.registerTimer(due)
-            if bssid is not None and bssid == bssid:
-                self.points.updateValue((bssid,), ((self.points.getValue((bssid,))[0] if self.points.containsKey((bssid,)) else 0) + 1,))
+            self.handle.registerTimer(new)
+        self.visit.update((first, last, frames, new, list(points), list(points.values())))
         yield pd.DataFrame(out, columns=VISIT_NAMES)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame(self._ended(key) if self.visit.exists() else [], columns=VISIT_NAMES)
+        held, out = self.visit.get(), []
+        if held:
+            out = [self._row(key, *held[:3], dict(zip(held[4], held[5], strict=True)))]
+            self.visit.clear()
+        yield pd.DataFrame(out, columns=VISIT_NAMES)
 
 
 VISIT = "client string, first_seen double, last_seen double, frames long, access_points int, main_point string"

@@ -185,3 +185,44 @@ def test_silhouettes_of_several_clusterings(spark, monkeypatch):
     assert np.allclose(cluster.silhouettes(df, "x", ["a", "b"], 40), [plain(a), plain(b)])
     monkeypatch.setattr(cluster, "SUMS", 640)
     assert np.allclose(cluster.silhouettes(df, "x", ["a", "b"], 40), [plain(a), plain(b)])
+
+
+def test_a_visit_is_read_and_written_once_a_trigger():
+    import pandas as pd
+
+    from aerolake.streaming.wifi import Visits
+
+    calls = []
+
+    class State:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append(("set", at))
+
+        def deleteTimer(self, at):
+            calls.append(("unset", at))
+
+    visits = Visits(10.0)
+    visits.init(Handle())
+    frame = lambda rows: pd.DataFrame([(t, i, b) for i, (t, b) in enumerate(rows)], columns=["ts", "event_id", "bssid"])
+    first = frame([(float(t % 7), "ab"[t % 2] if t % 3 else None) for t in range(60)])
+    assert [len(p) for p in visits.handleInputRows(("c",), iter([first]), None)] == [0]
+    assert calls == ["get", ("set", 16001), "update"]
+    calls.clear()
+    (out,) = visits.handleInputRows(("c",), iter([frame([(12.0, "b"), (30.0, None), (31.0, "z")])]), None)
+    assert out.values.tolist() == [["c", 0.0, 12.0, 61, 2, "b"]]
+    assert calls == ["get", ("unset", 16001), ("set", 41001), "update"]
+    assert visits.visit.held == (30.0, 31.0, 2, 41001, ["z"], [1])
