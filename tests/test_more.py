@@ -147,3 +147,19 @@ def test_streams_equal_batch(spark, tiny, tmp_path):
     steps = {r.client: r.n for r in fold.sequences(e).groupBy("client").agg(F.sum("monotonic").alias("n")).collect()}
     got = {r.client: (r.transitions, r.monotonic) for r in spark.table("followed").collect()}
     assert got == {c: (n, steps.get(c, 0)) for c, n in power.items()}
+
+
+def test_behaviour_reads_what_it_needs(spark, tiny):
+    """Some of a client's columns are the same as among all, and columns of one aggregate come from one pass over the events."""
+    from aerolake.operators import features
+
+    events = wifi_events(spark, tiny)
+    whole = {r.client: r for r in features.client_behaviour(events).collect()}
+    for wanted in (["rssi_std", "avg_snr"], ["packet_interval_std", "avg_session_duration"], ["unique_probes_count"], ["power_save_rate", "unique_aps_seen_count"]):
+        some = features.client_behaviour(events, wanted=wanted)
+        assert some.columns == ["client", *wanted]
+        rows = some.collect()
+        assert len(rows) == len(whole)
+        assert all(abs(r[c] - whole[r.client][c]) <= 1e-9 * max(1, abs(r[c])) for r in rows for c in wanted)
+    plan = features.client_behaviour(events, wanted=["rssi_std", "avg_snr"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
