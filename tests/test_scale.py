@@ -187,6 +187,28 @@ def test_silhouettes_of_several_clusterings(spark, monkeypatch):
     assert np.allclose(cluster.silhouettes(df, "x", ["a", "b"], 40), [plain(a), plain(b)])
 
 
+def test_all_numbers_of_clusters_are_measured_together(spark, monkeypatch):
+    """The rows are written once for all models, and one pass over the pairs measures every k."""
+    rng = np.random.default_rng(6)
+    rows = [(float(20 * (i % 3) + v), float(20 * (i % 3) + w)) for i, (v, w) in enumerate(rng.normal(0, 1, (60, 2)))]
+    written, passes, plain, measure = [], [], cluster.materialize, cluster.silhouettes
+
+    def kept(df, name):
+        written.append(name)
+        return plain(df, name)
+
+    def seen(df, vector, clusters, *more):
+        passes.append(list(clusters))
+        return measure(df, vector, clusters, *more)
+
+    monkeypatch.setattr(cluster, "materialize", kept)
+    monkeypatch.setattr(cluster, "silhouettes", seen)
+    df = spark.createDataFrame([(a, b) for a, b in rows] + [(None, 0.0)], "a double, b double")
+    assert cluster.best_k(df, ["a", "b"]) == 3
+    assert passes == [[f"c{k}" for k in range(2, 8)]] and written.count("to-cluster") == 1
+    assert cluster.best_k(df.limit(1), ["a", "b"]) == 1
+
+
 def test_a_visit_is_read_and_written_once_a_trigger():
     import pandas as pd
 
