@@ -209,6 +209,22 @@ def test_all_numbers_of_clusters_are_measured_together(spark, monkeypatch):
     assert cluster.best_k(df.limit(1), ["a", "b"]) == 1
 
 
+def test_algorithms_are_measured_together(spark, monkeypatch):
+    """One pass over the pairs measures all algorithms."""
+    rng = np.random.default_rng(7)
+    rows = [(float(20 * (i % 3) + v), float(20 * (i % 3) + w)) for i, (v, w) in enumerate(rng.normal(0, 1, (45, 2)))]
+    passes, measure = [], cluster.silhouettes
+
+    def seen(df, vector, clusters, *more):
+        passes.append(len(clusters))
+        return measure(df, vector, clusters, *more)
+
+    monkeypatch.setattr(cluster, "silhouettes", seen)
+    got = cluster.best_algorithm(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], 3, ("kmeans", "hierarchical", "ward")).collect()
+    assert passes == [3] and [r.algorithm for r in got] == ["kmeans", "hierarchical", "ward"]
+    assert got[0].silhouette > 0.8 and got[2].silhouette > 0.8 and sum(r.best for r in got) == 1
+
+
 def test_a_visit_is_read_and_written_once_a_trigger():
     import pandas as pd
 
